@@ -101,51 +101,66 @@ def remap_positional(cls: ColumnOrName, params: ColumnOrName, as_of_year: int) -
     """Give unnamed and shop-specific parameters of a few template classes their common names."""
     c, m = col(cls), col(params)
 
-    def new_name(k: Column, v: Column) -> Column:
-        numeric = matches(k, r"^\d+$")
-        has_digit = matches(v, r"\d")
-        is_number = v.try_cast("double").isNotNull()
-
-        def is_date() -> Column:
-            return F.coalesce(parse_date(v, as_of_year)["valid"], F.lit(False))
-
-        def named(**names: str) -> Column:
-            out = k
-            for old, new in names.items():
-                out = F.when(k == old.lstrip("_"), new).otherwise(out)
-            return out
-
-        return (
-            F.when(
-                c.isin("harvnb", "brackets") & numeric,
-                F.when(has_digit, "year").otherwise(F.concat(F.lit("last"), k)),
-            )
-            .when((c == "nrisref") & (numeric | (k == "version")) & has_digit, "series")
-            .when(c == "nrisref", named(name="title", refnum="seriesno"))
-            .when(
-                c.isin("gnis", "geonet3") & numeric,
-                F.when(is_number, "seriesno").when(is_date(), "accessdate").otherwise("title"),
-            )
-            .when(c.isin("gnis", "geonet3"), named(id="seriesno", name="title"))
-            .when((c == "season") & numeric, F.when(is_date(), "year").otherwise("seriesno"))
-            .when(c == "season", named(id="seriesno", name="title", season="year"))
-            .when(c == "sports-reference", named(_1="title", _2="url", _3="accessdate"))
-            .when(c.isin("nhle", "england") & numeric, "seriesno")
-            .when(c.isin("nhle", "england"), named(num="seriesno", desc="title"))
-            .otherwise(k)
+    def new_name(e: Column) -> Column:
+        k, kind = e["key"], e["kind"]
+        by_kind = {
+            # class, kind of value -> name for an unnamed parameter
+            ("gnis", "number"): "seriesno",
+            ("gnis", "date"): "accessdate",
+            ("gnis", "text"): "title",
+            ("season", "date"): "year",
+        }
+        unnamed = F.when(c.isin("nhle", "england"), "seriesno")
+        for (cls_name, value_kind), name in by_kind.items():
+            same = c.isin("gnis", "geonet3") if cls_name == "gnis" else c == cls_name
+            unnamed = unnamed.when(same & (kind == value_kind), name)
+        unnamed = unnamed.when(c == "season", "seriesno")
+        unnamed = unnamed.when(
+            c.isin("harvnb", "brackets"), F.when(e["digit"], "year").otherwise(F.concat(F.lit("last"), k))
+        )
+        unnamed = unnamed.when((c == "nrisref") & e["digit"], "series")
+        unnamed = unnamed.when(c == "sports-reference", lookup({"1": "title", "2": "url", "3": "accessdate"}, k))
+        named = lookup(
+            {
+                "nrisref name": "title", "nrisref refnum": "seriesno",
+                "gnis id": "seriesno", "gnis name": "title",
+                "geonet3 id": "seriesno", "geonet3 name": "title",
+                "season id": "seriesno", "season name": "title", "season season": "year",
+                "nhle num": "seriesno", "nhle desc": "title",
+                "england num": "seriesno", "england desc": "title",
+            },
+            F.concat_ws(" ", c, k),
         )
+        version = (c == "nrisref") & (k == "version") & e["digit"]
+        return F.coalesce(F.when(e["numeric"], unnamed).when(version, "series").otherwise(named), k)
 
     def rename(entries: Column) -> Column:
+        def described(e: Column) -> Column:
+            numeric = matches(e["key"], r"^\d+$")
+            asked = numeric & c.isin("gnis", "geonet3", "season")
+            kind = (
+                F.when(~asked, F.lit(None).cast("string"))
+                .when(e["value"].try_cast("double").isNotNull() & (c != "season"), "number")
+                .when(F.coalesce(parse_date(e["value"], as_of_year)["valid"], F.lit(False)), "date")
+                .otherwise("text")
+            )
+            return F.struct(
+                e["key"].alias("key"), e["value"].alias("value"), numeric.alias("numeric"),
+                matches(e["value"], r"\d").alias("digit"), kind.alias("kind"),
+            )
+
         renamed = F.transform(
-            entries,
-            lambda e: F.struct(
-                new_name(e["key"], e["value"]).alias("name"), e["key"].alias("old"), e["value"].alias("value")
-            ),
+            F.transform(entries, described),
+            lambda e: F.struct(new_name(e).alias("name"), e["key"].alias("old"), e["value"].alias("value")),
         )
+
         # A renamed parameter replaces one that already has the name.
-        kept = F.filter(renamed, lambda e: e["name"] == e["old"])
-        moved = F.filter(renamed, lambda e: e["name"] != e["old"])
-        return params_to_map(F.concat(kept, moved))
+        return let(
+            renamed,
+            lambda r: params_to_map(
+                F.concat(F.filter(r, lambda e: e["name"] == e["old"]), F.filter(r, lambda e: e["name"] != e["old"]))
+            ),
+        )
 
     special = in_list(
         c, ["harvnb", "brackets", "nrisref", "gnis", "geonet3", "season", "sports-reference", "nhle", "england"]

@@ -126,31 +126,32 @@ def _form(c: Column) -> Column:
     return out
 
 
+_PATTERNS = {f.name: f.pattern for f in FORMS}
+_GROUPS = {f.name: "".join(str(g) for g in f.first + f.second) for f in FORMS}
+
+
 def _parts(c: Column, form: Column) -> Column:
-    """Written parts of a date text of a known form."""
-    out = None
-    for f in FORMS:
+    """Written parts of a date text of a known form: the form names the pattern and the groups."""
+
+    def read(groups: Column, pattern: Column) -> Column:
+        def text(place: int) -> Column:
+            group = F.substring(groups, place, 1).cast("int")
+            return F.when(group > 0, F.call_function("regexp_extract", c, pattern, group))
+
+        short = form.isin("sy-yy", "y-yy")
+        return F.struct(
+            form.alias("form"),
+            text(1).alias("year"),
+            text(2).alias("month"),
+            text(3).try_cast("int").alias("day"),
+            F.when(short, F.concat(F.substring(text(1), 1, 2), text(4))).otherwise(text(4)).alias("year2"),
+            text(5).alias("month2"),
+            text(6).try_cast("int").alias("day2"),
+        )
 
-        def text(g: int, f: Form = f) -> Column:
-            return F.regexp_extract(c, f.pattern, g) if g else F.lit(None).cast("string")
-
-        def number(g: int, f: Form = f) -> Column:
-            return text(g, f).try_cast("int")
-
-        year2 = text(f.second[0])
-        if f.name in ("sy-yy", "y-yy"):
-            year2 = F.concat(F.substring(text(f.first[0]), 1, 2), year2)
-        value = F.struct(
-            F.lit(f.name).alias("form"),
-            text(f.first[0]).alias("year"),
-            text(f.first[1]).alias("month"),
-            number(f.first[2]).alias("day"),
-            year2.alias("year2"),
-            text(f.second[1]).alias("month2"),
-            number(f.second[2]).alias("day2"),
-        ).cast(_PARTS)
-        out = F.when(form == f.name, value) if out is None else out.when(form == f.name, value)
-    return out
+    return let(
+        F.struct(lookup(_GROUPS, form).alias("g"), lookup(_PATTERNS, form).alias("p")), lambda x: read(x["g"], x["p"])
+    )
 
 
 def _numbers(p: Column) -> Column:

@@ -478,6 +478,26 @@ def _show_links(text: Column) -> Column:
     return _until_gone(text, "[[", one_pass)
 
 
+_MARKUP = "{}[]'=*#:;|!&"
+_SHELTERED = "".join(chr(0xF700 + i) for i in range(len(_MARKUP)))
+_VERBATIM = r"(?is)<(?:nowiki|pre|source|syntaxhighlight|hiero)(?:\s[^<>]*)?(?<!/)>.*?</(?:nowiki|pre|source|syntaxhighlight|hiero)\s*>"
+
+
+def _shelter(c: Column) -> Column:
+    """Put stand-ins for the markup signs inside verbatim tags, so that they come through as text."""
+
+    def cut(raw: Column) -> Column:
+        pieces, tokens = pieces_and_tokens(raw, _VERBATIM)
+        hidden = F.transform(
+            tokens, lambda t: F.translate(F.regexp_replace(t, r"^<[^<>]*>|<[^<>]*>$", ""), _MARKUP, _SHELTERED)
+        )
+        return F.array_join(
+            F.flatten(F.zip_with(pieces, hidden, lambda p, t: F.array(p, F.coalesce(t, F.lit(""))))), ""
+        )
+
+    return F.when(matches(c, r"(?i)<(?:nowiki|pre|source|syntaxhighlight|hiero)\b"), cut(c)).otherwise(c)
+
+
 def strip_code(
     text: ColumnOrName, normalize: bool = True, collapse: bool = True, keep_template_params: bool = False
 ) -> Column:
@@ -489,7 +509,7 @@ def strip_code(
             F.contains(c, F.lit("<")), F.regexp_replace(shown, r"(?is)</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", "")
         ).otherwise(c)
 
-    c = let(col(text), without_tags)
+    c = let(let(col(text), _shelter), without_tags)
     c = _drop_templates(c, keep_template_params)
     c = _show_links(c)
     c = F.regexp_replace(c, rf"(?i)\[(?:{_SCHEME}|//)[^\s\[\]]+\s+([^\]\n]*)\]", "$1")
@@ -497,9 +517,16 @@ def strip_code(
     c = F.regexp_replace(c, r"'{2,}", "")
     c = F.regexp_replace(c, r"(?m)^(={1,6})([^\n]+?)\1[ \t]*$", "$2")
     c = F.regexp_replace(c, r"(?m)^[*#:;]+", "")
-    c = F.regexp_replace(c, r"(?m)^(?:\{\||\|-|\|\+|\|\})[^\n]*$|^[|!]|\|\||!!", "")
+    c = let(
+        c,
+        lambda v: F.when(
+            F.contains(v, F.lit("{|")),
+            F.regexp_replace(v, r"(?m)^(?:\{\||\|-|\|\+|\|\})[^\n]*$|^[|!]|\|\||!!", ""),
+        ).otherwise(v),
+    )
     if normalize:
         c = decode_entities(c)
+    c = F.translate(c, _SHELTERED, _MARKUP)
     if collapse:
         c = F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
     return c
@@ -508,7 +535,7 @@ def strip_code(
 def strip_value(text: ColumnOrName) -> Column:
     """`strip_code` for parameter values: most hold no markup and are returned as they are."""
     return let(
-        col(text), lambda v: F.when(matches(v, r"[\[{<&\n]|''|^[*#:;=|!]|\|\||!!"), strip_code(v)).otherwise(v)
+        col(text), lambda v: F.when(matches(v, r"[\[{<&\n]|''|^[*#:;=]"), strip_code(v)).otherwise(v)
     )
 
 

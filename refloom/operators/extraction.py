@@ -12,10 +12,15 @@ from refloom.operators.citations import section_in_force
 
 
 def _explode(df: DataFrame, content: str, items: Column) -> DataFrame:
-    """Rows of an array of structs, with the position in the page as `pos` (from 1)."""
+    """Rows of an array of structs, with the position in the page as `pos` (from 1).
+
+    A column of the page with the name of an item field is kept as `page_<name>`.
+    """
     keep = [c for c in df.columns if c != content]
-    return df.select(*keep, F.posexplode(items).alias("_p", "_item")).select(
-        *keep, (F.col("_p") + 1).alias("pos"), "_item.*"
+    rows = df.select(*keep, F.posexplode(items).alias("_p", "_item"))
+    taken = {"pos", *rows.schema["_item"].dataType.fieldNames()}
+    return rows.select(
+        *[F.col(c).alias(f"page_{c}" if c in taken else c) for c in keep], (F.col("_p") + 1).alias("pos"), "_item.*"
     )
 
 
@@ -59,9 +64,7 @@ def extract_tags(pages: DataFrame, tag: str, content: str = "content") -> DataFr
 
 def extract_attributes(tags: DataFrame, attributes: str = "attributes") -> DataFrame:
     """One row per attribute of a tag."""
-    return _explode(tags, attributes, W.tag_attributes(attributes)) if "pos" not in tags.columns else _explode(
-        tags.withColumnRenamed("pos", "tag_pos"), attributes, W.tag_attributes(attributes)
-    )
+    return _explode(tags.withColumnRenamed("pos", "tag_pos"), attributes, W.tag_attributes(attributes))
 
 
 def extract_comments(pages: DataFrame, content: str = "content") -> DataFrame:

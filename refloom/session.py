@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Large expressions are built from many small calls; recording the call site of each costs more than the call.
+CALL_SITES_CONF = "spark.python.sql.dataFrameDebugging.enabled"
+
 
 def local_session(cpus: str | int = "*", app: str = "refloom", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and benches. On a cluster the caller's own session is used unchanged."""
@@ -22,13 +25,20 @@ def local_session(cpus: str | int = "*", app: str = "refloom", shuffle_partition
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("REFLOOM_DRIVER_MEMORY", "8g"))
+        .config(CALL_SITES_CONF, "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def quick_plans(spark: SparkSession) -> None:
+    """Switch off call-site recording; it takes effect when nothing has asked for it in this process yet."""
+    spark.conf.set(CALL_SITES_CONF, "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in `spark.checkpoint.dir`.
 
