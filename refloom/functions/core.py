@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -122,3 +122,15 @@ def scan(
 
     start = F.struct(init.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("outs"))
     return F.aggregate(chunks, start, outer, lambda acc: F.flatten(acc["outs"]))
+
+
+def settle(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Pass costly columns through a generator, one row in and one row out.
+
+    A filter above a projection is moved below it with every column reference replaced by its expression; for
+    expressions that build on each other the copies multiply. Generator output stops that: a filter stays above,
+    and each expression is evaluated once per row.
+    """
+    made = list(columns)
+    keep = [c for c in df.columns if c not in made]
+    return df.select(*keep, F.inline(F.array(F.struct(*made))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from refloom.functions import braces as B
 from refloom.functions import citation as C
 from refloom.functions import wikitext as W
-from refloom.functions.core import first_set, in_list, is_set, let, matches
+from refloom.functions.core import first_set, is_set, let, matches, settle
 from refloom.functions.dates import approx_or_no_date, parse_date
 from refloom.functions.fields import clean_pages, coins_title, hyphen_to_dash
 from refloom.functions.identifiers import extract_ids
@@ -123,7 +123,7 @@ def parse_templates(df: DataFrame, citation: str, strict: bool = False, as_of_ye
     name = W.template_name("template")
     cls = C.citation_class("template_name", strict)
     raw = W.params_to_map(W.template_params("template"))
-    return (
+    staged = (
         df.withColumn("_text", repaired)
         .withColumn("template", first)
         .withColumns({"template_name": name, "_raw": raw})
@@ -132,6 +132,7 @@ def parse_templates(df: DataFrame, citation: str, strict: bool = False, as_of_ye
         .withColumn("parse_failed", F.col("template").isNull())
         .drop("_text", "_raw")
     )
+    return settle(staged, ["template", "template_name", "cls", "params", "parse_failed"])
 
 
 def normalize_citations(
@@ -184,7 +185,6 @@ def normalize_citations(
             "city": a("City"),
             "access_date": C.access_date_rule("cls", a("AccessDate")),
             "ids": extract_ids("params"),
-            "people": authors("params"),
         }
     )
     p = p.withColumns(
@@ -198,17 +198,18 @@ def normalize_citations(
                 C.page_rule("cls", hyphen_to_dash(a("Pages"))),
                 C.page_rule("cls", a("At")),
             ),
-            "contributors": F.when(
-                F.col("cls").isin("book", "citation")
-                & F.col("periodical").isNull()
-                & F.col("contribution").isNotNull()
-                & (F.size("people") > 0),
-                people("params", "contributor"),
-            ),
+            "with_contributors": F.col("cls").isin("book", "citation")
+            & F.col("periodical").isNull()
+            & F.col("contribution").isNotNull(),
         }
     )
-    p = _encyclopedia_remap(p)
-    p = _class_remaps(p, as_of_year)
+    p = _class_remaps(_encyclopedia_remap(p))
+    p = settle(p, [c for c in p.columns if c not in {*keep, "template", "template_name", "cls", "params", "parse_failed"}])
+    p = p.withColumn("people", authors("params"))
+    p = p.withColumn(
+        "contributors",
+        F.when(F.col("with_contributors") & (F.size("people") > 0), people("params", "contributor")),
+    )
 
     parsed = parse_date("date_text", as_of_year)
     is_keyword = approx_or_no_date("date_text").isNotNull()
@@ -314,7 +315,7 @@ def _encyclopedia_remap(p: DataFrame) -> DataFrame:
     )
 
 
-def _class_remaps(p: DataFrame, as_of_year: int) -> DataFrame:
+def _class_remaps(p: DataFrame) -> DataFrame:
     """Rules of single classes: mailing list, conference, map, episode, serial, arXiv."""
     null = F.lit(None).cast("string")
     cls = F.col("cls")

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refloom.session import quick_plans
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -19,12 +17,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
     def register(fn: Query) -> Query:
         key = name or fn.__name__
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            quick_plans(spark)
-            return fn(spark, sf_dir)
-
-        QUERIES[key] = run
+        QUERIES[key] = fn
         if sql is not None:
             ORACLES[key] = sql
         return fn

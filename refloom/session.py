@@ -34,11 +34,6 @@ def local_session(cpus: str | int = "*", app: str = "refloom", shuffle_partition
     return spark
 
 
-def quick_plans(spark: SparkSession) -> None:
-    """Switch off call-site recording; it takes effect when nothing has asked for it in this process yet."""
-    spark.conf.set(CALL_SITES_CONF, "false")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in `spark.checkpoint.dir`.
 
