@@ -146,11 +146,17 @@ def normalize_citations(
     """Add the 22 fields of the common schema to rows with a citation text.
 
     Text fields are never null. `Authors` is an array of people and `ID_list` a map from kind to value; see
-    `legacy_text` for their text form. The class-specific rules run one after the other over plain columns, so
-    the whole operator is one map-only stage.
+    `legacy_text` for their text form. An input column that has the name of a field is kept as `page_<name>`. The
+    class-specific rules run one after the other over plain columns, so the whole operator is one map-only stage.
     """
-    keep = df.columns
-    p = parse_templates(df, citation, strict, as_of_year)
+    # Input columns travel as one struct, so that none of them can meet a working column of the same name.
+    p = parse_templates(
+        df.select(F.struct(*df.columns).alias("_in"), F.col(citation).alias("_citation")),
+        "_citation",
+        strict,
+        as_of_year,
+    )
+    parsed = p.columns
     known = C.is_citation_template("template_name", lang, strict)
     a = lambda field: C.alias("params", field)
 
@@ -204,7 +210,7 @@ def normalize_citations(
         }
     )
     p = _class_remaps(_encyclopedia_remap(p))
-    p = settle(p, [c for c in p.columns if c not in {*keep, "template", "template_name", "cls", "params", "parse_failed"}])
+    p = settle(p, [c for c in p.columns if c not in parsed])
     p = p.withColumn("people", authors("params"))
     p = p.withColumn(
         "contributors",
@@ -275,10 +281,17 @@ def normalize_citations(
             "ID_list": ids_out,
         }
     )
+    p = settle(p, ["texts"])
     out = {n: F.get("texts", F.lit(i)) for i, n in enumerate(TEXT_FIELDS)}
     out["Title"] = F.when(failed, NOT_PARSABLE).otherwise(out["Title"])
     out |= {"Authors": F.col("Authors"), "ID_list": F.col("ID_list")}
-    return p.select(*keep, "template_name", "cls", "parse_failed", *[out[n].alias(n) for n in FIELDS])
+    taken = {n.lower() for n in FIELDS}
+    given = [
+        F.col(f"_in.`{c}`").alias(f"page_{c}" if c.lower() in taken else c)
+        for c in df.columns
+        if c not in ("template_name", "cls", "parse_failed")
+    ]
+    return p.select(*given, "template_name", "cls", "parse_failed", *[out[n].alias(n) for n in FIELDS])
 
 
 def _when(cond: Column, **changes: Column):

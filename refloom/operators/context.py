@@ -208,10 +208,11 @@ def encode_tags(df: DataFrame, tags: list[str], column: str = "neighboring_tags"
     """Count of every tag as a column; list marks, quotes and dollar signs count as `others`."""
     folded = F.transform(column, lambda t: F.when(t.isin(*OTHER_TAGS), "others").otherwise(t))
     staged = df.withColumn("_t", folded)
-    return staged.select(
-        *[c for c in df.columns if c != column],
-        *[F.size(F.filter("_t", lambda t, k=k: t == k)).alias(k) for k in [*tags, "others"]],
-    )
+
+    def count(tag: str) -> Column:
+        return F.size(F.filter("_t", lambda t: t == tag)).alias(tag)
+
+    return staged.select(*[c for c in df.columns if c != column], *[count(k) for k in [*tags, "others"]])
 
 
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:

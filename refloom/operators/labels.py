@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.core import in_list, is_set
+from refloom.functions.core import in_list, is_set, settle
 from refloom.functions.fields import legacy_id_pairs
 from refloom.functions.urls import is_google_book, top_domain
 from refloom.tables.params import ID_KINDS
@@ -63,7 +63,7 @@ def rule_label(ids: Column, type_of_citation: Column) -> Column:
 
 
 def label_book_journal(df: DataFrame, ids: str = "ID_list", type_column: str = "type_of_citation") -> DataFrame:
-    return df.withColumn("actual_label", rule_label(F.col(ids), F.col(type_column)))
+    return settle(df.withColumn("actual_label", rule_label(F.col(ids), F.col(type_column))), ["actual_label"])
 
 
 def label_at_prediction(

@@ -139,21 +139,22 @@ def lookup_candidates(df: DataFrame, label: str = "actual_label", type_column: s
     return df.where((F.col(label) == "other") & F.col(type_column).isin(*LOOKUP_TYPES))
 
 
-def match_titles(titles: DataFrame, responses: DataFrame, title: str, how: str, response: str = "response") -> DataFrame:
-    """Best record per distinct title from a response table (title, response).
-
-    `how` is `books` (scan until below the threshold) or `works` (first result only).
-    """
-    asked = titles.select(title).where(is_set(F.col(title))).distinct()
-    answers = responses.select(F.col(responses.columns[0]).alias(title), F.col(response))
-    joined = asked.join(answers, title, "inner")
-    if how == "books":
-        parsed = joined.withColumn("_c", parse_books(response))
-        out = best_candidate(parsed, title, "_c")
-    else:
-        parsed = joined.withColumn("_c", parse_works(response))
-        out = first_candidate(parsed, title, "_c")
-    return out.select(title, "best")
+def match_titles(titles: DataFrame, works: DataFrame, books: DataFrame, title: str) -> DataFrame:
+    """Identifiers per distinct title: of the first publication record when it is similar enough, else of the best
+    book record. Both response tables are (title, response) with one row per title that was asked."""
+    answers = [
+        t.select(F.col(t.columns[0]).alias(title), F.col(t.columns[1]).alias(name))
+        for t, name in ((works, "_works"), (books, "_books"))
+    ]
+    both = answers[0].join(answers[1], title, "full_outer")
+    asked = titles.select(title).where(is_set(F.col(title))).distinct().join(both, title, "inner")
+    parsed = asked.withColumns({"_w": parse_works("_works"), "_b": parse_books("_books")})
+    by_work = first_candidate(parsed, title, "_w").withColumnRenamed("best", "_work")
+    by_book = best_candidate(by_work, title, "_b").withColumnRenamed("best", "_book")
+    return by_book.select(
+        title,
+        F.when(F.size("_work.ids") > 0, F.col("_work.ids")).otherwise(F.col("_book.ids")).alias("acquired_ID_list"),
+    )
 
 
 def disambiguate(
@@ -162,20 +163,14 @@ def disambiguate(
     """Add `acquired_ID_list`: identifiers of the publication record, else of the book record, else empty.
 
     Only citations that qualify are looked up, each distinct title once. The answer goes back by title, where
-    unqualified rows carry a null key, so a title shared by very many rows costs one look-up and the rows stay
-    where they are when the answers are small.
+    unqualified rows carry a null key, so a title shared by very many rows costs one look-up. `df` is read twice;
+    give a stage table, not a plan that normalises citations on the way.
     """
     wanted = (
         (F.col(label) == "other") & F.col("type_of_citation").isin(*LOOKUP_TYPES) & is_set(F.col(title))
     )
     keyed = df.withColumn("_title", F.when(wanted, F.col(title)))
-    titles = keyed.select(F.col("_title").alias("t")).where(F.col("t").isNotNull())
-    first = match_titles(titles, works, "t", "works").select("t", F.col("best.ids").alias("_works"))
-    second = match_titles(titles, books, "t", "books").select("t", F.col("best.ids").alias("_books"))
-    answers = first.join(second, "t", "full_outer").select(
-        F.col("t").alias("_title"),
-        F.when(F.size("_works") > 0, F.col("_works")).otherwise(F.col("_books")).alias("acquired_ID_list"),
-    )
+    answers = match_titles(keyed, works, books, "_title")
     return keyed.join(answers, "_title", "left").drop("_title").withColumn(
         "acquired_ID_list", F.coalesce("acquired_ID_list", F.array().cast(f"array<{ID}>"))
     )

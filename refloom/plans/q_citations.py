@@ -91,12 +91,11 @@ def rejected_types(spark, sf):
     return O.rejected_types(cites(spark, sf))
 
 
-@query(f"""SELECT CASE WHEN slot = 21 THEN ' cite journal' ELSE typ END AS type_of_citation,
-             CAST(count(*) AS BIGINT) AS n FROM {_P} p WHERE ok % 13 <> 0 GROUP BY 1""")
+@query(f"""SELECT CASE WHEN slot = 21 THEN ' cite journal' ELSE typ END || CASE WHEN ok % 13 = 0 THEN chr(10) ELSE '' END
+             AS type_of_citation, CAST(count(*) AS BIGINT) AS n FROM {_P} p GROUP BY 1""")
 def strict_types(spark, sf):
-    strict = D.citations(spark, sf).where(F.col("page_id") % 13 != 0).withColumn(
-        "t", C.citation_type("citation", strict=True)
-    )
+    """Types by the narrow rule: a blank before the name and a line end after it stay."""
+    strict = D.citations(spark, sf).withColumn("t", C.citation_type("citation", strict=True))
     return strict.groupBy(F.col("t").alias("type_of_citation")).agg(F.count("*").alias("n"))
 
 
@@ -444,7 +443,7 @@ def ol_valid(spark, sf):
 @query("""SELECT p_partkey, 'B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS code,
             TRUE AS valid_asin, CASE p_partkey % 3 WHEN 0 THEN 'co.jp' WHEN 1 THEN 'com.br' ELSE 'de' END AS shop,
             p_partkey % 4 <> 0 AS valid_message, p_partkey % 10 = (10 - (9 + 21 + 9 + (CAST(floor(p_partkey / 10) AS BIGINT) % 10) * 3) % 10) % 10 AS valid_ismn
-          FROM (SELECT * FROM part WHERE p_partkey < 100 OR p_partkey >= 0) x""")
+          FROM part""")
 def shop_codes(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey")
     key = F.col("p_partkey")

@@ -54,10 +54,10 @@ def windowed_counts(events: DataFrame, time: str, label: str, window: str = "1 d
 
 
 def stream_label_counts(
-    spark: SparkSession, source: str, schema, target: str, checkpoint: str, time: str, label: str
+    spark: SparkSession, source: str, schema, target: str, checkpoint: str, time: str, label: str, pattern: str = "*"
 ) -> StreamingQuery:
-    """Windowed counts of a folder of event files, finished windows appended to a table."""
-    events = spark.readStream.schema(schema).parquet(source)
+    """Windowed counts of the event files of a folder, finished windows appended to a table."""
+    events = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source)
     stamped = events.withColumn(time, F.col(time).cast("timestamp"))
     return (
         windowed_counts(stamped, time, label)
