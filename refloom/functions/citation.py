@@ -72,15 +72,19 @@ def citation_class(name: ColumnOrName, strict: bool = False) -> Column:
     return F.coalesce(lookup(CANONICAL_CLASSES, F.lower(F.trim(col(name)))), F.lower(word))
 
 
-def alias(params: ColumnOrName, field: str) -> Column:
-    """Value of the first set parameter of a field, null when none is set."""
+def set_params(params: ColumnOrName) -> Column:
+    """Parameters that hold something."""
+    return F.map_filter(col(params), lambda _, v: v != "")
+
+
+def alias(params: ColumnOrName, field: str, blanks: bool = True) -> Column:
+    """Value of the first set parameter of a field, null when none is set.
+
+    `blanks=False` is for a map that `set_params` made.
+    """
     m = col(params)
-    names = FIELD_ALIASES[field]
-    if len(names) == 1:
-        return blank_to_null(F.try_element_at(m, F.lit(names[0])))
-    return F.try_element_at(
-        F.filter(F.array(*[F.try_element_at(m, F.lit(n)) for n in names]), lambda v: v != ""), F.lit(1)
-    )
+    values = [F.try_element_at(m, F.lit(n)) for n in FIELD_ALIASES[field]]
+    return first_set(*values) if blanks else F.coalesce(*values)
 
 
 def alias_origin(params: ColumnOrName, field: str) -> Column:

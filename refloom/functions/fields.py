@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from refloom.functions.core import ColumnOrName, col, in_list, is_set, matches
+from refloom.functions.core import ColumnOrName, col, in_list, is_set, let, matches
 from refloom.functions.wikitext import strip_apostrophes
 from refloom.tables.params import KEYWORD_PARAMS, KEYWORDS
 
@@ -60,18 +60,24 @@ def clean_invisible(text: ColumnOrName) -> Column:
 
 def invisible_chars(text: ColumnOrName) -> Column:
     """`array<struct<group,position>>` of the first hit of each group of invisible characters."""
-    c = col(text)
-    hits = [
-        F.when(
-            matches(c, pattern),
-            F.struct(
-                F.lit(group).alias("group"),
-                (F.length(F.split(c, pattern, 2)[0]) + 1).alias("position"),
-            ),
+    any_group = "|".join(pattern for _, pattern in INVISIBLE_GROUPS)
+
+    def hits(c: Column) -> Column:
+        found = [
+            F.when(
+                matches(c, pattern),
+                F.struct(
+                    F.lit(group).alias("group"),
+                    (F.length(F.split(c, pattern, 2)[0]) + 1).alias("position"),
+                ),
+            )
+            for group, pattern in INVISIBLE_GROUPS
+        ]
+        return F.when(matches(c, any_group), F.array_compact(F.array(*found))).otherwise(
+            F.array().cast("array<struct<group:string,position:int>>")
         )
-        for group, pattern in INVISIBLE_GROUPS
-    ]
-    return F.array_compact(F.array(*hits))
+
+    return let(col(text), hits)
 
 
 def extra_page_text(pages: ColumnOrName) -> Column:

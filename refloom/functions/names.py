@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,12 +51,13 @@ def people(params: ColumnOrName, kind: str = "author") -> Column:
     last name is left out.
     """
     codes = _codes(kind)
+    starts = "^(?:" + "|".join(sorted({re.match("[a-z]+", n).group() for n in codes})) + ")"
     no_people = F.array().cast(f"array<{PERSON}>")
 
     def entries(m: Column) -> Column:
         """Set name parameters as (number, code, value), best rank first."""
         listed = F.transform(
-            F.map_entries(m),
+            F.filter(F.map_entries(m), lambda e: matches(e["key"], starts)),
             lambda e: F.struct(
                 F.coalesce(F.regexp_extract(e["key"], r"([0-9]+)", 1).try_cast("int"), F.lit(1)).alias("no"),
                 lookup(codes, F.regexp_replace(e["key"], r"[0-9]+", "#")).alias("code"),

@@ -88,11 +88,45 @@ def _split_top_level(body: Column) -> Column:
     )
 
 
-def template_params(template: ColumnOrName) -> Column:
-    """`array<struct<pos,name,value,positional>>` of a template text; unnamed parameters are numbered from 1."""
-    c = col(template)
-    closed = F.when(c.endswith("}}"), F.length(c) - 4).otherwise(F.length(c) - 2)
-    body = F.substring(c, F.lit(3), closed)
+# One parameter without nesting beyond one level: a name, then text in which links and templates count as one piece.
+_PARAM = (
+    r"\|(?:\s*([^=|\[{<]*?)\s*=)?"
+    r"((?:[^|\[{]++|\[\[[^\[\]]*+\]\]|\{\{[^{}]*+\}\}|[\[{])*+)"
+)
+_DEEP = r"\{\{[^}]*\{\{|\{\{\{|<!--|<(?i:nowiki|math|pre|ref|source|gallery)|\|\s*=|\[\[[^\]]*(?:\[\[|\{\{)"
+
+
+def _numbered(parts: Column) -> Column:
+    """`array<struct<pos,name,value,positional>>` from (named, name, value); unnamed ones are numbered from 1."""
+    return F.transform(
+        parts,
+        lambda p, i: F.struct(
+            (i + 1).alias("pos"),
+            F.when(p["named"], p["name"])
+            .otherwise(F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda q: ~q["named"])).cast("string"))
+            .alias("name"),
+            p["value"].alias("value"),
+            (~p["named"]).alias("positional"),
+        ),
+    )
+
+
+def _params_by_pattern(body: Column) -> Column:
+    """Parameters of a body without deep nesting, read with one pattern."""
+    found = F.arrays_zip(
+        F.regexp_extract_all(body, F.lit(_PARAM), F.lit(1)).alias("name"),
+        F.regexp_extract_all(body, F.lit(_PARAM), F.lit(2)).alias("value"),
+    )
+    return F.transform(
+        found,
+        lambda p: F.struct(
+            (p["name"] != "").alias("named"), p["name"].alias("name"), trim_all(p["value"]).alias("value")
+        ),
+    )
+
+
+def _params_by_scan(body: Column) -> Column:
+    """Parameters of any body: split at the bars of the top level, then at the first equal sign."""
 
     def read(part: Column) -> Column:
         def cut(at: Column) -> Column:
@@ -106,41 +140,44 @@ def template_params(template: ColumnOrName) -> Column:
 
         return let(F.instr(part, F.lit("=")), cut)
 
-    def number(parts: Column) -> Column:
-        return F.transform(
-            parts,
-            lambda p, i: F.struct(
-                (i + 1).alias("pos"),
-                F.when(p["named"], p["name"])
-                .otherwise(
-                    F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda q: ~q["named"])).cast("string")
-                )
-                .alias("name"),
-                p["value"].alias("value"),
-                (~p["named"]).alias("positional"),
-            ),
-        )
+    return let(
+        _split_top_level(body),
+        lambda pieces: F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), read),
+    )
 
-    def parts_of(pieces: Column) -> Column:
-        return let(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), read), number)
 
-    return let(_split_top_level(body), parts_of)
+def template_params(template: ColumnOrName) -> Column:
+    """`array<struct<pos,name,value,positional>>` of a template text; unnamed parameters are numbered from 1."""
+    c = col(template)
+    closed = F.when(c.endswith("}}"), F.length(c) - 4).otherwise(F.length(c) - 2)
+    return let(
+        F.substring(c, F.lit(3), closed),
+        lambda body: let(
+            F.when(matches(body, _DEEP), _params_by_scan(body)).otherwise(
+                _params_by_pattern(F.substring(body, F.instr(body, F.lit("|")), F.length(body)))
+            ),
+            _numbered,
+        ),
+    )
 
 
 def params_to_map(params: ColumnOrName) -> Column:
     """Name to value; where a name is given twice the last value wins."""
 
-    def dedupe(items: Column) -> Column:
-        return F.filter(
+    def build(items: Column) -> Column:
+        names = F.transform(items, lambda p: p["name"])
+        last = F.filter(
             items,
             lambda p, i: ~F.exists(
                 F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))), lambda q: q["name"] == p["name"]
             ),
         )
+        kept = F.when(F.size(F.array_distinct(names)) == F.size(items), items).otherwise(last)
+        return F.map_from_entries(
+            F.transform(kept, lambda p: F.struct(p["name"].alias("k"), p["value"].alias("v")))
+        )
 
-    return F.map_from_entries(
-        F.transform(let(col(params), dedupe), lambda p: F.struct(p["name"].alias("k"), p["value"].alias("v")))
-    )
+    return let(col(params), build)
 
 
 def has_param(params: ColumnOrName, name: str, ignore_empty: bool = False) -> Column:

@@ -158,8 +158,9 @@ def normalize_citations(
     )
     parsed = p.columns
     known = C.is_citation_template("template_name", lang, strict)
-    a = lambda field: C.alias("params", field)
+    a = lambda field: C.alias("given", field, blanks=False)
 
+    p = p.withColumn("given", C.set_params("params"))
     p = p.withColumns(
         {
             "known": F.coalesce(known, F.lit(False)),
@@ -190,7 +191,7 @@ def normalize_citations(
             "place": C.place_rule(a("PublicationPlace"), a("Place")),
             "city": a("City"),
             "access_date": C.access_date_rule("cls", a("AccessDate")),
-            "ids": extract_ids("params"),
+            "ids": extract_ids("given"),
         }
     )
     p = p.withColumns(
@@ -211,10 +212,10 @@ def normalize_citations(
     )
     p = _class_remaps(_encyclopedia_remap(p))
     p = settle(p, [c for c in p.columns if c not in parsed])
-    p = p.withColumn("people", authors("params"))
+    p = p.withColumn("people", authors("given"))
     p = p.withColumn(
         "contributors",
-        F.when(F.col("with_contributors") & (F.size("people") > 0), people("params", "contributor")),
+        F.when(F.col("with_contributors") & (F.size("people") > 0), people("given", "contributor")),
     )
 
     parsed = parse_date("date_text", as_of_year)
@@ -264,7 +265,9 @@ def normalize_citations(
     chosen = F.when(F.size(F.coalesce("contributors", F.array())) > 0, F.col("contributors")).otherwise(F.col("people"))
     shown = F.transform(
         chosen,
-        lambda x: F.struct(*[W.strip_value(x[k]).alias(k) for k in ("last", "first", "link", "mask")]),
+        lambda x: F.struct(
+            *[F.when(x[k].isNotNull(), W.strip_value(x[k])).alias(k) for k in ("last", "first", "link", "mask")]
+        ),
     )
     authors_out = F.when(known_, shown).otherwise(F.slice(shown, F.lit(1), F.lit(0)))
     ids_out = F.when(known_, F.transform_values("ids", lambda _, v: W.strip_value(v))).otherwise(
@@ -275,7 +278,10 @@ def normalize_citations(
         {
             "texts": F.when(
                 known_,
-                F.transform(F.array(*[values[n] for n in TEXT_FIELDS]), lambda v: F.coalesce(W.strip_value(v), F.lit(""))),
+                F.transform(
+                    F.array(*[values[n] for n in TEXT_FIELDS]),
+                    lambda v: F.when(v.isNull(), F.lit("")).otherwise(W.strip_value(v)),
+                ),
             ).otherwise(F.array_repeat(F.lit(""), len(TEXT_FIELDS))),
             "Authors": authors_out,
             "ID_list": ids_out,
@@ -332,7 +338,7 @@ def _class_remaps(p: DataFrame) -> DataFrame:
     """Rules of single classes: mailing list, conference, map, episode, serial, arXiv."""
     null = F.lit(None).cast("string")
     cls = F.col("cls")
-    alias = lambda field: C.alias("params", field)
+    alias = lambda field: C.alias("given", field, blanks=False)
 
     p = p.withColumn(
         "periodical",

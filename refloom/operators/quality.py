@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions import citation as C
 from refloom.functions import identifiers as I
-from refloom.functions.core import blank_to_null, in_list, is_set, let, matches
+from refloom.functions.core import in_list, is_set, let, matches
 from refloom.functions.dates import acceptable_date, parse_date, valid_access_date, year_date_mismatch
 from refloom.functions.fields import extra_page_text, invisible_chars, valid_keyword
 from refloom.functions.names import author_source, has_et_al
@@ -84,16 +84,20 @@ def invisible_report(df: DataFrame, params: str = "params") -> DataFrame:
     )
 
 
-def error_kinds(
-    params: str = "params", cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "2026-01-01"
-) -> Column:
-    """`array<string>` of the error and maintenance kinds of one citation."""
-    m = F.col(params)
-    a = lambda f: C.alias(m, f)
+def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "2026-01-01") -> Column:
+    """`array<string>` of the error and maintenance kinds of one citation.
+
+    Reads `_given` (set parameters) and `_status` (kind of each), which `with_errors` adds.
+    """
+    m = F.col("_given")
+    a = lambda f: C.alias(m, f, blanks=False)
     c = F.col(cls)
 
     def value(*names: str) -> Column:
-        return F.coalesce(*[blank_to_null(F.try_element_at(m, F.lit(n))) for n in names])
+        return F.coalesce(*[F.try_element_at(m, F.lit(n)) for n in names])
+
+    def has_status(status: str) -> Column:
+        return F.array_contains("_status", status)
 
     def bad(check, field_value: Column) -> Column:
         return let(field_value, lambda v: v.isNotNull() & ~check(v))
@@ -192,13 +196,13 @@ def error_kinds(
         & a("Periodical").isNull()
         & (a("Contribution").isNull() | ~any_author),
         "deprecated_params": value(*DEPRECATED).isNotNull(),
-        "empty_citation": F.size(F.map_filter(m, lambda k, v: v != "")) == 0,
+        "empty_citation": F.size(m) == 0,
         "first_missing_last": value(*firsts).isNotNull() & value(*lasts_1).isNull(),
         "format_missing_url": (a("Format").isNotNull() & url.isNull())
         | (a("ChapterFormat").isNotNull() & chapter_url.isNull()),
         "implict_etal_editor": in_list(F.lower(a("DisplayEditors")), ["etal", "et al", "et al."]),
         "invalid_param_val": keyword_bad,
-        "invisible_char": F.exists(F.map_values(m), lambda v: F.size(invisible_chars(v)) > 0),
+        "invisible_char": F.size(F.flatten(F.transform(F.map_values(m), invisible_chars))) > 0,
         "missing_name": (names_source == "numbered")
         & value(*lasts_1).isNull()
         & value(*firsts).isNull(),
@@ -206,19 +210,13 @@ def error_kinds(
             F.array(a("Title"), a("Chapter"), a("Periodical"), a("PublisherName")),
             lambda v: v.isNotNull() & has_external_link(v),
         ),
-        "parameter_ignored": F.exists(
-            F.map_entries(m), lambda e: is_set(e["value"]) & (param_status(e["key"], e["value"]) == "unknown")
-        ),
-        "parameter_ignored_suggest": F.exists(
-            F.map_entries(m), lambda e: is_set(e["value"]) & (param_status(e["key"], e["value"]) == "suggest")
-        ),
+        "parameter_ignored": has_status("unknown"),
+        "parameter_ignored_suggest": has_status("suggest"),
         "redundant_parameters": F.exists(
             F.array(*[F.size(C.redundant_aliases(m, f)) for f in ("Periodical", "Chapter", "URL", "PublisherName", "Issue")]),
             lambda n: n > 0,
         ),
-        "text_ignored": F.exists(
-            F.map_entries(m), lambda e: matches(e["key"], r"^\d+$") & is_set(F.trim(e["value"]))
-        ),
+        "text_ignored": has_status("text"),
         "trans_missing_title": (a("TransTitle").isNotNull() & a("Title").isNull())
         | (a("TransChapter").isNotNull() & F.coalesce(a("Chapter"), a("Title")).isNull()),
         "vancouver": (names_source == "vancouver") & bad_vanc,
@@ -237,7 +235,12 @@ def error_kinds(
 
 def with_errors(parsed: DataFrame, as_of_year: int = 2026, as_of_date: str = "2026-01-01") -> DataFrame:
     """Add `errors` to the output of `parse_templates`."""
-    return parsed.withColumn("errors", error_kinds(as_of_year=as_of_year, as_of_date=as_of_date))
+    staged = parsed.withColumn("_given", C.set_params("params")).withColumn(
+        "_status", F.transform(F.map_entries("_given"), lambda e: param_status(e["key"], e["value"]))
+    )
+    return staged.withColumn("errors", error_kinds(as_of_year=as_of_year, as_of_date=as_of_date)).drop(
+        "_given", "_status"
+    )
 
 
 def quality_report(parsed: DataFrame, **options) -> DataFrame:
