@@ -134,3 +134,12 @@ def settle(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     made = list(columns)
     keep = [c for c in df.columns if c not in made]
     return df.select(*keep, F.inline(F.array(F.struct(*made))))
+
+
+def join_key(cond: Column, key: Column, *spread_by: ColumnOrName) -> Column:
+    """Join key for the rows under `cond`; the others get one of many keys that match nothing.
+
+    A null key would send all of them to the same task in a shuffled outer join.
+    """
+    other = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.lit(4096)).cast("string"))
+    return F.when(cond, key).otherwise(other)

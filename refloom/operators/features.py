@@ -75,7 +75,7 @@ def char_index(counts: DataFrame) -> DataFrame:
 def char_sequence(df: DataFrame, index: DataFrame, text: str = "citations", length: int = MAX_CHARS) -> DataFrame:
     """Character numbers as an array of fixed length: left filled with 0, or the last `length` ones kept.
 
-    The index (one row per distinct character) is sent along as one map.
+    The index has one row per distinct character, a bounded alphabet; it becomes one constant map.
     """
     table = index.agg(F.map_from_entries(F.collect_list(F.struct("char", "idx"))).alias("_index"))
 
@@ -85,8 +85,8 @@ def char_sequence(df: DataFrame, index: DataFrame, text: str = "citations", leng
     def fit(x: Column) -> Column:
         return F.slice(F.concat(F.array_repeat(F.lit(0), length), x), -length, length)
 
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one")
-    return joined.withColumn("char_ids", let(ids(F.col("_index")), fit)).drop("_index", "_one")
+    staged = df.withColumn("_index", table.scalar())
+    return staged.withColumn("char_ids", let(ids(F.col("_index")), fit)).drop("_index")
 
 
 def length_stats(df: DataFrame, label: str = "label_category", words: str = "total_words") -> DataFrame:

@@ -7,16 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.core import in_list, is_set, settle
+from refloom.functions.core import in_list, is_set, join_key, settle
 from refloom.functions.fields import legacy_id_pairs
 from refloom.functions.urls import is_google_book, top_domain
 from refloom.tables.params import ID_KINDS
 
 KINDS = list(ID_KINDS)
 
-# Above this many rows a membership list is joined by shuffle instead of being sent to every executor.
-BROADCAST_ROWS = 2_000_000
-
 
 def with_ids(df: DataFrame, ids: str = "ID_list") -> DataFrame:
     """Rows that have identifiers, full duplicates removed.
@@ -99,20 +96,25 @@ def with_domain(df: DataFrame, url: str = "URL") -> DataFrame:
 def label_news(df: DataFrame, domains: DataFrame, url: str = "URL") -> DataFrame:
     """`other` citations whose domain is in the set become news.
 
-    The set is a table of distinct names. Only rows that can change take part in the look-up: their key is the
-    domain, all others carry a null key, so a popular domain of labelled rows is not moved. The few thousand
-    domains of the usual lists are broadcast by their size; a larger set is joined by shuffle.
+    Only rows that can change carry the domain as join key. The few ten thousand names of the usual lists are
+    broadcast by their measured size; a larger set is joined by shuffle, where the rows without a key are spread
+    and the planner splits a domain that holds very many rows.
     """
     names = domains.select(F.col(domains.columns[0]).alias("_domain")).distinct().withColumn("_news", F.lit(True))
-    labelled = with_domain(df, url).withColumn(
-        "_domain", F.when((F.col("actual_label") == "other") & (F.col("tld") != ""), F.col("tld"))
-    )
+    can_change = (F.col("actual_label") == "other") & (F.col("tld") != "")
+    staged = settle(with_domain(df, url), ["tld"])
+    labelled = staged.withColumn("_domain", join_key(can_change, F.col("tld"), url, *_id_columns(staged)))
     joined = labelled.join(names, "_domain", "left")
     return joined.withColumn(
         "actual_label", F.when(F.col("_news"), "news").otherwise(F.col("actual_label"))
     ).drop("_domain", "_news")
 
 
+def _id_columns(df: DataFrame) -> list[str]:
+    """Columns that tell rows apart, for spreading them."""
+    return [c for c in ("page_id", "id", "citation", "citations") if c in df.columns]
+
+
 def build_domain_set(*sources: DataFrame) -> DataFrame:
     """Distinct domain names of several lists with an address in their first column."""
     parts = [s.select(top_domain(s.columns[0]).alias("domain")) for s in sources]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from refloom.functions.core import ColumnOrName, col, is_set, let
+from refloom.functions.core import ColumnOrName, col, is_set, join_key, let
 from refloom.functions.similarity import THRESHOLD, length_bound, ratio_bound, similarity_ratio, similarity_ratios
 from refloom.session import materialize
 
@@ -162,15 +162,15 @@ def disambiguate(
 ) -> DataFrame:
     """Add `acquired_ID_list`: identifiers of the publication record, else of the book record, else empty.
 
-    Only citations that qualify are looked up, each distinct title once. The answer goes back by title, where
-    unqualified rows carry a null key, so a title shared by very many rows costs one look-up. `df` is read twice;
-    give a stage table, not a plan that normalises citations on the way.
+    Only citations that qualify are looked up, each distinct title once, so a title shared by very many rows costs
+    one look-up. `df` is read twice; give a stage table, not a plan that normalises citations on the way.
     """
     wanted = (
         (F.col(label) == "other") & F.col("type_of_citation").isin(*LOOKUP_TYPES) & is_set(F.col(title))
     )
-    keyed = df.withColumn("_title", F.when(wanted, F.col(title)))
-    answers = match_titles(keyed, works, books, "_title")
+    asked = df.where(wanted).select(F.col(title).alias("_title"))
+    answers = match_titles(asked, works, books, "_title")
+    keyed = df.withColumn("_title", join_key(wanted, F.col(title), *[c for c in ("page_id", "id", title) if c in df.columns]))
     return keyed.join(answers, "_title", "left").drop("_title").withColumn(
         "acquired_ID_list", F.coalesce("acquired_ID_list", F.array().cast(f"array<{ID}>"))
     )
@@ -195,8 +195,9 @@ def request_params(df: DataFrame, key: str, title: str, author: str) -> DataFram
 def request_batches(df: DataFrame, *order: str, size: int = BATCH) -> DataFrame:
     """Number the rows in `order` and cut them into batches of `size`.
 
-    A single running number over all rows would put them into one task. Rows are sorted into ranges, each range
-    counts its rows, and the running start of the ranges (one small row per range) is added back.
+    `order` must tell rows apart. A single running number over all rows would put them into one task. Rows are
+    sorted into ranges, each range counts its rows, and the running start of the ranges (one small row per range)
+    is added back.
     """
     # The ranges are written once: a range number must not change when a lost task is computed again.
     ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")

@@ -12,6 +12,7 @@ from refloom.functions import identifiers as I
 from refloom.functions import names as N
 from refloom.functions import urls as U
 from refloom.functions import wikitext as W
+from refloom.functions.core import settle
 from refloom.operators import citations as O
 from refloom.operators import extraction as X
 from refloom.operators import labels as L
@@ -51,7 +52,7 @@ def parsed(spark, sf):
 def with_id_list(spark, sf):
     """Known types with identifiers: what labelling reads."""
     p = O.parse_templates(O.filter_known_types(cites(spark, sf)), "citation")
-    return p.withColumn("ID_list", I.extract_ids("params"))
+    return settle(p.withColumn("ID_list", I.extract_ids("params")), ["ID_list"])
 
 
 def normalized_cites(spark, sf):
@@ -579,6 +580,9 @@ def page_urls(spark, sf):
 
 # --- quality -------------------------------------------------------------------------------------------------
 
+_LCCN_OK = "CASE flaw WHEN 0 THEN length(lccn) = 11 WHEN 4 THEN FALSE ELSE TRUE END"
+_ARXIV_OK = """CASE flaw WHEN 0 THEN FALSE WHEN 1 THEN CASE pk % 10 WHEN 0 THEN FALSE WHEN 1 THEN m >= 7 ELSE TRUE END
+  ELSE TRUE END"""
 _ERRORS = f"""
   SELECT 'bad_doi' AS kind, doi IS NOT NULL AND flaw = 0 AS hit FROM {_P} p WHERE slot <> 31
   UNION ALL SELECT 'bad_isbn', isbn IS NOT NULL AND flaw = 0 FROM {_P} p WHERE slot <> 31
@@ -602,6 +606,11 @@ _ERRORS = f"""
   UNION ALL SELECT 'arxiv_params_not_supported', slot = 26 AND coalesce(doi, isbn, issn, pmid, pmc, lccn, ol) IS NOT NULL FROM {_P} p
   UNION ALL SELECT 'citation_missing_title', slot IN (29, 31) FROM {_P} p
 """
+_ALL_ERRORS = f"""{_ERRORS}
+  UNION ALL SELECT 'bad_arxiv', arxiv IS NOT NULL AND NOT ({_ARXIV_OK}) FROM {_P} p WHERE slot <> 31
+  UNION ALL SELECT 'bad_lccn', lccn IS NOT NULL AND NOT ({_LCCN_OK}) FROM {_P} p WHERE slot <> 31
+  UNION ALL SELECT 'cite_web_url', cls IN ('web', 'podcast', 'mailinglist') AND url IS NULL FROM {_P} p WHERE slot <> 31
+"""
 
 
 @query(f"SELECT kind, CAST(count(*) AS BIGINT) AS n FROM ({_ERRORS}) e WHERE hit GROUP BY kind")
@@ -615,7 +624,7 @@ def error_counts(spark, sf):
     return Q.quality_report(parsed(spark, sf)).where(F.col("kind").isin(*kinds))
 
 
-@query()
+@query(f"SELECT kind, CAST(count(*) AS BIGINT) AS n FROM ({_ALL_ERRORS}) e WHERE hit GROUP BY kind")
 def quality_report(spark, sf):
     return Q.quality_report(parsed(spark, sf))
 

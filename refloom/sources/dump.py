@@ -69,31 +69,29 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_partitioned_batches(df: DataFrame, path: str, key: str, batches: int = 32) -> int:
-    """Write in hash batches so that a failure loses one batch; batches that are there already are skipped.
+def write_partitioned_batches(df: DataFrame, path: str, key: str, batches: int = 32, jobs: int = 4) -> int:
+    """Write in hash batches, several batches per job, so that a failure loses one job at most.
 
-    Returns the number of batches written in this run.
+    Batches whose folder is there are skipped on the next run. Returns the number of batches written in this run.
     """
     spark = df.sparkSession
     bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
     done = _finished_batches(spark, path)
     todo = [b for b in range(batches) if b not in done]
-    for b in todo:
-        one = bucketed.where(F.col("bucket") == b).drop("bucket")
-        one.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/bucket={b}")
+    per_job = -(-batches // jobs)
+    for i in range(0, len(todo), per_job):
+        group = bucketed.where(F.col("bucket").isin(*todo[i : i + per_job]))
+        writer = group.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.option("compression", "snappy").partitionBy("bucket").parquet(path)
     return len(todo)
 
 
 def _finished_batches(spark: SparkSession, path: str) -> set[int]:
-    """Batch folders with a success marker."""
+    """Batch folders that were committed: a folder is moved into place as a whole."""
     jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
         return set()
-    return {
-        int(s.getPath().getName().split("=")[1])
-        for s in fs.listStatus(hadoop_path)
-        if s.getPath().getName().startswith("bucket=")
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    }
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return {int(n.split("=")[1]) for n in names if n.startswith("bucket=")}
