@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from refloom.functions.core import (
     blank_to_null,
     col,
     first_set,
+    first_values,
     in_list,
     is_set,
     let,
@@ -87,6 +90,15 @@ def alias(params: ColumnOrName, field: str, blanks: bool = True) -> Column:
     return first_set(*values) if blanks else F.coalesce(*values)
 
 
+def field_values(params: ColumnOrName, fields: Iterable[str]) -> Column:
+    """Values of many fields at once, in the order of `fields`, from a map that `set_params` made.
+
+    One pass over a constant table of names; a separate expression per field would make the generated code of
+    the stage too large to be compiled to machine code.
+    """
+    return first_values(col(params), [FIELD_ALIASES[f] for f in fields])
+
+
 def alias_origin(params: ColumnOrName, field: str) -> Column:
     """Name of the parameter that fills a field."""
     m = col(params)

@@ -53,6 +53,17 @@ def any_of(*conds: Column) -> Column:
     return out
 
 
+def first_values(m: Column, names: Iterable[Iterable[str]]) -> Column:
+    """For each list of names the first one's value that a map holds, as an array."""
+    table = F.array(*[F.split(F.lit("|".join(group)), r"\|") for group in names])
+    return F.transform(
+        table,
+        lambda group: F.get(
+            F.filter(F.transform(group, lambda n: F.try_element_at(m, n)), lambda v: v.isNotNull()), F.lit(0)
+        ),
+    )
+
+
 _ENTRY, _PAIR = "\x1e", "\x1f"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from refloom.functions.core import ColumnOrName, col, first_set, in_list, is_set, matches
+from refloom.functions.core import ColumnOrName, col, first_values, in_list, is_set, let, matches
 from refloom.tables.params import ID_KINDS
 
 # Highest numbers accepted.
@@ -195,15 +195,17 @@ def valid_id(kind: ColumnOrName, value: ColumnOrName) -> Column:
 
 def extract_ids(params: ColumnOrName) -> Column:
     """`map<kind, value>` of all identifiers set in a parameter map, kinds in alphabetic order."""
-    m = col(params)
-    found = [
-        F.struct(
-            F.lit(kind).alias("kind"),
-            first_set(*[F.try_element_at(m, F.lit(n)) for n in names]).alias("value"),
+    given = F.map_filter(col(params), lambda _, v: v != "")
+    kinds = F.split(F.lit("|".join(ID_KINDS)), r"\|")
+
+    def pair(m: Column) -> Column:
+        values = first_values(m, [names for names, _ in ID_KINDS.values()])
+        return F.filter(
+            F.zip_with(kinds, values, lambda k, v: F.struct(k.alias("kind"), v.alias("value"))),
+            lambda e: e["value"].isNotNull(),
         )
-        for kind, (names, _) in ID_KINDS.items()
-    ]
-    return F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"].isNotNull()))
+
+    return F.map_from_entries(let(given, pair))
 
 
 def id_url(kind: ColumnOrName, value: ColumnOrName, asin_tld: Column | None = None) -> Column:

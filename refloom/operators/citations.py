@@ -28,6 +28,19 @@ FIELDS = (
     " Periodical PublicationPlace Date Edition Pages Chron Issue Volume TitleType"
 ).split()
 
+# Fields the normaliser reads, with their place in the array of values.
+_FIELD_NO = {
+    name: i
+    for i, name in enumerate(
+        (
+            "Title ScriptTitle TitleLink Chapter ScriptChapter ChapterURL URL Periodical Encyclopedia BookTitle"
+            " Format Series Season SeriesNumber PublisherName Degree Edition TitleType Others Contribution Embargo"
+            " Date AirDate Year PublicationDate PublicationPlace Place City AccessDate Volume Issue Sheet Sheets"
+            " Page Pages At MailingList Map MapURL Episode"
+        ).split()
+    )
+}
+
 
 def section_in_force(heads: Column, start: Column, strict: bool = False) -> Column:
     """Title of the last heading before a position.
@@ -158,9 +171,9 @@ def normalize_citations(
     )
     parsed = p.columns
     known = C.is_citation_template("template_name", lang, strict)
-    a = lambda field: C.alias("given", field, blanks=False)
+    a = lambda field: F.get("_values", F.lit(_FIELD_NO[field]))
 
-    p = p.withColumn("given", C.set_params("params"))
+    p = p.withColumn("given", C.set_params("params")).withColumn("_values", C.field_values("given", _FIELD_NO))
     p = p.withColumns(
         {
             "known": F.coalesce(known, F.lit(False)),
@@ -172,12 +185,11 @@ def normalize_citations(
             "chapter_url": a("ChapterURL"),
             "url": a("URL"),
             "periodical": a("Periodical"),
-            "periodical_origin": C.alias_origin("params", "Periodical"),
+            "periodical_origin": C.alias_origin("given", "Periodical"),
             "encyclopedia": a("Encyclopedia"),
             "book_title": a("BookTitle"),
             "fmt": a("Format"),
             "series": a("Series"),
-            "series_link": a("SeriesLink"),
             "season": a("Season"),
             "series_number": a("SeriesNumber"),
             "publisher": a("PublisherName"),
@@ -187,8 +199,8 @@ def normalize_citations(
             "others": a("Others"),
             "contribution": a("Contribution"),
             "embargo": a("Embargo"),
-            "date_text": C.date_promotion(a("Date"), a("Year"), a("PublicationDate"), a("AirDate")),
-            "place": C.place_rule(a("PublicationPlace"), a("Place")),
+            "date_text": F.coalesce(a("Date"), a("AirDate"), a("Year"), a("PublicationDate")),
+            "place": F.coalesce(a("PublicationPlace"), a("Place")),
             "city": a("City"),
             "access_date": C.access_date_rule("cls", a("AccessDate")),
             "ids": extract_ids("given"),
@@ -198,7 +210,7 @@ def normalize_citations(
         {
             "volume": C.volume_rule("cls", a("Volume"), "periodical"),
             "issue": C.issue_rule("cls", a("Issue"), "periodical"),
-            "page_text": C.choose_pages(
+            "page_text": F.coalesce(
                 a("Sheet"),
                 a("Sheets"),
                 C.page_rule("cls", a("Page")),
@@ -211,7 +223,7 @@ def normalize_citations(
         }
     )
     p = _class_remaps(_encyclopedia_remap(p))
-    p = settle(p, [c for c in p.columns if c not in parsed])
+    p = settle(p.drop("_values"), [c for c in p.columns if c not in parsed and c != "_values"])
     p = p.withColumn("people", authors("given"))
     p = p.withColumn(
         "contributors",
@@ -338,7 +350,7 @@ def _class_remaps(p: DataFrame) -> DataFrame:
     """Rules of single classes: mailing list, conference, map, episode, serial, arXiv."""
     null = F.lit(None).cast("string")
     cls = F.col("cls")
-    alias = lambda field: C.alias("given", field, blanks=False)
+    alias = lambda field: F.get("_values", F.lit(_FIELD_NO[field]))
 
     p = p.withColumn(
         "periodical",

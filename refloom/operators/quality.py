@@ -22,6 +22,8 @@ from refloom.tables.params import (
     NUMBERED_PARAMS,
 )
 
+_FIELD_NO = {name: i for i, name in enumerate(FIELD_ALIASES)}
+
 
 def param_status(name: Column, value: Column) -> Column:
     """`known`, `deprecated`, `suggest` (the lower-case name is known), `text` (unnamed) or `unknown`."""
@@ -87,10 +89,10 @@ def invisible_report(df: DataFrame, params: str = "params") -> DataFrame:
 def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "2026-01-01") -> Column:
     """`array<string>` of the error and maintenance kinds of one citation.
 
-    Reads `_given` (set parameters) and `_status` (kind of each), which `with_errors` adds.
+    Reads `_given` (set parameters), `_status` (kind of each), `_values` (fields) and `_ids`, which `with_errors` adds.
     """
     m = F.col("_given")
-    a = lambda f: C.alias(m, f, blanks=False)
+    a = lambda f: F.get("_values", F.lit(_FIELD_NO[f]))
     c = F.col(cls)
 
     def value(*names: str) -> Column:
@@ -103,7 +105,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         return let(field_value, lambda v: v.isNotNull() & ~check(v))
 
     def id_value(kind: str) -> Column:
-        return value(*ID_KINDS[kind][0])
+        return F.try_element_at("_ids", F.lit(kind))
 
     def date_bad(v: Column) -> Column:
         return let(v, lambda d: d.isNotNull() & ~acceptable_date(d, as_of_year))
@@ -139,7 +141,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
     arxiv_only = (
         F.coalesce(access, a("At"), a("Chapter"), a("Format"), a("Page"), a("Pages"), a("Periodical"),
                    a("PublisherName"), url).isNotNull()
-        | F.coalesce(*[id_value(k) for k in ID_KINDS if k != "ARXIV"]).isNotNull()
+        | (F.size(F.map_filter("_ids", lambda k, _: k != "ARXIV")) > 0)
     )
     page_like = F.coalesce(a("Page"), a("Pages"))
     isbn = id_value("ISBN")
@@ -235,11 +237,15 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
 
 def with_errors(parsed: DataFrame, as_of_year: int = 2026, as_of_date: str = "2026-01-01") -> DataFrame:
     """Add `errors` to the output of `parse_templates`."""
-    staged = parsed.withColumn("_given", C.set_params("params")).withColumn(
-        "_status", F.transform(F.map_entries("_given"), lambda e: param_status(e["key"], e["value"]))
+    staged = parsed.withColumn("_given", C.set_params("params")).withColumns(
+        {
+            "_status": F.transform(F.map_entries("_given"), lambda e: param_status(e["key"], e["value"])),
+            "_values": C.field_values("_given", _FIELD_NO),
+            "_ids": I.extract_ids("_given"),
+        }
     )
     return staged.withColumn("errors", error_kinds(as_of_year=as_of_year, as_of_date=as_of_date)).drop(
-        "_given", "_status"
+        "_given", "_status", "_values", "_ids"
     )
 
 
