@@ -408,8 +408,9 @@ def _class_remaps(p: DataFrame) -> DataFrame:
 
     arxiv = cls == "arxiv"
     has_id = F.coalesce(F.map_contains_key("ids", F.lit("ARXIV")), F.lit(False))
-    with_version = F.transform_values(
-        "ids", lambda k, v: F.when(k == "ARXIV", F.concat(v, F.col("series"))).otherwise(v)
+    with_version = F.map_concat(
+        F.map_filter("ids", lambda k, _: k != "ARXIV"),
+        F.create_map(F.lit("ARXIV"), F.concat(F.try_element_at("ids", F.lit("ARXIV")), F.col("series"))),
     )
     other_ids = F.size(F.map_keys("ids")) > F.when(has_id, 1).otherwise(0)
     unsupported = F.coalesce("access_date", "chapter", "fmt", "page_text", "publisher", "url", "periodical").isNotNull()
