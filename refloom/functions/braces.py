@@ -15,7 +15,8 @@ from refloom.tables.markup import OPAQUE_TAGS
 OPAQUE_PATTERN = r"<!--.*?-->|<(?:" + "|".join(
     rf"{t}(?:\s[^<>]*)?(?<!/)>.*?</{t}" for t in OPAQUE_TAGS
 ) + r")\s*>"
-BRACE_RUNS = r"(?is)" + OPAQUE_PATTERN + r"|\{{2,}|\}{2,}"
+# The look-ahead rules out most characters before the alternatives are tried.
+BRACE_RUNS = r"(?is)(?=[<{}])(?:" + OPAQUE_PATTERN + r"|\{{2,}|\}{2,})"
 
 _STACK_TYPE = "array<struct<idx:int,pos:int,len:int,left:int>>"
 _SPAN_TYPE = "struct<start:int,end:int,kind:string,a:int,head:int,b:int,tail:int>"

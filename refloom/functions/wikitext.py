@@ -30,7 +30,9 @@ from refloom.tables.markup import (
 )
 
 # A link opener counts only when the link closes again before another bracket.
-_PARAM_MARKS = r"(?is)" + OPAQUE_PATTERN + r"|\{{2,}|\}{2,}|\[\[(?=[^\[\]]*+\]\])|\]\]|\|"
+_PARAM_MARKS = (
+    r"(?is)(?=[<{}\[\]|])(?:" + OPAQUE_PATTERN + r"|\{{2,}|\}{2,}|\[\[(?=[^\[\]]*+\]\])|\]\]|\|)"
+)
 
 
 # --- templates -------------------------------------------------------------------------------------------
@@ -93,7 +95,10 @@ _PARAM = (
     r"\|(?:\s*([^=|\[{<]*?)\s*=)?"
     r"((?:[^|\[{]++|\[\[[^\[\]]*+\]\]|\{\{[^{}]*+\}\}|[\[{])*+)"
 )
-_DEEP = r"\{\{[^}]*\{\{|\{\{\{|<!--|<(?i:nowiki|math|pre|ref|source|gallery)|\|\s*=|\[\[[^\]]*(?:\[\[|\{\{)"
+_DEEP = (
+    r"(?=[{<|\[])(?:\{\{[^}]*\{\{|\{\{\{|<!--|<(?i:nowiki|math|pre|ref|source|gallery)|\|\s*="
+    r"|\[\[[^\]]*(?:\[\[|\{\{))"
+)
 
 
 def _numbered(parts: Column) -> Column:
@@ -569,11 +574,14 @@ def strip_code(
     return c
 
 
+def strip_bound(value: Column) -> Column:
+    """`strip_code` for a lambda variable or a plain column: most values hold no markup and stay as they are."""
+    return F.when(matches(value, r"[\[{<&\n]|''|^[*#:;=]"), strip_code(value)).otherwise(value)
+
+
 def strip_value(text: ColumnOrName) -> Column:
-    """`strip_code` for parameter values: most hold no markup and are returned as they are."""
-    return let(
-        col(text), lambda v: F.when(matches(v, r"[\[{<&\n]|''|^[*#:;=]"), strip_code(v)).otherwise(v)
-    )
+    """`strip_bound` for any expression, which is evaluated once."""
+    return let(col(text), strip_bound)
 
 
 def unlink(text: ColumnOrName) -> Column:

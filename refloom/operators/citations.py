@@ -282,7 +282,7 @@ def normalize_citations(
         ),
     )
     authors_out = F.when(known_, shown).otherwise(F.slice(shown, F.lit(1), F.lit(0)))
-    ids_out = F.when(known_, F.transform_values("ids", lambda _, v: W.strip_value(v))).otherwise(
+    ids_out = F.when(known_, F.transform_values("ids", lambda _, v: W.strip_bound(v))).otherwise(
         F.create_map().cast("map<string,string>")
     )
     # All text fields pass through one expression instead of nineteen copies of it.
@@ -292,7 +292,7 @@ def normalize_citations(
                 known_,
                 F.transform(
                     F.array(*[values[n] for n in TEXT_FIELDS]),
-                    lambda v: F.when(v.isNull(), F.lit("")).otherwise(W.strip_value(v)),
+                    lambda v: F.when(v.isNull(), F.lit("")).otherwise(W.strip_bound(v)),
                 ),
             ).otherwise(F.array_repeat(F.lit(""), len(TEXT_FIELDS))),
             "Authors": authors_out,
