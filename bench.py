@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from refloom.plans import derived
@@ -17,30 +18,21 @@ from refloom.session import local_session
 
 HEADLINE = [
     "label_counts",
-    "citation_types_top",
     "extracted_citations",
-    "citations_by_section",
     "templates_per_page",
     "plain_text",
     "template_params",
     "normalized",
-    "id_pivot",
-    "isbn_valid",
-    "dates_iso",
-    "top_domain",
     "label_news",
-    "news_share_by_domain",
     "neighbors_40",
+    "join_features",
     "token_counts",
     "unk_words",
-    "join_features",
-    "join_selected",
     "best_candidate",
-    "disambiguate",
-    "error_counts",
+    "similarity_ratio",
     "char_sequence",
-    "labelled_dataset",
     "links_from_html",
+    "request_batches",
 ]
 
 
@@ -61,6 +53,7 @@ def main() -> None:
         # Every row and column is computed, nothing is brought to the driver.
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(
         json.dumps(
