@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions import citation as C
 from refloom.functions import identifiers as I
-from refloom.functions.core import in_list, is_set, let, matches
+from refloom.functions.core import in_list, is_set, let, matches, settle
 from refloom.functions.dates import acceptable_date, parse_date, valid_access_date, year_date_mismatch
 from refloom.functions.fields import extra_page_text, invisible_chars, valid_keyword
 from refloom.functions.names import author_source, has_et_al
@@ -244,9 +244,9 @@ def with_errors(parsed: DataFrame, as_of_year: int = 2026, as_of_date: str = "20
             "_ids": I.extract_ids("_given"),
         }
     )
-    return staged.withColumn("errors", error_kinds(as_of_year=as_of_year, as_of_date=as_of_date)).drop(
-        "_given", "_status", "_values", "_ids"
-    )
+    found = staged.withColumn("errors", error_kinds(as_of_year=as_of_year, as_of_date=as_of_date))
+    # Without this the filter that an explode brings along would copy the whole expression, field by field.
+    return settle(found.drop("_given", "_status", "_values", "_ids"), ["errors"])
 
 
 def quality_report(parsed: DataFrame, **options) -> DataFrame:
