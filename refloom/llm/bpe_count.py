@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType
 #: Words of which a worker keeps the count, some 150 bytes each; then it starts anew.
 REMEMBERED = 400_000
 #: What \s stands for in the vocabulary file's patterns.
-_SPACES = r"\t-\r \x85\xa0  -     　"
+_SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_symbols() -> list[str]:

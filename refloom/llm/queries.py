@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_count, piece_codec, quality_rules, simhash
+from refloom.llm import bpe_count, piece_codec, pii, quality_rules, simhash
 from refloom.llm.common import table
 from refloom.plans.registry import query
 
@@ -76,3 +76,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(name="op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.n_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select(
+        "doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans")
+    )
