@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_count, piece_codec, pii, quality_rules, simhash
+from refloom.llm import bpe_count, mixing, piece_codec, pii, quality_rules, simhash
 from refloom.llm.common import table
 from refloom.plans.registry import query
 
@@ -85,3 +85,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans")
     )
+
+
+@query(name="op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
