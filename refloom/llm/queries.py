@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_count, mixing, piece_codec, pii, quality_rules, simhash
+from refloom.llm import bpe_count, embeddings, mixing, piece_codec, pii, quality_rules, simhash
 from refloom.llm.common import table
 from refloom.plans.registry import query
 
@@ -91,3 +91,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query(name="op10_embedding_dedup")
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
