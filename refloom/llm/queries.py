@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_count, embeddings, mixing, piece_codec, pii, quality_rules, simhash, toxicity
+from refloom.llm import bpe_count, embeddings, html_mincut, mixing, piece_codec, pii, quality_rules, simhash, toxicity
 from refloom.llm.common import table
 from refloom.plans.registry import query
 
@@ -101,3 +101,8 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(name="op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(name="op1_html_mincut")
+def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extracted(table(spark, sf_dir, "pages"))
