@@ -24,6 +24,8 @@ MOST_COPIES = 3
 STEPS, CLOSE = 60, 1e-9
 #: Moves of cells after rounding.
 MOVES = 6
+#: Sizes below a size that copies may move to.
+SWAPS = 8
 
 
 def source_key(source: Column) -> Column:
@@ -116,6 +118,36 @@ def solve(cells: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.join(state.select("_skey", F.round("_x", 9).alias("_x"), "_c"), "_skey", "left")
 
 
+def _best_move(near: DataFrame) -> DataFrame:
+    """(_skey, _n, _move): per source the change of copies that brings it nearest to its target, if any does.
+
+    Either copies of one cell are added (or taken away), or copies move between a cell and one of the `SWAPS` cells before
+    it in the order of sizes, which changes the words by the difference of the two sizes.
+    """
+    up = F.col("_gap") > 0
+    room = F.when(up, MOST_COPIES * F.col("_k") - F.col("_copies")).otherwise(F.col("_copies"))
+    back = F.when(up, F.col("_copies")).otherwise(MOST_COPIES * F.col("_k") - F.col("_copies"))
+    near = near.withColumn("_room", room).withColumn("_back", back)
+    before = Window.partitionBy("_skey").orderBy("_n").rowsBetween(-SWAPS, -1)
+    others = F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_back").alias("room"))).over(before)
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("room"))
+    near = near.withColumn("_others", others).withColumn("_o", F.explode(F.concat(F.array(none), "_others")))
+    step = F.col("_n") - F.col("_o.n")
+    most = F.least("_room", F.coalesce("_o.room", F.col("_room")))
+    near = near.withColumn("_m", F.least(most, F.greatest(F.lit(1).cast("long"), F.floor(F.abs("_gap") / step + 0.5))))
+    near = near.withColumn("_left", F.abs(F.abs("_gap") - F.col("_m") * step))
+    near = near.where((F.col("_m") > 0) & (F.col("_left") < F.abs("_gap")))
+    move = F.col("_m") * F.signum("_gap").cast("long")
+    best = near.groupBy("_skey").agg(
+        F.min(F.struct("_left", "_m", F.col("_n").alias("n"), F.col("_o.n").alias("other"), move.alias("move"))).alias("b")
+    )
+    both = F.array(
+        F.struct(F.col("b.n").alias("_n"), F.col("b.move").alias("_move")),
+        F.struct(F.col("b.other").alias("_n"), (-F.col("b.move")).alias("_move")),
+    )
+    return best.select("_skey", F.inline(both))
+
+
 def cell_copies(cells: DataFrame, solved: DataFrame) -> DataFrame:
     """(_skey, _n, _k, _copies): whole copies of all documents of a cell together, between 0 and MOST_COPIES * _k."""
     full = F.when(F.col("target") > 0, F.lit(float(MOST_COPIES))).otherwise(F.lit(0.0))
@@ -131,15 +163,7 @@ def cell_copies(cells: DataFrame, solved: DataFrame) -> DataFrame:
     for _ in range(MOVES):
         gap = out.groupBy("_skey").agg((F.first("target") - F.sum(F.col("_n") * F.col("_copies"))).alias("_gap"))
         near = out.join(gap, "_skey")
-        room = F.when(F.col("_gap") > 0, MOST_COPIES * F.col("_k") - F.col("_copies")).otherwise(F.col("_copies"))
-        moves = F.least(room, F.greatest(F.lit(1), F.floor(F.abs("_gap") / F.col("_n") + 0.5)))
-        near = near.withColumn("_m", moves).withColumn("_left", F.abs(F.abs("_gap") - F.col("_m") * F.col("_n")))
-        near = near.where((F.col("_m") > 0) & (F.col("_left") < F.abs("_gap")))
-        sign = F.signum("_gap").cast("long")
-        best = near.groupBy("_skey").agg(
-            F.min(F.struct("_left", (-F.col("_n")).alias("n"), (sign * F.col("_m")).alias("move"))).alias("b")
-        )
-        best = best.select("_skey", (-F.col("b.n")).alias("_n"), F.col("b.move").alias("_move"))
+        best = _best_move(near)
         moved = out.join(best, ["_skey", "_n"], "left")
         moved = moved.withColumn("_copies", F.col("_copies") + F.coalesce("_move", F.lit(0))).drop("_move")
         out = materialize(moved, "mix-cells")
@@ -208,6 +232,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     keys = row_columns(docs, id_col, source_col, text_col)
     rows = materialize(docs.select(*[c.alias(k) for k, c in keys.items()]), "mix-rows")
     chosen = decisions(rows).select("_skey", "_n", "_base", "_last")
-    full = docs.withColumns(keys).join(chosen, ["_skey", "_n"]).where("_n > 0").withColumn("_copies", copies_of_row())
-    full = full.where("_copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return full.select(*[F.col(c) for c in docs.columns])
+    full = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in keys.items()])
+    full = full.join(chosen, ["_skey", "_n"]).where("_n > 0").withColumn("_copies", copies_of_row()).where("_copies > 0")
+    return full.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

@@ -263,3 +263,23 @@ def masked(text: Column, spans: Column) -> Column:
     ends = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
     rest = F.substr(text, ends + 1, F.length(text))
     return F.when(F.size(spans) > 0, F.concat(F.array_join(scan(spans, F.lit(0), step, "string"), ""), rest)).otherwise(text)
+
+
+def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The rows of docs with the spans in their texts masked, and their length in code points where docs has such a column.
+
+    Null texts stay null. Columns and their order are those of docs.
+    """
+    spans = find(docs, id_col, text_col).where(F.size("spans") > 0)
+    spans = spans.groupBy("key").agg(F.first("spans").alias("spans"))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("key"))
+    joined = keyed.join(spans, "key", "left")
+    text = F.col("row").getField(text_col)
+    none = F.array().cast(f"array<{_SPAN}>")
+    joined = joined.withColumn("text", masked(text, F.coalesce("spans", none)))
+    new = {text_col: F.col("text")}
+    if size_col in docs.columns:
+        kind = docs.schema[size_col].dataType
+        new[size_col] = F.when(F.col("spans").isNull(), F.col("row").getField(size_col)).otherwise(F.length("text").cast(kind))
+    return joined.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refloom.functions.core import settle
 from refloom.llm.common import BLANK_CLASS, BLANKS, WORD_CLASS, text_of
 
 #: Common function words of English, German, French and Spanish.
@@ -82,9 +83,15 @@ def _ends(line: Column) -> Column:
     return bare.endswith("...") | bare.endswith("…")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and every measure, one row per row of docs. A null text counts as empty; ratios of nothing are 0."""
-    base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
+def measures(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None
+) -> DataFrame:
+    """The id and every measure, one row per row of docs. A null text counts as empty; ratios of nothing are 0.
+
+    carry: further columns of docs to take along, by the names they get.
+    """
+    carry = carry or {}
+    base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"), *[c.alias(k) for k, c in carry.items()])
     # Parts between single blanks: the words and an empty text for each further blank.
     base = base.withColumn("_parts", F.split("_t", BLANK_CLASS))
     base = base.withColumn("_w", F.filter("_parts", lambda w: w != ""))
@@ -108,6 +115,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     out = base.select(
         F.col("_id").alias(id_col),
+        *carry,
         "n_words",
         (F.length("_t") - F.size("_parts") + 1).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
@@ -135,15 +143,26 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Measures with base_failed (too short, or mostly repeated windows) and kept (not base_failed and all rules hold).
 
     One row per row of docs, repeated rows and null ids included; null or empty texts have all measures 0, fail the base
     and are not kept. Columns of docs besides id and text are ignored, whatever their names.
     """
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         measures(docs, id_col, text_col)
-        .withColumn("base_failed", failed)
+        .withColumn("base_failed", _failed())
         .withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
     )
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that `judge` keeps, with the columns of docs and nothing else."""
+    judged = measures(docs, id_col, text_col, {"_row": F.struct(*[F.col(c) for c in docs.columns])})
+    verdict = judged.select("_row", (~_failed() & compile_rules(rules)).alias("_kept"))
+    # Through a generator, so that the filter does not pull copies of the measures below the projections.
+    return settle(verdict, ["_kept"]).where("_kept").select("_row.*")

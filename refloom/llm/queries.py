@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_count, embeddings, html_mincut, mixing, piece_codec, pii, quality_rules, simhash, toxicity
+from refloom.llm import bpe_count, cotraining, embeddings, html_mincut, mixing, piece_codec, pii, quality_rules, simhash, toxicity
 from refloom.llm.common import table
 from refloom.plans.registry import query
 
@@ -106,3 +106,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(name="op1_html_mincut")
 def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_mincut.extracted(table(spark, sf_dir, "pages"))
+
+
+@query(name="op6_quality_cotraining")
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(name="pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

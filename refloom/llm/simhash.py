@@ -131,6 +131,13 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, task_variants: int = TA
     return dealt.groupBy("prefix", "slice").applyInPandas(lambda rows: _meet(rows, low, radius), "a long, b long")
 
 
+def _roots(prints: DataFrame) -> DataFrame:
+    """(fp, root) of every fingerprint; those without links are their own root."""
+    roots = components(links(prints))
+    fps = prints.select("fp").distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return fps.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) per row: component_id is the smallest id reachable over fingerprints within 4 bits.
 
@@ -138,10 +145,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and counts for no component's smallest id. Other columns are ignored, whatever their names.
     """
     prints = materialize(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
-    roots = components(links(prints))
-    smallest = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    smallest = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    smallest = smallest.select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    smallest = prints.groupBy("fp").agg(F.min("id").alias("least")).join(_roots(prints), "fp")
     groups = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
     named = smallest.join(groups, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs per component, the one with the smallest id (a null id last; of rows that repeat any one).
+
+    The rows are written once with a number each, and only numbers and fingerprints take part in the grouping.
+    """
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    full = docs.select(row.alias("row"), F.monotonically_increasing_id().alias("place"), fingerprint(F.col(text_col)).alias("fp"))
+    full = materialize(full, "simhash")
+    prints = full.select(F.col("row").getField(id_col).alias("id"), "place", "fp")
+    first = F.struct(F.col("id").isNull().alias("unknown"), "id", "place")
+    least = prints.groupBy("fp").agg(F.min(first).alias("first")).join(_roots(prints), "fp")
+    chosen = least.groupBy("root").agg(F.min("first").alias("first")).select("first.place")
+    return full.join(chosen, "place", "left_semi").select("row.*")
