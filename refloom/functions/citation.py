@@ -55,7 +55,7 @@ def is_citation_template(name: ColumnOrName, lang: str = "en", strict: bool = Fa
     """
     n = F.trim(col(name))
     if strict:
-        n = F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 1000))
+        n = F.concat(F.upper(F.substring(n, 1, 1)), F.substr(n, F.lit(2)))
         return in_list(n, TEMPLATE_NAMES[lang])
     return in_list(F.lower(n), [t.lower() for t in TEMPLATE_NAMES[lang]])
 

@@ -13,29 +13,27 @@ DROPPED_PARTS = [
     "user/", "plus.google.com/",
 ]
 
-# Public suffixes of two labels; any other last label is a suffix of its own.
+# Public suffixes of two labels.
 TWO_LABEL_SUFFIXES = [
-    f"{second}.{country}"
-    for country, seconds in {
-        "uk": "ac co gov ltd me net org plc sch",
-        "au": "asn com edu gov id net org",
-        "nz": "ac co govt net org",
-        "jp": "ac co go ne or",
-        "br": "com edu gov net org",
-        "za": "ac co gov org",
-        "in": "ac co gov net org",
-        "kr": "ac co go or",
-        "tr": "com edu gov org",
-        "cn": "com edu gov net org",
-        "mx": "com edu gob org",
-        "ar": "com edu gob org",
-        "il": "ac co gov org",
-        "hk": "com edu gov org",
-        "sg": "com edu gov org",
-        "tw": "com edu gov org",
-    }.items()
-    for second in seconds.split()
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk", "sch.uk",
+    "asn.au", "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au",
+    "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz",
+    "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp",
+    "com.br", "edu.br", "gov.br", "net.br", "org.br",
+    "ac.za", "co.za", "gov.za", "org.za",
+    "ac.in", "co.in", "gov.in", "net.in", "org.in",
+    "ac.kr", "co.kr", "go.kr", "or.kr",
+    "com.tr", "edu.tr", "gov.tr", "org.tr",
+    "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
+    "com.mx", "edu.mx", "gob.mx", "org.mx",
+    "com.ar", "edu.ar", "gob.ar", "org.ar",
+    "ac.il", "co.il", "gov.il", "org.il",
+    "com.hk", "edu.hk", "gov.hk", "org.hk",
+    "com.sg", "edu.sg", "gov.sg", "org.sg",
+    "com.tw", "edu.tw", "gov.tw", "org.tw",
 ]
+# Second labels that make a suffix with any two-letter country, where no list of suffixes is given.
+SECOND_LABELS = ["ac", "co", "com", "edu", "gob", "gov", "net", "or", "org"]
 
 
 def split_url(url: ColumnOrName) -> Column:
@@ -115,9 +113,12 @@ def default_format(fmt: ColumnOrName, url: ColumnOrName) -> Column:
     return F.when(is_set(col(fmt)), col(fmt)).when(is_pdf(url), "PDF")
 
 
-def top_domain(url: ColumnOrName) -> Column:
+def top_domain(url: ColumnOrName, suffixes: list[str] | None = None) -> Column:
     """Registered domain without its public suffix: `https://www.bbc.co.uk/news` gives `bbc`.
 
+    suffixes: the public suffixes of several labels, longest match first; other hosts end in a suffix of one label. Without
+    it, the known suffixes of two labels are used, and a usual second label under any two-letter country.
+
     Social hosts and `user/` are cut off first, so the account name is read instead. Text without a usable host
     gives an empty string.
     """
@@ -131,8 +132,16 @@ def top_domain(url: ColumnOrName) -> Column:
 
         def pick(parts: Column) -> Column:
             n = F.size(parts)
-            two = F.concat_ws(".", F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1)))
-            at = F.when(two.isin(*TWO_LABEL_SUFFIXES), -3).otherwise(-2)
+            if suffixes is None:
+                second, last = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
+                usual = second.isin(*SECOND_LABELS) & matches(last, "^[a-z]{2}$") & (n > 2)
+                at = F.when(F.concat_ws(".", second, last).isin(*TWO_LABEL_SUFFIXES) | usual, -3).otherwise(-2)
+            else:
+                at = F.lit(-2)
+                for size in sorted({x.count(".") + 1 for x in suffixes} - {1}):
+                    end = F.array_join(F.slice(parts, -F.least(n, F.lit(size)), F.lit(size)), ".")
+                    listed = [x for x in suffixes if x.count(".") + 1 == size]
+                    at = F.when(end.isin(*listed), -size - 1).otherwise(at)
             return (
                 F.when(matches(F.array_join(parts, "."), r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.array_join(parts, "."))
                 .when(n == 1, F.element_at(parts, 1))

@@ -22,7 +22,6 @@ from refloom.functions.core import (
 from refloom.tables.markup import (
     INVISIBLE_TAGS,
     LIST_TAGS,
-    MAX_DEPTH,
     SCHEMES_WITH_SLASHES,
     SCHEMES_WITHOUT_SLASHES,
     SINGLE_TAGS,
@@ -282,7 +281,7 @@ def valid_scheme(scheme: ColumnOrName, slashes: bool = True) -> Column:
 def page_title_key(title: ColumnOrName) -> Column:
     """Key under which loosely equal page names meet: markup off, `_` as blank, first letter upper."""
     plain = F.trim(F.translate(strip_code(title), "_", " "))
-    return F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2)))
 
 
 def title_matches(a: ColumnOrName, *others: ColumnOrName | str) -> Column:
@@ -357,7 +356,7 @@ def tables(text: ColumnOrName) -> Column:
 
         def split_line(line: Column) -> Column:
             header = line.startswith("!")
-            body = F.substring(line, 2, 1_000_000)
+            body = F.substr(line, F.lit(2))
             parts = F.when(header, F.split(body, r"!!|\|\|", -1)).otherwise(F.split(body, r"\|\|", -1))
             # `style | text`: attributes stand before a single bar.
             return F.transform(
@@ -490,12 +489,23 @@ def decode_entities(text: ColumnOrName) -> Column:
 
 
 def _until_gone(text: Column, marker: str, body) -> Column:
-    """Apply `body` until `marker` has gone, at most MAX_DEPTH times (one pass per nesting level)."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(MAX_DEPTH)),
-        text,
-        lambda acc, _: F.when(F.contains(acc, F.lit(marker)), body(acc)).otherwise(acc),
-    )
+    """Apply `body` until it changes nothing more or `marker` has gone, whatever the depth.
+
+    Every pass that changes a text removes one of its signs at least; texts without the marker cost one test.
+    """
+    def walk(c: Column) -> Column:
+        most = F.length(c) - F.length(F.translate(c, "{|[", "")) + 1
+        state = F.aggregate(
+            F.sequence(F.lit(1), most),
+            F.struct(c.alias("text"), F.lit(True).alias("open")),
+            lambda acc, _: F.when(
+                acc["open"] & F.contains(acc["text"], F.lit(marker)),
+                let(body(acc["text"]), lambda new: F.struct(new.alias("text"), (new != acc["text"]).alias("open"))),
+            ).otherwise(acc),
+        )
+        return F.when(F.contains(c, F.lit(marker)), state["text"]).otherwise(c)
+
+    return let(text, walk)
 
 
 def _drop_templates(text: Column, keep_params: bool) -> Column:

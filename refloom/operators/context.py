@@ -142,31 +142,21 @@ def word_counts(df: DataFrame, words: str) -> DataFrame:
 def unk_rare_words(df: DataFrame, key: str, words: str = "neighboring_words", threshold: int = RARE_LIMIT):
     """Words seen at most `threshold` times become `<UNK>`; an empty list becomes [`<UNK>`].
 
-    The rows are first cut into (key, pos, word). Frequent words would make one task hot in a join on the word,
-    so the join is with the frequent ones left out of doubt: a word is looked up as (word, salt), the vocabulary
-    is spread over the same salts.
+    Lists never leave their rows. Occurrences are counted in each task before anything is moved. The different words of a
+    row are held against the frequent words, which Spark sends to all tasks where that table is small and joins otherwise
+    with the commonest word as one row per document, which skew handling can split. Only rare words are gathered per key.
     """
-    rows = df.select(key, F.posexplode(words).alias("pos", "word"))
-    frequent = (
-        rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > threshold).select("word")
-    )
-    salts = 16
-    salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    looked_up = rows.withColumn("salt", F.pmod(F.hash(key, "pos"), F.lit(salts))).join(
-        salted.withColumn("known", F.lit(True)), ["word", "salt"], "left"
-    )
-    lists = looked_up.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("pos", F.when(F.col("known"), F.col("word")).otherwise(UNKNOWN).alias("word"))
-            )
-        ).alias("_w")
-    )
+    frequent = word_counts(df, words).where(F.col("n") > threshold).select("word")
+    own = df.select(key, F.explode(F.array_distinct(words)).alias("word")).join(frequent, "word", "left_anti")
+    lists = own.groupBy(key).agg(F.collect_set("word").alias("_rare"))
     joined = df.join(lists, key, "left")
+    none = F.array().cast("array<string>")
+    known = F.transform(
+        words, lambda w: F.when(F.array_contains(F.coalesce("_rare", none), w), UNKNOWN).otherwise(w)
+    )
     return joined.withColumn(
-        words,
-        F.when(F.col("_w").isNull(), F.array(F.lit(UNKNOWN))).otherwise(F.transform("_w", lambda w: w["word"])),
-    ).drop("_w")
+        words, F.when(F.coalesce(F.size(words), F.lit(0)) > 0, known).otherwise(F.array(F.lit(UNKNOWN)))
+    ).drop("_rare")
 
 
 def top_sections(df: DataFrame, sections: str = "sections", k: int = 150) -> DataFrame:

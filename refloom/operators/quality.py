@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +59,16 @@ def unknown_params(df: DataFrame, params: str = "params") -> DataFrame:
     )
 
 
+def _aliases() -> dict[str, list[str]]:
+    """Fields and identifier kinds that several parameters can fill, one of which is enough."""
+    fields = {f: names for f, names in FIELD_ALIASES.items() if len(names) > 1 and f not in ("Date", "Encyclopedia")}
+    return fields | {k: names for k, (names, _) in ID_KINDS.items() if len(names) > 1}
+
+
 def redundant_params(df: DataFrame, params: str = "params") -> DataFrame:
     """One row per field that is set by more than one parameter: the one used and the others."""
     keep = [c for c in df.columns if c != params]
-    fields = {f: names for f, names in FIELD_ALIASES.items() if len(names) > 1 and f not in ("Date", "Encyclopedia")}
-    fields |= {k: names for k, (names, _) in ID_KINDS.items() if len(names) > 1}
+    fields = _aliases()
 
     def check(field: str, names: list[str]) -> Column:
         listed = F.filter(
@@ -86,6 +94,60 @@ def invisible_report(df: DataFrame, params: str = "params") -> DataFrame:
     )
 
 
+def name_list(params: Column, kind: str) -> Column:
+    """What the numbered people of one kind amount to, whatever their number.
+
+    Numbers are walked from 1 (a bare name is number 1) until two of them have no name, with no last name between. `lasts`: last names met;
+    `names`: first and last names met; `links`: links of those with a last name; `first_alone`: a first name without a
+    last name was met; `hole`: a last name came after a number without any name.
+    """
+    parts = {part: [n.replace("#", "") for n in names] for part, names in NAME_LISTS[kind].items() if part != "mask"}
+    every = sorted({n for names in parts.values() for n in names})
+
+    def read(entries: Column) -> Column:
+        def at(part: str, i: Column) -> Column:
+            return F.get(F.filter(entries, lambda e: (e["no"] == i) & e["name"].isin(*parts[part])), F.lit(0))["value"]
+
+        texts = F.array().cast("array<string>")
+        start = F.struct(
+            texts.alias("lasts"), texts.alias("names"), texts.alias("links"), F.lit(False).alias("first_alone"),
+            F.lit(False).alias("hole"), F.lit(0).alias("missing"),
+        )
+
+        def step(acc: Column, i: Column) -> Column:
+            def use(x: Column) -> Column:
+                last, first, link = x["last"], x["first"], x["link"]
+                found = last.isNotNull()
+                missing = F.when(found, 0).when(first.isNotNull(), acc["missing"]).otherwise(acc["missing"] + 1)
+                return F.when(acc["missing"] >= 2, acc).otherwise(
+                    F.struct(
+                        F.array_compact(F.concat(acc["lasts"], F.array(last))).alias("lasts"),
+                        F.array_compact(F.concat(acc["names"], F.array(last, first))).alias("names"),
+                        F.array_compact(F.concat(acc["links"], F.array(F.when(found, link)))).alias("links"),
+                        (acc["first_alone"] | (first.isNotNull() & ~found)).alias("first_alone"),
+                        (acc["hole"] | (found & (acc["missing"] == 1))).alias("hole"),
+                        missing.alias("missing"),
+                    )
+                )
+
+            return let(F.struct(*[at(k, i).alias(k) for k in ("last", "first", "link")]), use)
+
+        # No more numbers than this can be met before two are missing.
+        numbers = F.sequence(F.lit(1), 2 * F.size(entries) + 2)
+        return F.when(F.size(entries) > 0, F.aggregate(numbers, start, step)).otherwise(start)
+
+    def entry(e: Column) -> Column:
+        number = F.regexp_extract(e["key"], r"(\d+)", 1)
+        return F.struct(
+            F.regexp_replace(e["key"], r"\d+", "").alias("name"),
+            F.coalesce(F.when(number == "", F.lit(1)).otherwise(number.try_cast("int")), F.lit(0)).alias("no"),
+            e["value"].alias("value"),
+        )
+
+    listed = F.filter(F.transform(F.map_entries(params), entry), lambda e: e["name"].isin(*every))
+    return let(listed, read)
+
+
 def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "2026-01-01") -> Column:
     """`array<string>` of the error and maintenance kinds of one citation.
 
@@ -113,11 +175,12 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
     def other_date_bad(v: Column) -> Column:
         return let(v, lambda d: d.isNotNull() & ~F.coalesce(parse_date(d, as_of_year)["valid"], F.lit(False)))
 
-    people_names = [n.replace("#", no) for n in NAME_LISTS["author"]["last"] for no in ("", "1", "2")]
-    firsts = [n.replace("#", no) for n in NAME_LISTS["author"]["first"] for no in ("", "1")]
-    lasts_1 = [n.replace("#", no) for n in NAME_LISTS["author"]["last"] for no in ("", "1")]
-    contributors = [n.replace("#", no) for n in NAME_LISTS["contributor"]["last"] for no in ("", "1")]
-    links = [n.replace("#", no) for k in NAME_LISTS for n in NAME_LISTS[k]["link"] for no in ("", "1")]
+    lists = [F.col(f"_list_{kind}") for kind in NAME_LISTS]
+
+    def any_list(test) -> Column:
+        return functools.reduce(operator.or_, [test(x) for x in lists])
+
+    has_contributor = F.size("_list_contributor.lasts") > 0
     keyword_bad = F.lit(False)
     for name in KEYWORD_PARAMS:
         spelled = [name, name.replace("-", "")] if "-" in name else [name, "no-pp"] if name == "nopp" else [name]
@@ -132,7 +195,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
     access = a("AccessDate")
     access_kept = F.when(c.isin("nrisref", "gnis", "policy", "season", "sports-reference", "nhle", "england"), access)
     names_source = author_source(m)
-    any_author = value(*people_names, "authors", "vauthors").isNotNull()
+    any_author = (F.size("_list_author.lasts") > 0) | value("authors", "vauthors").isNotNull()
     vanc = F.try_element_at(m, F.lit("vauthors"))
     bad_vanc = F.exists(
         F.split(vanc, r"\s*,\s*"),
@@ -176,7 +239,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         "bad_message_id": bad(I.valid_message_id, id_value("USENETID")),
         "bad_ol": bad(I.valid_ol, id_value("OL")),
         "bad_paramlink": F.exists(
-            F.array(a("TitleLink"), a("SeriesLink"), *[value(n) for n in links]),
+            F.concat(F.array(a("TitleLink"), a("SeriesLink")), *[x["links"] for x in lists]),
             lambda v: v.isNotNull() & ~link_param_ok(v),
         ),
         "bad_pmc": bad(I.valid_pmc, id_value("PMC")),
@@ -191,23 +254,21 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         "citation_missing_title": ~F.coalesce(has_title, F.lit(False)),
         "cite_web_url": c.isin("web", "podcast", "mailinglist") & url.isNull(),
         "coauthors_missing_author": a("Coauthors").isNotNull() & ~any_author,
-        "contributor_ignored": value(*contributors).isNotNull()
+        "contributor_ignored": has_contributor
         & (~c.isin("book", "citation") | a("Periodical").isNotNull()),
-        "contributor_missing_required_param": value(*contributors).isNotNull()
+        "contributor_missing_required_param": has_contributor
         & c.isin("book", "citation")
         & a("Periodical").isNull()
         & (a("Contribution").isNull() | ~any_author),
         "deprecated_params": value(*DEPRECATED).isNotNull(),
         "empty_citation": F.size(m) == 0,
-        "first_missing_last": value(*firsts).isNotNull() & value(*lasts_1).isNull(),
+        "first_missing_last": any_list(lambda x: x["first_alone"]),
         "format_missing_url": (a("Format").isNotNull() & url.isNull())
         | (a("ChapterFormat").isNotNull() & chapter_url.isNull()),
         "implict_etal_editor": in_list(F.lower(a("DisplayEditors")), ["etal", "et al", "et al."]),
         "invalid_param_val": keyword_bad,
         "invisible_char": F.size(F.flatten(F.transform(F.map_values(m), invisible_chars))) > 0,
-        "missing_name": (names_source == "numbered")
-        & value(*lasts_1).isNull()
-        & value(*firsts).isNull(),
+        "missing_name": any_list(lambda x: x["hole"]),
         "param_has_ext_link": F.exists(
             F.array(a("Title"), a("Chapter"), a("Periodical"), a("PublisherName")),
             lambda v: v.isNotNull() & has_external_link(v),
@@ -215,8 +276,8 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         "parameter_ignored": has_status("unknown"),
         "parameter_ignored_suggest": has_status("suggest"),
         "redundant_parameters": F.exists(
-            F.array(*[F.size(C.redundant_aliases(m, f)) for f in ("Periodical", "Chapter", "URL", "PublisherName", "Issue")]),
-            lambda n: n > 0,
+            F.array(*[F.array(*[F.lit(n) for n in names]) for names in _aliases().values()]),
+            lambda names: F.size(F.filter(names, lambda n: F.map_contains_key(m, n))) > 1,
         ),
         "text_ignored": has_status("text"),
         "trans_missing_title": (a("TransTitle").isNotNull() & a("Title").isNull())
@@ -226,7 +287,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         "maint_date_year": F.coalesce(mismatch == 1, F.lit(False)),
         "date_mismatch": F.coalesce(mismatch == 0, F.lit(False)),
         "maint_asin_isbn": matches(id_value("ASIN"), r"^\d{9}[\dX]$") & I.valid_isbn(id_value("ASIN")),
-        "maint_etal": F.exists(F.map_entries(m), lambda e: e["key"].isin(*people_names) & has_et_al(e["value"])),
+        "maint_etal": any_list(lambda x: F.exists(x["names"], has_et_al)),
         "maint_extra_text": F.coalesce(extra_page_text(page_like), F.lit(False)),
         "maint_english": F.lower(a("Language")).isin("en", "english"),
     }
@@ -242,11 +303,13 @@ def with_errors(parsed: DataFrame, as_of_year: int = 2026, as_of_date: str = "20
             "_status": F.transform(F.map_entries("_given"), lambda e: param_status(e["key"], e["value"])),
             "_values": C.field_values("_given", _FIELD_NO),
             "_ids": I.extract_ids("_given"),
+            **{f"_list_{kind}": name_list(F.col("_given"), kind) for kind in NAME_LISTS},
         }
     )
     found = staged.withColumn("errors", error_kinds(as_of_year=as_of_year, as_of_date=as_of_date))
     # Without this the filter that an explode brings along would copy the whole expression, field by field.
-    return settle(found.drop("_given", "_status", "_values", "_ids"), ["errors"])
+    made = ["_given", "_status", "_values", "_ids", *[f"_list_{kind}" for kind in NAME_LISTS]]
+    return settle(found.drop(*made), ["errors"])
 
 
 def quality_report(parsed: DataFrame, **options) -> DataFrame:

@@ -607,6 +607,7 @@ _ERRORS = f"""
   UNION ALL SELECT 'citation_missing_title', slot IN (29, 31) FROM {_P} p
 """
 _ALL_ERRORS = f"""{_ERRORS}
+  UNION ALL SELECT 'first_missing_last', style = 6 FROM {_P} p WHERE slot <> 31
   UNION ALL SELECT 'bad_arxiv', arxiv IS NOT NULL AND NOT ({_ARXIV_OK}) FROM {_P} p WHERE slot <> 31
   UNION ALL SELECT 'bad_lccn', lccn IS NOT NULL AND NOT ({_LCCN_OK}) FROM {_P} p WHERE slot <> 31
   UNION ALL SELECT 'cite_web_url', cls IN ('web', 'podcast', 'mailinglist') AND url IS NULL FROM {_P} p WHERE slot <> 31

@@ -301,7 +301,7 @@ def same_identifier(spark, sf):
           FROM (SELECT p_partkey, length(p_name) AS l FROM part) q""")
 def similarity_ratio(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name")
-    rest = F.substring("p_name", 2, 1000)
+    rest = F.substr("p_name", F.lit(2))
     edited = (
         F.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit("##")))
         .when(F.col("p_partkey") % 4 == 1, rest)
@@ -629,7 +629,8 @@ def sampled_citations(spark, sf):
 # --- streams (no SQL counterpart) ----------------------------------------------------------------------------
 
 
-@query()
+@query("""SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS start, event_type AS label, CAST(count(*) AS BIGINT) AS n
+          FROM events GROUP BY 1, 2""")
 def stream_label_counts(spark, sf):
     """Events per day and type from a file stream that stops when all files are read."""
     target = scratch_path(spark, "counts")
@@ -638,7 +639,8 @@ def stream_label_counts(spark, sf):
         spark, sf, schema, target, scratch_path(spark, "mark"), "ts", "event_type", pattern="events.parquet"
     )
     run.awaitTermination()
-    return spark.read.schema("start timestamp, label string, n bigint").parquet(target)
+    counts = spark.read.schema("start timestamp, label string, n bigint").parquet(target)
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("start"), "label", "n")
 
 
 @query()

@@ -36,13 +36,16 @@ CANONICAL_CLASSES = {
 }
 
 # Classes that take a field, or that do not.
-CLASSES_WITH_VOLUME = (
-    "citation audio-visual book conference encyclopaedia interview journal magazine map news report techreport"
-).split()
-CLASSES_WITH_ISSUE = "citation conference episode interview journal magazine map news gazette".split()
-CLASSES_WITHOUT_PAGES = "audio-visual episode mailinglist newsgroup podcast serial sign speech".split()
-CLASSES_WITH_ACCESS_DATE = "nrisref gnis policy season sports-reference nhle england".split()
-CLASSES_WITH_SERIES_NUMBER = "nrisref gnis geonet3 season nhle england".split()
+CLASSES_WITH_VOLUME = [
+    "citation", "audio-visual", "book", "conference", "encyclopaedia", "interview", "journal", "magazine", "map",
+    "news", "report", "techreport",
+]
+CLASSES_WITH_ISSUE = [
+    "citation", "conference", "episode", "interview", "journal", "magazine", "map", "news", "gazette",
+]
+CLASSES_WITHOUT_PAGES = ["audio-visual", "episode", "mailinglist", "newsgroup", "podcast", "serial", "sign", "speech"]
+CLASSES_WITH_ACCESS_DATE = ["nrisref", "gnis", "policy", "season", "sports-reference", "nhle", "england"]
+CLASSES_WITH_SERIES_NUMBER = ["nrisref", "gnis", "geonet3", "season", "nhle", "england"]
 
 # Default title type per class.
 TITLE_TYPES = {
