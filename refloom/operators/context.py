@@ -226,14 +226,15 @@ def join_features(citations: DataFrame, features: DataFrame, page: str = "id", t
     ).drop("_h")
 
 
-def join_selected(features: DataFrame, labelled: DataFrame, text: str = "citations", salts: int = 8) -> DataFrame:
+def join_selected(features: DataFrame, labelled: DataFrame, text: str = "citations") -> DataFrame:
     """Context of every labelled citation text, wherever it stands.
 
-    One text may stand on very many pages. The features are spread over salts and each labelled row is sent to
-    all of them, so a hot text is shared by several tasks and no row is lost.
+    The shuffle key is the hash of the text, the texts are compared after it. One text may stand on very many pages: the
+    features side of the join is the one that Spark's skew handling (which must stay on) splits, while a labelled text is
+    one row.
     """
-    left = features.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in features.columns if c in ("page_id", "ref_index")]), F.lit(salts)))
-    right = labelled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    left = features.withColumn("_h", F.xxhash64("retrieved_citation"))
+    right = labelled.withColumn("_h", F.xxhash64(text))
     return left.join(
-        right, (left["retrieved_citation"] == right[text]) & (left["_salt"] == right["_salt"]), "inner"
-    ).drop("_salt")
+        right, (left["_h"] == right["_h"]) & (left["retrieved_citation"] == right[text]), "inner"
+    ).drop("_h")

@@ -30,8 +30,9 @@ def drop_keys(text: ColumnOrName) -> Column:
 
 
 def row_share(key: Column, modulus: int = 1000) -> Column:
-    """Stable pseudo-random number below `modulus` from a whole-number key: the same in every run and engine."""
-    return F.pmod(F.pmod(key, F.lit(1000003)) * F.lit(7919) + F.lit(104729), F.lit(modulus))
+    """Stable pseudo-random number below `modulus` from a key: the first digits of its md5, the same in every engine."""
+    digits = F.substring(F.md5(key.cast("string").cast("binary")), 1, 12)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(modulus))
 
 
 def clear_bias(df: DataFrame, key: ColumnOrName, fraction: float = 0.0, text: str = "citations") -> DataFrame:
@@ -73,20 +74,24 @@ def char_index(counts: DataFrame) -> DataFrame:
 
 
 def char_sequence(df: DataFrame, index: DataFrame, text: str = "citations", length: int = MAX_CHARS) -> DataFrame:
-    """Character numbers as an array of fixed length: left filled with 0, or the last `length` ones kept.
+    """Character numbers as an array of fixed length: left filled with 0, or those of the last `length` characters.
 
-    The index has one row per distinct character, a bounded alphabet; it becomes one constant map.
+    The text is cut first. The index has one row per distinct character and becomes one constant array with a place for
+    each code point up to the largest in use (at most those of Unicode), so a character is looked up in one step.
     """
-    table = index.agg(F.map_from_entries(F.collect_list(F.struct("char", "idx"))).alias("_index"))
-
-    def ids(m: Column) -> Column:
-        return F.transform(characters(text), lambda ch: F.coalesce(F.try_element_at(m, ch), F.lit(0)))
+    spark = df.sparkSession
+    numbered = index.select(F.ascii("char").cast("long").alias("id"), "idx")
+    places = spark.range(0x110000).where(F.col("id") <= index.agg(F.max(F.ascii("char"))).scalar())
+    table = places.join(numbered, "id", "left").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "idx"))), lambda x: x["idx"]).alias("_index")
+    )
 
     def fit(x: Column) -> Column:
-        return F.slice(F.concat(F.array_repeat(F.lit(0), length), x), -length, length)
+        return F.concat(F.array_repeat(F.lit(0), F.lit(length) - F.size(x)), x)
 
-    staged = df.withColumn("_index", table.scalar())
-    return staged.withColumn("char_ids", let(ids(F.col("_index")), fit)).drop("_index")
+    last = characters(F.right(F.col(text), F.lit(length)))
+    ids = F.transform(last, lambda ch: F.coalesce(F.get(F.col("_index"), F.ascii(ch)), F.lit(0)))
+    return df.withColumn("_index", table.scalar()).withColumn("char_ids", let(ids, fit)).drop("_index")
 
 
 def length_stats(df: DataFrame, label: str = "label_category", words: str = "total_words") -> DataFrame:

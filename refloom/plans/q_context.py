@@ -455,7 +455,7 @@ for _name in M.BIASED:
 _DROPPED = _BLANKED
 for _name in M.BIASED:
     _DROPPED = f"replace({_DROPPED}, '{_name} = ', '')"
-_SHARE = "((page_id % 1000003) * 7919 + 104729) % 1000"
+_SHARE = "CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 12) AS BIGINT) % 1000"
 
 
 @query(f"""SELECT page_id, CASE WHEN {_SHARE} < 300 THEN {_DROPPED} ELSE {_BLANKED} END AS citations FROM {_P} p""")

@@ -69,29 +69,31 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_partitioned_batches(df: DataFrame, path: str, key: str, batches: int = 32, jobs: int = 4) -> int:
-    """Write in hash batches, several batches per job, so that a failure loses one job at most.
+def write_partitioned_batches(df: DataFrame, path: str, key: str, batches: int = 32, jobs: int = 1) -> int:
+    """Write in hash batches and note the finished ones in a small table beside the data; a later run skips these.
 
-    Batches whose folder is there are skipped on the next run. Returns the number of batches written in this run.
+    A batch counts as finished once the job that wrote it has ended and its note is written, with or without rows. One
+    job writes all of them and reads the input once; more jobs lose less if one fails and read it as often. Returns the number of batches
+    written in this run.
     """
     spark = df.sparkSession
+    notes = f"{path}/_finished"
+    every = spark.range(batches).select(F.col("id").cast("int").alias("bucket"))
+    todo = sorted(r.bucket for r in every.join(_finished(spark, notes), "bucket", "left_anti").collect())
     bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
-    done = _finished_batches(spark, path)
-    todo = [b for b in range(batches) if b not in done]
     per_job = -(-batches // jobs)
     for i in range(0, len(todo), per_job):
-        group = bucketed.where(F.col("bucket").isin(*todo[i : i + per_job]))
-        writer = group.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.option("compression", "snappy").partitionBy("bucket").parquet(path)
+        some = todo[i : i + per_job]
+        writer = bucketed.where(F.col("bucket").isin(*some)).write.mode("overwrite")
+        writer = writer.option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
+        writer.partitionBy("bucket").parquet(path)
+        every.where(F.col("bucket").isin(*some)).coalesce(1).write.mode("append").parquet(notes)
     return len(todo)
 
 
-def _finished_batches(spark: SparkSession, path: str) -> set[int]:
-    """Batch folders that were committed: a folder is moved into place as a whole."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
+def _finished(spark: SparkSession, notes: str) -> DataFrame:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(notes)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
-        return set()
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return {int(n.split("=")[1]) for n in names if n.startswith("bucket=")}
+        return spark.range(0).select(F.col("id").cast("int").alias("bucket"))
+    return spark.read.schema("bucket int").parquet(notes).distinct()
