@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions import braces as B
 from refloom.functions import wikitext as W
-from refloom.functions.core import let
+from refloom.functions.core import let, scan
 
 
 def replace_all(pages: DataFrame, rules: list[tuple[str, str]], content: str = "content") -> DataFrame:
@@ -53,15 +53,25 @@ def rewrite_param(
 def rewrite_page_templates(
     pages: DataFrame, template: str, name: str, value: str | None, content: str = "content"
 ) -> DataFrame:
-    """Set or remove one parameter in every outermost template of that name on a page."""
+    """Set or remove one parameter in every outermost template of that name on a page.
 
-    def edit(spans: Column) -> Column:
-        def one(acc: Column, s: Column) -> Column:
-            params = W.template_params(s["text"])
-            changed = W.drop_param(params, name) if value is None else W.set_param(params, name, F.lit(value))
-            return F.replace(acc, s["text"], W.template_text(W.template_name(s["text"]), changed))
+    The page is put together anew from the spans and the text between them, so the same text elsewhere, as in a comment
+    or a `nowiki` tag, stays as it is.
+    """
+    page = F.col(content)
+
+    def edited(t: Column) -> Column:
+        params = W.template_params(t)
+        changed = W.drop_param(params, name) if value is None else W.set_param(params, name, F.lit(value))
+        wanted = F.lower(W.template_name(t)) == template.lower()
+        return F.when(wanted, W.template_text(W.template_name(t), changed)).otherwise(t)
+
+    def step(at: Column, s: Column) -> Column:
+        piece = F.concat(F.substr(page, at + 1, s["start"] - at), edited(s["text"]))
+        return F.struct(s["end"].alias("state"), F.array(piece).alias("out"))
 
-        wanted = F.filter(spans, lambda s: F.lower(W.template_name(s["text"])) == template.lower())
-        return F.aggregate(wanted, F.col(content), one)
+    def edit(spans: Column) -> Column:
+        end = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
+        return F.concat(F.array_join(scan(spans, F.lit(0), step, "string"), ""), F.substr(page, end + 1))
 
     return pages.withColumn(content, let(B.outermost(B.template_spans(content)), edit))

@@ -90,3 +90,13 @@ def test_long_names_keep_their_length(one):
 
     name = "cite " + "x" * 3000
     assert one(F.length(C.citation_type("t")), ["{{" + name + "|a=b}}"]) == [len(name)]
+
+
+def test_edits_by_place(spark):
+    from refloom.operators import rewriting as R
+
+    t, new = "{{cite web|url=a|date=1}}", "{{cite web|url=a|date=2}}"
+    page = f"a {t} <!-- {t} --> <nowiki>{t}</nowiki> {{{{x|{t}}}}} é {t}."
+    pages = spark.createDataFrame([(page,), ("none",), ("",), (None,)], "content string")
+    got = [r.content for r in R.rewrite_page_templates(pages, "Cite web", "date", "2").collect()]
+    assert got == [f"a {new} <!-- {t} --> <nowiki>{t}</nowiki> {{{{x|{t}}}}} é {new}.", "none", "", None]
