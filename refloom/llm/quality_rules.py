@@ -153,8 +153,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     One row per row of docs, repeated rows and null ids included; null or empty texts have all measures 0, fail the base
     and are not kept. Columns of docs besides id and text are ignored, whatever their names.
     """
+    measured = measures(docs, id_col, text_col)
+    # Through a generator, so that a filter on the result does not pull copies of the measures below the projections.
     return (
-        measures(docs, id_col, text_col)
+        settle(measured, [c for c in measured.columns if c != id_col])
         .withColumn("base_failed", _failed())
         .withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
     )

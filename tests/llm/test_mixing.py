@@ -32,7 +32,7 @@ def test_dual_is_the_plain_solution(spark):
     data += [("0b", n, 1) for n in range(1, 200)] + [("0c", 7, 30)] + [("0d", 1, 1), ("0d", 100_000, 1)]
     cells = spark.createDataFrame(data, "_skey string, _n long, _k long")
     sources = cells.groupBy("_skey").agg(F.sum(F.col("_n") * F.col("_k")).alias("source_size"))
-    for factor in (0.02, 0.5, 1.0, 1.7, 2.9):
+    for factor in (0.02, 1.7, 2.9):
         solved = mixing.solve(cells, sources.withColumn("target", F.col("source_size") * factor)).collect()
         for r in solved:
             sizes = [n for s, n, k in data for _ in range(k) if s == r._skey]

@@ -57,13 +57,13 @@ def test_rules_agree_with_labels(spark, sf):
 
 
 def test_classifier_on_held_out_labels(spark, sf):
-    sf = sf.replace("sf0.001", "sf0.1")
+    sf = sf.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = queries.op6_quality_cotraining(spark, sf)
     assert rows.columns == ["doc_id", "held_out", "score", "content_score", "page_score", "kept"]
     rows = rows.join(labels, "doc_id").where("held_out").collect()
     bad = [r for r in rows if not r.quality]
-    assert len(bad) > 50 and sum(r.kept == bool(r.quality) for r in rows) >= 0.97 * len(rows)
+    assert len(bad) > 10 and sum(r.kept == bool(r.quality) for r in rows) >= 0.97 * len(rows)
     assert sum(not r.kept for r in bad) >= 0.9 * len(bad)
 
 
@@ -72,7 +72,7 @@ def test_classifier_on_odd_tables(spark, case):
     data = [(None, None, None, None)] + [(i, f"the house {i} of the king " * (1 + i % 9), "en", None) for i in range(40)] * 2
     docs = spark.createDataFrame(data if case != "no rows" else [], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(30)] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
-    rows = cotraining.scored(docs.withColumn("score", F.lit(1)), labels.limit(0) if case == "no labels" else labels).collect()
+    rows = cotraining.scored(docs.withColumn("score", F.lit(1)), labels.limit(0) if case == "no labels" else labels, rounds=1).collect()
     assert len(rows) == (0 if case == "no rows" else len(data)) and all(0 <= r.score <= 1 for r in rows)
     if case == "no labels":
         assert all(r.score == 0.5 and r.kept for r in rows)
