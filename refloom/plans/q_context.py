@@ -567,14 +567,15 @@ def word_vectors(spark, sf):
     """Vectors trained on the documents, summed per document."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     lists = docs.select("doc_id", F.transform(X.filter_tokens(X.word_tokens("text")), lambda w: F.lower(w)).alias("words"))
-    model = ML.train_word_vectors(lists, "words", size=16, min_count=5)
+    model = ML.train_word_vectors(lists, "words")
     done = ML.word_vector_sum(lists, model, "words")
-    return done.select("doc_id", F.size("words_embedding").alias("size"), F.size("words").alias("n_words"))
+    return done.select("doc_id", F.size("words").alias("n_words"), "words_embedding")
 
 
 @query()
 def char_embedding_sum(spark, sf):
     """Sum of per-label mean vectors of the embeddings over the digits of an order, scaled to length one."""
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
     vectors = ML.array_vector(spark.read.parquet(f"{sf}/embeddings.parquet"), "embedding", "v").groupBy(
@@ -584,7 +585,7 @@ def char_embedding_sum(spark, sf):
         "o_orderkey", F.split(F.col("o_orderkey").cast("string"), "").alias("items")
     )
     done = ML.embedding_sum(orders, "o_orderkey", "items", vectors)
-    return done.select("o_orderkey", F.col("embedding").isNotNull().alias("has_vector"))
+    return done.select("o_orderkey", F.when(F.col("embedding").isNotNull(), vector_to_array("embedding")).alias("embedding"))
 
 
 @query()
@@ -603,7 +604,7 @@ def _training(spark, sf):
 def text_classifier(spark, sf):
     """Confusion on the test share of a model trained on citation characters."""
     rows = _training(spark, sf)
-    model = ML.train_text_classifier(rows.where("split = 'train'"), grams=3, buckets=1 << 10, rounds=5)
+    model = ML.train_text_classifier(rows.where("split = 'train'"))
     return M.confusion(ML.predict(rows.where("split = 'test'"), model, "citations"))
 
 
@@ -617,7 +618,7 @@ def context_classifier(spark, sf):
     )
     ready = ML.assemble(labelled, [*_TAG_COLUMNS, "ref_index", "total_words"])
     split = M.stratified_split(ready, "page_id")
-    model = ML.train_context_classifier(split.where("split = 'train'"), 7, hidden=[16, 8], rounds=10)
+    model = ML.train_context_classifier(split.where("split = 'train'"), 7)
     return M.confusion(ML.predict(split.where("split = 'test'"), model))
 
 
