@@ -4,8 +4,8 @@ Seeds are the e-mail addresses, network addresses, card and phone numbers that f
 next to them are lexical patterns: "the word before" and "the word after". Candidates are words with four digits or an
 at sign that no seed covers. Patterns and values form a graph: a pattern is as good as the share of its word's
 occurrences in the whole corpus that stand next to an accepted value, and a value next to a pattern of high confidence is
-accepted in the next round. At the end candidates in such contexts become spans of the kind that the pattern's seeds
-mostly have.
+accepted in the next round and vouches for further patterns. At the end candidates in such contexts become spans of the
+kind that the pattern's accepted values mostly have.
 
 The scan of the texts happens once and keeps spans and contexts only; everything after works on that narrow table, which
 is written to the shared folder. Counts of words and of graph edges combine before the shuffle, so a word that holds
@@ -173,6 +173,7 @@ def learned_patterns(
     """(side, word, kind, confidence) of the patterns of high confidence.
 
     Patterns that could not reach the bounds even if all their candidates were accepted are dropped before the rounds.
+    A value has the kind of its seeds or of the best pattern that brought it, a pattern the kind most of its hits have.
     """
     sides = F.explode(
         F.array(
@@ -183,31 +184,36 @@ def learned_patterns(
     edges = places.select("kind", "value", sides.alias("p")).where("p.word <> ''")
     edges = edges.groupBy("p.side", "p.word", "value", "kind").agg(F.count("*").alias("n"))
     edges = materialize(edges, "pii-edges")
-    hopeful = edges.groupBy("side", "word").agg(
-        F.sum("n").alias("most"), F.count(F.when(F.col("kind").isNotNull(), 1)).alias("seeds")
-    )
-    hopeful = materialize(hopeful.where(F.col("seeds") >= least_values), "pii-hopeful")
+    hopeful = edges.groupBy("side", "word", "value").agg(F.sum("n").alias("n"))
+    hopeful = hopeful.groupBy("side", "word").agg(F.sum("n").alias("most"), F.count("*").alias("values"))
+    hopeful = materialize(hopeful.where(F.col("values") >= least_values).drop("values"), "pii-hopeful")
     words = docs.select(F.explode(words_of(F.lower(text_of(text_col)))).alias("word"))
     total = words.groupBy("word").agg(F.count("*").alias("total"))
     hopeful = hopeful.join(total, "word").where(F.col("most") >= least_confidence * F.col("total"))
     hopeful = materialize(hopeful.select("side", "word", "total"), "pii-hopeful")
     edges = materialize(edges.join(hopeful, ["side", "word"]), "pii-edges")
-    kinds = edges.where("kind is not null").groupBy("side", "word", "kind").agg(F.sum("n").alias("n"))
-    kinds = kinds.groupBy("side", "word").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("most_kind"))
-    accepted = edges.where("kind is not null").select("value").distinct()
+    accepted = edges.where("kind is not null").groupBy("value", "kind").agg(F.sum("n").alias("n"))
+    accepted = accepted.groupBy("value").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("as_kind"))
+    accepted = materialize(accepted, "pii-values")
+    edges = edges.groupBy("side", "word", "total", "value").agg(F.sum("n").alias("n"))
+    edges = materialize(edges, "pii-edges")
     good = None
     for _ in range(rounds):
-        scored = edges.join(accepted.withColumn("_in", F.lit(1)), "value", "left")
-        scored = scored.groupBy("side", "word", "total").agg(
-            F.sum(F.when(F.col("_in") == 1, F.col("n")).otherwise(0)).alias("hits"),
-            F.count_distinct(F.when(F.col("_in") == 1, F.col("value"))).alias("values"),
+        scored = edges.join(accepted, "value").groupBy("side", "word", "total").agg(
+            F.sum("n").alias("hits"),
+            F.count("*").alias("values"),
+            *[F.sum(F.when(F.col("as_kind") == k, F.col("n")).otherwise(0)).alias(f"hits_{k}") for k in range(len(KINDS))],
         )
-        scored = scored.withColumn("confidence", F.col("hits") / F.col("total"))
+        most = F.array_max(F.array(*[F.struct(F.col(f"hits_{k}").alias("n"), F.lit(-k).alias("k")) for k in range(len(KINDS))]))
+        scored = scored.withColumn("confidence", F.col("hits") / F.col("total")).withColumn("kind", -most["k"])
         good = scored.where((F.col("values") >= least_values) & (F.col("confidence") >= least_confidence))
-        good = materialize(good.select("side", "word", "confidence"), "pii-good")
-        accepted = edges.join(good, ["side", "word"]).select("value").union(accepted).distinct()
+        good = materialize(good.select("side", "word", "kind", "confidence"), "pii-good")
+        brought = edges.join(good, ["side", "word"]).groupBy("value").agg(
+            F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("as_kind")
+        )
+        accepted = accepted.unionByName(brought.join(accepted, "value", "left_anti"))
         accepted = materialize(accepted, "pii-values")
-    return good.join(kinds, ["side", "word"]).select("side", "word", F.col("most_kind").alias("kind"), "confidence")
+    return good
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: float) -> DataFrame:

@@ -98,3 +98,12 @@ def test_nulls_and_clashing_names(spark, rows):
     out = pii.find(docs)
     assert out.columns == ["doc_id", "key", "base", "spans"]
     assert sorted(len(r.spans) for r in out.collect()) == [0, 1, 1, 1][: len(data)]
+
+
+def test_discovered_values_vouch_for_further_patterns(spark):
+    texts = [f"ring hotline: +1 (980) 555-62{i:02d} today" for i in range(24)]
+    texts += [f"hotline: 980-555-690{i} extension" for i in range(5)] + ["dial 980-555-7777 extension"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert [tuple(s) for s in rows[24].spans] == [(9, 3, 21)]
+    assert [tuple(s) for s in rows[29].spans] == [(5, 3, 17)] and rows[29].base == []
