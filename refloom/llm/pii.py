@@ -1,9 +1,10 @@
 """Personal data: seeds by pattern, further identifiers by bootstrapping over their contexts. Built-in functions only.
 
 Seeds are the e-mail addresses, network addresses, card and phone numbers that fixed patterns and checks find. The words
-next to them are lexical patterns: "the word before" and "the word after". Candidates are words with four digits or an
-at sign that no seed covers. Patterns and values form a graph: a pattern is as good as the share of its word's
-occurrences in the whole corpus that stand next to an accepted value, and a value next to a pattern of high confidence is
+next to them are lexical patterns: "the one to three words before" and "the one to three words after". Candidates are runs
+of digit groups (four digits or more, blanks and other separators of the seeds between them) and words with four digits
+or an at sign, in what the seeds leave of the text. Patterns and values form a graph: a pattern is as good as the share of
+its words' occurrences in the whole corpus that stand next to an accepted value, and a value next to a pattern of high confidence is
 accepted in the next round and vouches for further patterns. At the end candidates in such contexts become spans of the
 kind that the pattern's accepted values mostly have.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.core import scan
+from refloom.functions.core import let, scan
 from refloom.llm.common import BLANK_CLASS, WORD_CLASS, text_of, words_of
 from refloom.session import materialize
 
@@ -33,11 +34,19 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 _GATES = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-CANDIDATE = rf"(?<!{WORD_CLASS})(?:(?:[^\x20\x09-\x0D0-9]*+[0-9]){{4}}|[^\x20\x09-\x0D@]*+@){WORD_CLASS}*+"
-
-#: A pattern counts if its accepted values are this many different ones, and are this share of its word's occurrences.
+#: Groups of digits with the separators of the seeds between them, four digits or more; a word with four digits; a word
+#: with an at sign.
+CANDIDATE = (
+    rf"(?<!{WORD_CLASS})(?:[^\x20\x09-\x0D0-9@]*+[0-9](?:[\x20().+-]*+[0-9]){{3,}}+"
+    rf"|(?:[^\x20\x09-\x0D0-9]*+[0-9]){{4}}|[^\x20\x09-\x0D@]*+@){WORD_CLASS}*+"
+)
+
+#: A pattern counts if its accepted values are this many different ones, and are this share of its words' occurrences.
 LEAST_VALUES, LEAST_CONFIDENCE, ROUNDS = 3, 0.8, 3
-_WINDOW = 80
+#: Words of a pattern at most, and the characters that are looked at first for them.
+WORDS, _WINDOW = 3, 80
+#: Bits of the table that keeps words which are in no pattern out of the shuffle.
+_BITS = 1 << 22
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -107,13 +116,82 @@ def _seeds(kind: str) -> Column:
 
 
 def _contexts(t: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """The word before and the word after a span, in lower case ("" at the ends of the text)."""
+    """Up to WORDS words before and as many after a span, in lower case and joined by blanks ("" at the ends of the text).
+
+    A few characters hold them mostly; where they do not, the text up to its end is taken.
+    """
+
+    def words(parts: Column) -> Column:
+        return F.filter(parts, lambda w: w != "")
+
+    def cut(text: Column) -> Column:
+        return F.split(F.lower(text), BLANK_CLASS + "+", -1)
+
+    # The part at the span is glued to it ("" if none is), and the one at the other side of the window may be cut.
     first = F.greatest(start - _WINDOW, F.lit(0))
-    before, after = F.substr(t, first + 1, start - first), F.substr(t, end + 1, F.lit(_WINDOW))
-    return (
-        F.lower(F.regexp_extract(before, f"({WORD_CLASS}+){BLANK_CLASS}+$", 1)),
-        F.lower(F.regexp_extract(after, f"^{WORD_CLASS}*{BLANK_CLASS}+({WORD_CLASS}+)", 1)),
+    before = let(
+        cut(F.substr(t, first + 1, start - first)),
+        lambda p: F.when((first == 0) | (F.size(p) > WORDS + 1), p).otherwise(cut(F.substr(t, F.lit(1), start))),
+    )
+    after = let(
+        cut(F.substr(t, end + 1, F.lit(_WINDOW))),
+        lambda p: F.when((end + _WINDOW >= F.length(t)) | (F.size(p) > WORDS + 1), p).otherwise(cut(F.substr(t, end + 1, F.length(t)))),
     )
+    before = let(before, lambda p: F.when(F.element_at(p, -1) == "", _last(words(p))).otherwise(F.array().cast("array<string>")))
+    after = F.slice(let(after, lambda p: words(F.slice(p, F.lit(2), F.size(p)))), 1, WORDS)
+    return F.array_join(before, " "), F.array_join(after, " ")
+
+
+def _last(words: Column) -> Column:
+    return let(words, lambda w: F.slice(w, F.greatest(F.size(w) - (WORDS - 1), F.lit(1)), F.lit(WORDS)))
+
+
+def _without(t: Column, spans: Column) -> Column:
+    """The text with a tab for each character of the spans, which ends runs of digits and words alike."""
+
+    def step(at: Column, s: Column) -> Column:
+        start, end = F.greatest(at, s["start"]), F.greatest(at, s["end"])
+        piece = F.concat(F.substr(t, at + 1, start - at), F.repeat(F.lit("\t"), end - start))
+        return F.struct(end.alias("state"), F.array(piece).alias("out"))
+
+    ends = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+    rest = F.substr(t, ends + 1, F.length(t))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(scan(spans, F.lit(0), step, "string"), ""), rest)).otherwise(t)
+
+
+def _patterns(side: str, words: Column) -> Column:
+    """The patterns of a side: the next word, the next two, and so on up to WORDS."""
+    sign = -1 if side == "before" else 1
+    return F.array_distinct(F.array(*[F.substring_index(words, " ", sign * k) for k in range(1, WORDS + 1)]))
+
+
+def _totals(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
+    """(word, total): how often each of the patterns occurs in the texts.
+
+    A table of _BITS bits over the hashes of the patterns keeps most other words from being moved; the join is exact.
+    """
+    place = F.pmod(F.xxhash64("word"), F.lit(_BITS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
+    words_at = patterns.select(F.shiftright(place, 5).alias("_at"), place.bitwiseAND(31).alias("_bit"))
+    # Every slot has a row, so the place in the sorted list is the slot.
+    slots = docs.sparkSession.range(_BITS >> 5).select(F.col("id").cast("int").alias("_at"), F.lit(None).cast("int").alias("_bit"))
+    slots = words_at.unionByName(slots).groupBy("_at").agg(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias("_bits"))
+    table = slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_bits"))), lambda x: x["_bits"]))
+
+    def runs(a: Column) -> Column:
+        def at(w: Column, i: Column) -> Column:
+            out, run = [w], w
+            for k in range(1, WORDS):
+                run = F.concat(run, F.lit(" "), F.get(a, i + k))
+                out.append(run)
+            return F.array(*out)
+
+        return F.flatten(F.transform(a, at))
+
+    words = docs.select(F.explode(let(words_of(F.lower(text_of(text_col))), runs)).alias("word")).where("word is not null")
+    bits = F.call_function("shiftright", F.get(table.scalar(), F.shiftright(place, 5)), place.bitwiseAND(31))
+    hit = bits.bitwiseAND(F.lit(1).cast("long")) == 1
+    return words.where(hit).groupBy("word").agg(F.count("*").alias("total"))
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,9 +202,10 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = F.col("_t")
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     rows = with_base_spans(rows, "_t", "_base")
-    some = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
-    rows = rows.withColumn("_m", F.when(t.rlike("[0-9@]"), some).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("_g", F.when(F.size("_m") > 0, F.split(t, CANDIDATE, -1)))
+    rows = rows.withColumn("_u", _without(t, F.col("_base")))
+    some = F.regexp_extract_all("_u", F.lit(CANDIDATE), F.lit(0))
+    rows = rows.withColumn("_m", F.when(F.col("_u").rlike("[0-9@]"), some).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_g", F.when(F.size("_m") > 0, F.split("_u", CANDIDATE, -1)))
 
     def bare(x: Column) -> Column:
         lead = F.length(F.regexp_extract(x["m"], r"^[\"'(<\[{]*", 0))
@@ -136,11 +215,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         )
 
     cands = F.transform(_located(F.col("_g"), F.col("_m")), bare)
-    cands = F.filter(
-        cands,
-        lambda c: (F.length(c["m"]) > 0)
-        & ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
+    cands = F.filter(cands, lambda c: F.length(c["m"]) > 0)
     rows = rows.withColumn("_cands", F.when(F.size("_m") > 0, cands).otherwise(F.array()).cast("array<struct<start:int,end:int,m:string>>"))
 
     def place(start: Column, kind: Column, end: Column, value: Column) -> Column:
@@ -175,20 +250,17 @@ def learned_patterns(
     Patterns that could not reach the bounds even if all their candidates were accepted are dropped before the rounds.
     A value has the kind of its seeds or of the best pattern that brought it, a pattern the kind most of its hits have.
     """
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit("before").alias("side"), F.col("before").alias("word")),
-            F.struct(F.lit("after").alias("side"), F.col("after").alias("word")),
-        )
-    )
+    def named(side: str) -> Column:
+        return F.transform(_patterns(side, F.col(side)), lambda w: F.struct(F.lit(side).alias("side"), w.alias("word")))
+
+    sides = F.explode(F.concat(named("before"), named("after")))
     edges = places.select("kind", "value", sides.alias("p")).where("p.word <> ''")
     edges = edges.groupBy("p.side", "p.word", "value", "kind").agg(F.count("*").alias("n"))
     edges = materialize(edges, "pii-edges")
     hopeful = edges.groupBy("side", "word", "value").agg(F.sum("n").alias("n"))
     hopeful = hopeful.groupBy("side", "word").agg(F.sum("n").alias("most"), F.count("*").alias("values"))
     hopeful = materialize(hopeful.where(F.col("values") >= least_values).drop("values"), "pii-hopeful")
-    words = docs.select(F.explode(words_of(F.lower(text_of(text_col)))).alias("word"))
-    total = words.groupBy("word").agg(F.count("*").alias("total"))
+    total = _totals(docs, text_col, hopeful)
     hopeful = hopeful.join(total, "word").where(F.col("most") >= least_confidence * F.col("total"))
     hopeful = materialize(hopeful.select("side", "word", "total"), "pii-hopeful")
     edges = materialize(edges.join(hopeful, ["side", "word"]), "pii-edges")
@@ -227,7 +299,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **boun
     patterns = learned_patterns(docs, places, text_col, **bounds)
     cands = places.where("kind is null").drop("kind")
     near = [
-        cands.select("_key", "start", "end", F.lit(side).alias("side"), F.col(side).alias("word")).where("word <> ''")
+        cands.select("_key", "start", "end", F.lit(side).alias("side"), F.explode(_patterns(side, F.col(side))).alias("word"))
+        .where("word <> ''")
         for side in ("before", "after")
     ]
     hits = near[0].unionByName(near[1]).join(patterns, ["side", "word"])

@@ -107,3 +107,31 @@ def test_discovered_values_vouch_for_further_patterns(spark):
     rows = {r.doc_id: r for r in pii.find(docs).collect()}
     assert [tuple(s) for s in rows[24].spans] == [(9, 3, 21)]
     assert [tuple(s) for s in rows[29].spans] == [(5, 3, 17)] and rows[29].base == []
+
+
+def test_identifiers_with_blanks_and_patterns_of_several_words(spark):
+    texts = [f"ring hotline: +1 (980) 555-62{i:02d} today" for i in range(24)]
+    texts += ["write hotline: 980 555 6999 now", "hotline: 980 555 6998 10.0.0.1"]
+    texts += [f"my phone number is +1 (980) 555-72{i:02d} this is it and that is all" for i in range(9)]
+    texts += ["phone number is 980-555-7000", "it is 2019", "hotline:" + " " * 200 + "980 555 7123"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(docs).collect()}
+    assert rows[24] == [(15, 3, 27)]
+    assert rows[25] == [(9, 3, 21), (22, 1, 30)]
+    assert rows[35] == [(16, 3, 28)] and rows[36] == []
+    assert rows[37] == [(208, 3, 220)]
+
+
+def test_totals_are_those_of_plain_counting(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(100)
+    counts = {}
+    for r in docs.collect():
+        ws = re.findall(r"[^ \t\n\x0b\x0c\r]+", (r.text or "").lower())
+        for k in range(1, 4):
+            for i in range(len(ws) - k + 1):
+                run = " ".join(ws[i : i + k])
+                counts[run] = counts.get(run, 0) + 1
+    some = sorted(counts)[::50]
+    got = pii._totals(docs, "text", spark.createDataFrame([(w,) for w in some], "word string"))
+    got = {r.word: r.total for r in got.collect()}
+    assert {w: got[w] for w in some} == {w: counts[w] for w in some}
