@@ -380,6 +380,12 @@ def id_pivot(spark, sf):
     return L.id_columns(with_id_list(spark, sf)).select("page_id", *_IDS, "OCLC")
 
 
+@query()
+def id_pivot_whole(spark, sf):
+    """A column for each kind of identifier."""
+    return L.id_columns(with_id_list(spark, sf)).select("page_id", "citation", *L.KINDS)
+
+
 @query(f"""SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len) AS BIGINT) AS n_ids FROM (SELECT DISTINCT page_id, citation,
              {' + '.join(f'CASE WHEN {c} IS NULL THEN 0 ELSE 1 END' for c in _IDS.values())} AS len FROM {_P} p WHERE {_KNOWN}) q WHERE len > 0""")
 def rows_with_ids(spark, sf):
@@ -640,6 +646,15 @@ def invisible_chars(spark, sf):
     return found.select("doc_id", "group", F.col("position").cast("bigint").alias("position"))
 
 
+@query()
+def invisible_chars_whole(spark, sf):
+    """Every group of characters that is in a text, with its first position."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(
+        "doc_id", F.create_map(F.lit("text"), F.col("text")).alias("params")
+    )
+    return Q.invisible_report(docs).select("doc_id", "group", F.col("position").cast("bigint").alias("position"))
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'Y' WHEN 2 THEN 'usurped' ELSE 'maybe' END AS value,
             o_orderkey % 4 <= 1 AS flag_ok, o_orderkey % 4 <= 2 AS dead_ok FROM orders""")
 def keyword_values(spark, sf):

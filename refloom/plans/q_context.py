@@ -217,6 +217,15 @@ def section_dummies(spark, sf):
     return done.select("page_id", "citations", *[F.col(c).cast("bigint").alias(c) for c in ("History", "References", "others")])
 
 
+@query()
+def section_dummies_whole(spark, sf):
+    """A column for each of the most frequent sections, as many as the operator takes by default."""
+    found = O.extract_citations(D.articles(spark, sf)).select("page_id", "citations", "section", "sections_all")
+    top = [r.section_name for r in X.top_sections(found.select(F.array("section").alias("sections"))).collect()]
+    rows = found.select("page_id", "citations", F.array_sort(F.array_distinct("sections_all")).alias("sections")).distinct()
+    return X.encode_sections(rows, top)
+
+
 _TAG_COLUMNS = ["WORD", "CAP", "NUM", "PUNCT", "WIKICODE"]
 _COUNTED = ", ".join(
     f"CAST(len(list_filter(tags, lambda t: t = '{k}')) AS BIGINT) AS \"{k}\"" for k in _TAG_COLUMNS
@@ -242,6 +251,13 @@ def type_dummies(spark, sf):
     return done.select("page_id", *[F.col(c).cast("bigint").alias(c) for c in _SOME_TYPES])
 
 
+@query()
+def type_dummies_whole(spark, sf):
+    """A column for each known type."""
+    rows = O.filter_known_types(cites(spark, sf)).select("page_id", F.col("type_of_citation").alias("citation_type"))
+    return X.encode_citation_type(rows, list(CITATION_TYPES))
+
+
 @query(f"SELECT page_id, citation FROM (SELECT page_id, citation FROM ({_FEATURES}) f) g ORDER BY page_id, citation LIMIT 20")
 def first_citations(spark, sf):
     return X.head(features(spark, sf).select("page_id", F.col("retrieved_citation").alias("citation")), 20, "page_id", "citation")
@@ -351,6 +367,13 @@ def top_candidates(spark, sf):
     return done.select("pk", "message", titles.alias("titles"))
 
 
+@query()
+def top_candidates_whole(spark, sf):
+    """As many candidates as the operator keeps by default, with titles and identifiers as they are."""
+    rows = D.records(spark, sf).withColumn("c", K.parse_works("works"))
+    return K.top_k_results(rows, "c").select("pk", "message", F.col("c").alias("candidates"))
+
+
 @query(f"""SELECT pk, string_agg(kind || ':' || value, ';' ORDER BY item, i) AS ids FROM (
              SELECT pk, item, i, lower(json_extract_string(v, '$.type')) AS kind, json_extract_string(v, '$.identifier') AS value
              FROM (SELECT pk, item, unnest(list_value(0, 1)) AS i, json_extract(books, '$.items[' || item || '].volumeInfo.industryIdentifiers[' || i || ']') AS v
@@ -369,6 +392,13 @@ def crossref_ids(spark, sf):
     return some.select("pk", _ids_text(F.filter("ids", lambda i: i["type"] != "ISBN")).alias("ids"))
 
 
+@query()
+def crossref_ids_whole(spark, sf):
+    """Identifiers of the first record, ISBNs too."""
+    rows = D.records(spark, sf).select("pk", F.try_element_at(K.parse_works("works"), F.lit(1))["ids"].alias("ids"))
+    return rows.where(F.col("ids").isNotNull()).select("pk", _ids_text("ids").alias("ids"))
+
+
 _LIKELY = "label = 'other' AND typ IN ('cite book', 'cite journal', 'cite encyclopedia', 'cite proceedings')"
 _TITLE = "CASE WHEN slot = 23 THEN encyclopedia WHEN title_style = 2 THEN plain_title || ' ' ELSE plain_title END"
 _ACQUIRED = f"""(SELECT l.*, r.pk AS rk, CASE WHEN {_LIKELY} AND r.pk IS NOT NULL THEN

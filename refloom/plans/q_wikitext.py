@@ -169,6 +169,17 @@ def link_schemes(spark, sf):
     )
 
 
+@query()
+def link_schemes_whole(spark, sf):
+    """Schemes of all external links, with and without a title."""
+    found = X.extract_external_links(D.articles(spark, sf))
+    return (
+        found.groupBy(F.regexp_extract("url", r"^([a-z]+):", 1).alias("scheme"))
+        .agg(F.count("*").alias("n"))
+        .select("scheme", "n", W.valid_scheme("scheme").alias("valid"), W.valid_scheme("scheme", False).alias("valid_bare"))
+    )
+
+
 @query(f"SELECT page_id, markers, tag, text FROM ({_ITEMS}) i")
 def list_items(spark, sf):
     return X.extract_list_items(D.articles(spark, sf)).select("page_id", "markers", "tag", "text")
