@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_count, cotraining, embeddings, html_mincut, mixing, piece_codec, pii, quality_rules, simhash, toxicity
+from refloom.llm import (
+    bpe_count,
+    cotraining,
+    embeddings,
+    html_mincut,
+    merkle,
+    mixing,
+    piece_codec,
+    pii,
+    quality_rules,
+    simhash,
+    toxicity,
+)
 from refloom.llm.common import table
 from refloom.plans.registry import query
 
@@ -113,6 +125,73 @@ def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: CRC-32 of the decimal digits of doc_id, bit by bit.
+_CRC = """xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+    lambda acc, b: list_reduce([xor(acc, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))), 4294967295::UBIGINT)"""
+
+
+def _leaf_sql(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+_UP = "list_transform(range(0, len(l), 2), lambda i: sha256(l[i + 1] || coalesce(l[i + 2], '')))"
+
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree,
+    {_leaf_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf_sql("doc_id", "source", "lang", "(n_chars + 1)", "text")} END AS tampered
+  FROM documents),
+nodes(tree, level, l) AS (
+  SELECT tree, 0, list(leaf ORDER BY doc_id NULLS FIRST, leaf) FROM leaves GROUP BY tree
+  UNION ALL SELECT tree, level + 1, {_UP} FROM nodes WHERE len(l) > 1),
+subroots AS (SELECT tree, l[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM nodes WHERE len(l) = 1),
+top(level, l) AS (
+  SELECT 0, list(subroot ORDER BY tree) FROM subroots
+  UNION ALL SELECT level + 1, {_UP} FROM top WHERE len(l) > 1),
+flat AS (SELECT tree, level, unnest(l) AS node, generate_subscripts(l, 1) - 1 AS i FROM nodes WHERE len(l) > 1),
+top_flat AS (SELECT level, unnest(l) AS node, generate_subscripts(l, 1) - 1 AS i FROM top WHERE len(l) > 1),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY tree) AS r,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at
+  FROM leaves),
+steps AS (
+  SELECT p.r, x.level, CASE WHEN (p.at >> x.level) & 1 = 1 THEN 'L' ELSE 'R' END AS side, n.node
+  FROM placed p JOIN nodes x ON x.tree = p.tree AND len(x.l) > 1
+  LEFT JOIN flat n ON n.tree = p.tree AND n.level = x.level AND n.i = xor(p.at >> x.level, 1)
+  UNION ALL
+  SELECT p.r, 1000 + x.level, CASE WHEN (s.pos >> x.level) & 1 = 1 THEN 'L' ELSE 'R' END, n.node
+  FROM placed p JOIN subroots s USING (tree) JOIN top x ON len(x.l) > 1
+  LEFT JOIN top_flat n ON n.level = x.level AND n.i = xor(s.pos >> x.level, 1)),
+proofs AS (
+  SELECT r, list(side || coalesce(node, '') ORDER BY level) AS path, string_agg(coalesce(node, ''), '' ORDER BY level) AS proof
+  FROM steps GROUP BY r),
+folded AS (
+  SELECT p.*, s.subroot, (SELECT l[1] FROM top WHERE len(l) = 1) AS root, sha256(coalesce(q.proof, '')) AS proof_sha256,
+    list_reduce([coalesce(tampered, leaf)] || coalesce(q.path, []),
+      lambda a, b: sha256(CASE WHEN b[1] = 'L' THEN b[2:] || a ELSE a || b[2:] END)) AS folded_root
+  FROM placed p JOIN subroots s USING (tree) LEFT JOIN proofs q USING (r))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
+@query(MERKLE_SQL, name="op11_merkle_manifest")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    more = F.when(touched, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), claimed={"n_chars": more})
+    folded = rows.withColumn("folded_root", merkle.fold(F.col("claimed_leaf"), F.col("path")))
+    return folded.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.siblings_hash(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 @query(name="pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
