@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refloom.functions.core import let
 from refloom.llm import (
     bpe_count,
     cotraining,
@@ -13,13 +14,14 @@ from refloom.llm import (
     html_mincut,
     merkle,
     mixing,
+    periodic,
     piece_codec,
     pii,
     quality_rules,
     simhash,
     toxicity,
 )
-from refloom.llm.common import table
+from refloom.llm.common import WORD_CLASS, table, text_of, words_of
 from refloom.plans.registry import query
 
 
@@ -192,6 +194,42 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_planted_runs(doc_id: Column, text: Column) -> Column:
+    """The text; for a tenth of the documents its words from some place on are replaced by repeats of the first few of them."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        block = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+        tail = F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(tail, F.lit(1), (n - a).cast("int"))), " ")
+
+    touched = F.coalesce(h % 10 == 0, F.lit(False)) & text.rlike(WORD_CLASS)
+    return F.when(touched, let(words_of(text), planted)).otherwise(text)
+
+
+@query(name="op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", _with_planted_runs(F.col("doc_id"), text_of("text")).alias("text"))
+    rows = periodic.find_runs(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query(name="pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
