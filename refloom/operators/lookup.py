@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from refloom.functions.core import ColumnOrName, col, is_set, join_key, let
-from refloom.functions.similarity import THRESHOLD, length_bound, ratio_bound, similarity_ratio, similarity_ratios
+from refloom.functions.core import ColumnOrName, col, is_set, join_key, let, settle
+from refloom.functions.similarity import THRESHOLD, may_reach, ratio_if, similarity_ratio
 from refloom.session import materialize
 
 # Types worth a look-up, batch size, results kept and the marker for no result.
@@ -70,52 +70,62 @@ def parse_works(json: ColumnOrName) -> Column:
     return F.transform(items, lambda w: F.struct(F.try_element_at(w["title"], F.lit(1)).alias("title"), ids(w).alias("ids")))
 
 
-def best_candidate(df: DataFrame, title: str, candidates: str, threshold: float = THRESHOLD) -> DataFrame:
+def best_candidate(
+    df: DataFrame, title: str, candidates: str, threshold: float = THRESHOLD, compared: str | None = None
+) -> DataFrame:
     """Add `best` (title, ids, ratio) and `n_scanned`.
 
     Candidates are read in order up to the first one below the threshold; the highest ratio wins, the earlier one
-    where two are equal. All ratios of a row are computed in one Arrow call, no row is copied.
+    where two are equal. The scan is a fold whose state says whether it is still open: after the first miss nothing is
+    computed, and a candidate that the bounds rule out ends the scan without its ratio. `compared` names a column that
+    gets the number of ratios computed. A null list or title has no best; a candidate without title counts as the empty text.
     """
-    scored = df.withColumn(
-        "_ratios", similarity_ratios(title, F.transform(candidates, lambda c: F.coalesce(c["title"], F.lit(""))))
+    number = F.lit(0).cast("int")
+    start = F.struct(
+        F.lit(True).alias("open"),
+        number.alias("n"),
+        number.alias("at"),
+        F.lit(-1.0).alias("ratio"),
+        number.alias("exact"),
     )
 
-    def pick(ratios: Column) -> Column:
-        failing = F.array_position(F.transform(ratios, lambda r: r < threshold), True).cast("int")
-        reach = F.when(failing > 0, failing - 1).otherwise(F.size(ratios))
-        seen = F.slice(ratios, F.lit(1), reach)
-        at = F.array_position(seen, F.array_max(seen)).cast("int")
-        return F.struct(reach.alias("n"), at.alias("at"), F.array_max(seen).alias("ratio"))
+    def step(state: Column, c: Column) -> Column:
+        other = F.coalesce(c["title"], F.lit(""))
+        reaches = may_reach(title, other, threshold)
+        judged = F.struct(reaches.alias("near"), F.when(reaches, similarity_ratio(title, other)).alias("ratio"))
+
+        def after(j: Column) -> Column:
+            good = F.coalesce(j["ratio"] >= threshold, F.lit(False))
+            better = good & (j["ratio"] > state["ratio"])
+            n = state["n"] + F.when(good, 1).otherwise(0)
+            return F.struct(
+                good.alias("open"),
+                n.alias("n"),
+                F.when(better, n).otherwise(state["at"]).alias("at"),
+                F.when(better, j["ratio"]).otherwise(state["ratio"]).alias("ratio"),
+                (state["exact"] + F.when(j["near"], 1).otherwise(0)).alias("exact"),
+            )
 
-    placed = scored.withColumn("_pick", F.when(F.col(candidates).isNotNull(), let(F.col("_ratios"), pick)))
-    found = F.try_element_at(F.col(candidates), F.when(F.col("_pick.at") > 0, F.col("_pick.at")))
-    return (
-        placed.withColumn("_found", F.when(F.col("_pick.at") > 0, found))
-        .withColumn(
-            "best",
-            F.when(
-                F.col("_found").isNotNull(),
-                F.struct(
-                    F.col("_found.title").alias("title"),
-                    F.col("_found.ids").alias("ids"),
-                    F.col("_pick.ratio").alias("ratio"),
-                ),
-            ),
-        )
-        .withColumn("n_scanned", F.coalesce(F.col("_pick.n"), F.lit(0)))
-        .drop("_ratios", "_pick", "_found")
-    )
+        return F.when(state["open"], let(judged, after)).otherwise(state)
+
+    placed = df.withColumn("_pick", F.aggregate(F.col(candidates), start, step))
+    placed = settle(placed, ["_pick"]).withColumn("_found", F.when(F.col("_pick.at") > 0, F.get(F.col(candidates), F.col("_pick.at") - 1)))
+    best = F.struct(F.col("_found.title").alias("title"), F.col("_found.ids").alias("ids"), F.col("_pick.ratio").alias("ratio"))
+    placed = placed.withColumn("best", F.when(F.col("_found").isNotNull(), best))
+    placed = placed.withColumn("n_scanned", F.coalesce(F.col("_pick.n"), F.lit(0)))
+    if compared:
+        placed = placed.withColumn(compared, F.coalesce(F.col("_pick.exact"), F.lit(0)))
+    return placed.drop("_pick", "_found")
 
 
 def first_candidate(df: DataFrame, title: str, candidates: str, threshold: float = THRESHOLD) -> DataFrame:
     """Add `best` from the first candidate only, when it is similar enough."""
     staged = df.withColumn("_first", F.try_element_at(F.col(candidates), F.lit(1)))
-    close = (length_bound(title, "_first.title") >= threshold) & (ratio_bound(title, "_first.title") >= threshold)
-    scored = staged.withColumn("_ratio", similarity_ratio(title, F.when(close, F.col("_first.title"))))
+    scored = settle(staged.withColumn("_ratio", ratio_if(title, "_first.title", threshold)), ["_ratio"])
     return scored.withColumn(
         "best",
         F.when(
-            F.col("_ratio") >= threshold,
+            F.col("_ratio").isNotNull(),
             F.struct(
                 F.col("_first.title").alias("title"), F.col("_first.ids").alias("ids"), F.col("_ratio").alias("ratio")
             ),

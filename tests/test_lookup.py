@@ -21,6 +21,8 @@ def test_ratio_against_plain_table(spark):
     word = lambda n: "".join(rnd.choice("abcd é") for _ in range(n))
     pairs = [("kitten", "sitting"), ("", ""), ("", "x"), ("same", "same")]
     pairs += [(word(rnd.randint(0, 130)), word(rnd.randint(0, 130))) for _ in range(60)]
+    pairs += [(word(n), word(m)) for n in (59, 60, 61, 119, 120, 121) for m in (60, 61, 121, 300)]
+    pairs += [("\U0001d4b3 ye", "ye \U0001d4b3"), ("%.*[]\\", "\\[]*"), ("a" * 180, "a" * 180 + "b")]
     df = spark.createDataFrame(pairs, "a string, b string")
     rows = df.select("a", "b", S.similarity_ratio("a", "b").alias("r"), S.ratio_bound("a", "b").alias("lev"),
                      S.length_bound("a", "b").alias("len")).collect()
@@ -43,6 +45,21 @@ def test_scan_stops_at_first_miss(spark):
     assert rows[1].best is None
 
 
+def test_scan_computes_only_what_may_reach(spark):
+    title = "A history of northern rivers"
+    lists = [
+        ["x" * 80, title], [title[::-1], title], [title, title + "!", "zzz", title], [], None, [None, title],
+        [title[1:] + "a", title, title],
+    ]
+    df = spark.createDataFrame([(i, title, None if c is None else [(t, [("k", "v")]) for t in c]) for i, c in enumerate(lists)],
+                               "i int, t string, c array<struct<title:string,ids:array<struct<type:string,value:string>>>>")
+    got = K.best_candidate(df, "t", "c", compared="n_exact").orderBy("i")
+    assert [(r.n_scanned, r.n_exact) for r in got.collect()] == [(0, 0), (0, 0), (2, 2), (0, 0), (0, 0), (0, 0), (3, 3)]
+    assert [r.best.title if r.best else None for r in got.collect()] == [None, None, title, None, None, None, title]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_disambiguate_prefers_publications(spark):
     cites = spark.createDataFrame(
         [(1, "cite book", "A long title", "other"), (2, "cite book", "B long title", "other"),
