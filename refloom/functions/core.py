@@ -135,6 +135,52 @@ def scan(
     return F.aggregate(chunks, start, outer, lambda acc: F.flatten(acc["outs"]))
 
 
+def cut_runs(items: Column, opens: Callable[[Column, Column], Column]) -> Column:
+    """Cut an array into runs of neighbours: `opens(item, one before)` tells where a new run begins.
+
+    Linear in the array; the first item always begins a run, an empty array has none.
+    """
+
+    def cut(xs: Column) -> Column:
+        begins = F.filter(
+            F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | opens(F.get(xs, i), F.get(xs, F.greatest(i - 1, F.lit(0))))
+        )
+        return let(
+            begins,
+            lambda bs: F.transform(
+                bs, lambda b, k: F.slice(xs, b + 1, F.coalesce(F.get(bs, k + 1), F.size(xs)) - b)
+            ),
+        )
+
+    # An empty array gives an empty list of the same type.
+    return let(items, lambda xs: F.when(F.size(xs) > 0, cut(xs)).otherwise(F.slice(F.array(xs), F.lit(2), F.lit(1))))
+
+
+def substrings(text: Column, bounds: Column, chunk: int = 128) -> Column:
+    """Pieces of a text between ordered places, `array<struct<start,end>>`, counted in characters from 0.
+
+    Finding a character means walking there from the front of the text, so pieces are taken out of blocks of `chunk`
+    neighbours, and only blocks out of the whole text.
+    """
+
+    def block(part: Column) -> Column:
+        first = F.get(part, F.lit(0))["start"]
+        return let(
+            F.substring(text, first + 1, F.element_at(part, -1)["end"] - first),
+            lambda t: F.transform(part, lambda b: F.substring(t, b["start"] - first + 1, b["end"] - b["start"])),
+        )
+
+    return let(
+        bounds,
+        lambda bs: F.flatten(
+            F.transform(
+                F.filter(F.sequence(F.lit(0), F.floor(F.size(bs) / chunk).cast("int")), lambda k: k * chunk < F.size(bs)),
+                lambda k: let(F.slice(bs, k * chunk + 1, F.lit(chunk)), block),
+            )
+        ),
+    )
+
+
 def settle(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Pass costly columns through a generator, one row in and one row out.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions import braces as B
 from refloom.functions import citation as C
 from refloom.functions import wikitext as W
-from refloom.functions.core import first_set, is_set, let, matches, settle
+from refloom.functions.core import cut_runs, first_set, is_set, let, matches, settle
 from refloom.functions.dates import approx_or_no_date, parse_date
 from refloom.functions.fields import clean_pages, coins_title, hyphen_to_dash
 from refloom.functions.identifiers import extract_ids
@@ -28,87 +30,152 @@ FIELDS = (
     " Periodical PublicationPlace Date Edition Pages Chron Issue Volume TitleType"
 ).split()
 
-# Fields the normaliser reads, with their place in the array of values.
-_FIELD_NO = {
-    name: i
-    for i, name in enumerate(
-        (
-            "Title ScriptTitle TitleLink Chapter ScriptChapter ChapterURL URL Periodical Encyclopedia BookTitle"
-            " Format Series Season SeriesNumber PublisherName Degree Edition TitleType Others Contribution Embargo"
-            " Date AirDate Year PublicationDate PublicationPlace Place City AccessDate Volume Issue Sheet Sheets"
-            " Page Pages At MailingList Map MapURL Episode"
-        ).split()
-    )
+#: Fields that labelling and look-up read.
+MINIMAL_FIELDS = ["Title", "URL", "Authors", "ID_list"]
+
+# What each field is made of: working columns (lower case) and parameters (as they are called in the table of aliases).
+_ARXIV = "ids access_date chapter fmt page_text publisher url periodical"
+_READS = {
+    "Degree": "degree",
+    "City": "city",
+    "SeriesNumber": "series_number",
+    "AccessDate": "access_date",
+    "Chapter": "chapter title script_chapter periodical periodical_origin encyclopedia",
+    "PublisherName": "publisher",
+    "Format": "fmt",
+    "Title": "title chapter script_title periodical periodical_origin encyclopedia",
+    "URL": "url chapter_url ids embargo",
+    "Series": "series",
+    "Encyclopedia": "encyclopedia",
+    "Periodical": "periodical",
+    "PublicationPlace": "place",
+    "Date": "date_text",
+    "Edition": "edition",
+    "Pages": "page_text",
+    "Chron": "date_text",
+    "Issue": "issue",
+    "Volume": "volume",
+    "TitleType": "type_given others degree",
+    "Authors": "with_contributors",
+    "ID_list": "ids",
+    # Working columns, with the remaps of classes that write them.
+    "title": "Title script_title chapter periodical encyclopedia book_title series",
+    "script_title": "ScriptTitle title chapter periodical encyclopedia",
+    "title_link": "TitleLink",
+    "chapter": "Chapter Map Episode title script_title title_link encyclopedia book_title " + _ARXIV,
+    "script_chapter": "ScriptChapter script_title chapter title periodical encyclopedia",
+    "chapter_url": "ChapterURL MapURL url chapter title script_title periodical encyclopedia book_title",
+    "url": "URL title script_title encyclopedia book_title " + _ARXIV,
+    "fmt": "Format title script_title encyclopedia book_title " + _ARXIV,
+    "periodical": "Periodical MailingList periodical_origin title script_title chapter encyclopedia",
+    "periodical_origin": "Periodical",
+    "encyclopedia": "Encyclopedia",
+    "book_title": "BookTitle",
+    "series": "Series Season series_number issue title_link url ids",
+    "series_number": "SeriesNumber",
+    "publisher": "PublisherName " + _ARXIV,
+    "degree": "Degree",
+    "edition": "Edition",
+    "type_given": "TitleType",
+    "others": "Others",
+    "embargo": "Embargo",
+    "date_text": "Date AirDate Year PublicationDate",
+    "place": "PublicationPlace Place",
+    "city": "City",
+    "access_date": "AccessDate " + _ARXIV,
+    "ids": "series",
+    "volume": "Volume Periodical",
+    "issue": "Issue Periodical",
+    "page_text": "Sheet Sheets Page Pages At " + _ARXIV,
+    "with_contributors": "Contribution Periodical",
 }
 
 
-def section_in_force(heads: Column, start: Column, strict: bool = False) -> Column:
-    """Title of the last heading before a position.
+def _needed(fields: list[str]) -> tuple[list[str], list[str]]:
+    """(working columns that the fields read, parameters that these go back to)."""
+    direct = [c for f in fields for c in _READS[f].split()]
+    seen, todo = set(), list(direct)
+    while todo:
+        name = todo.pop()
+        if name not in seen:
+            seen.add(name)
+            # A parameter may have the name of a field (`Title`); only working columns lead further.
+            todo += _READS[name].split() if name.islower() else []
+    return list(dict.fromkeys(direct)), sorted(n for n in seen if not n.islower())
+
 
-    `strict` takes only headings written `== Title ==` with two signs and a blank; the default takes any
-    heading from level 2.
+def spans_with_sections(spans: Column, heads: Column, strict: bool = False) -> Column:
+    """Spans as `struct<start,text,section>`: the title of the last heading before each, in the order of the spans.
+
+    Spans and headings are sorted into one list by position and the list is cut at the headings, so a page costs
+    n log n in its spans and headings together. `strict` takes only headings written `== Title ==` with two signs and a
+    blank; the default takes any heading from level 2.
     """
     usable = F.filter(
-        heads,
-        lambda h: (h["start"] < start)
-        & (((h["level"] == 2) & h["title"].startswith(" ")) if strict else (h["level"] >= 2)),
+        heads, lambda h: ((h["level"] == 2) & h["title"].startswith(" ")) if strict else (h["level"] >= 2)
     )
-    return let(
-        F.try_element_at(usable, F.lit(-1)),
-        lambda h: F.coalesce(F.trim(F.replace(h["title"], F.lit("=="), F.lit(""))), F.lit(INITIAL_SECTION)),
+    marks = F.transform(
+        usable,
+        lambda h: F.struct(
+            h["start"].alias("start"),
+            F.lit(1).alias("head"),  # after a span at the same place
+            F.trim(F.replace(h["title"], F.lit("=="), F.lit(""))).alias("text"),
+        ),
+    )
+    places = F.transform(
+        spans, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("head"), s["text"].alias("text"))
+    )
+
+    def named(run: Column) -> Column:
+        first = F.get(run, F.lit(0))
+        title = F.when(first["head"] == 1, first["text"]).otherwise(INITIAL_SECTION)
+        return F.transform(
+            F.filter(run, lambda x: x["head"] == 0),
+            lambda x: F.struct(x["start"].alias("start"), x["text"].alias("text"), title.alias("section")),
+        )
+
+    in_order = F.array_sort(F.concat(places, marks))
+    return F.flatten(F.transform(cut_runs(in_order, lambda x, _: x["head"] == 1), lambda run: let(run, named)))
+
+
+def _with_all_sections(rows: Column) -> Column:
+    """Add `pos` (from 1) and `sections_all`, the sections of every occurrence of the same text, by one sort by text."""
+    numbered = F.transform(
+        rows,
+        lambda r, i: F.struct(
+            r["text"].alias("citations"), (i + 1).alias("pos"), r["start"].alias("start"), r["section"].alias("section")
+        ),
     )
 
+    def together(run: Column) -> Column:
+        return let(
+            F.transform(run, lambda x: x["section"]),
+            lambda names: F.transform(
+                run,
+                lambda x: F.struct(
+                    x["pos"].alias("pos"),
+                    x["start"].alias("start"),
+                    x["citations"].alias("citations"),
+                    x["section"].alias("section"),
+                    names.alias("sections_all"),
+                ),
+            ),
+        )
+
+    runs = cut_runs(F.array_sort(numbered), lambda x, before: x["citations"] != before["citations"])
+    return F.array_sort(F.flatten(F.transform(runs, together)))
+
 
 def extract_citations(articles: DataFrame, content: str = "content", strict: bool = False) -> DataFrame:
     """One row per template of an article, outer before nested, with section and type.
 
-    Map-only: templates and headings are found inside the row. `sections_all` joins the sections of every
-    occurrence of the same text on the page.
+    Map-only: templates and headings are found inside the row, at n log n of the page's templates and headings.
+    `sections_all` holds the sections of every occurrence of the same text on the page.
     """
     keep = [c for c in articles.columns if c != content]
-    found = articles.select(
-        *keep,
-        let(
-            F.struct(B.template_spans(content).alias("spans"), W.headings(content).alias("heads")),
-            lambda f: let(
-                F.transform(
-                    f["spans"],
-                    lambda s: F.struct(
-                        s["start"].alias("start"),
-                        s["text"].alias("citations"),
-                        section_in_force(f["heads"], s["start"], strict).alias("section"),
-                    ),
-                ),
-                lambda rows: F.transform(
-                    rows,
-                    lambda r, i: F.struct(
-                        (i + 1).alias("pos"),
-                        r["start"].alias("start"),
-                        r["citations"].alias("citations"),
-                        r["section"].alias("section"),
-                    ),
-                ),
-            ),
-        ).alias("found"),
-    )
-    with_all = found.select(
-        *keep,
-        F.explode(
-            F.transform(
-                "found",
-                lambda r: F.struct(
-                    r["pos"].alias("pos"),
-                    r["start"].alias("start"),
-                    r["citations"].alias("citations"),
-                    r["section"].alias("section"),
-                    F.transform(
-                        F.filter("found", lambda o: o["citations"] == r["citations"]), lambda o: o["section"]
-                    ).alias("sections_all"),
-                ),
-            )
-        ).alias("c"),
-    )
-    return with_all.select(*keep, "c.*", C.citation_type(F.col("c.citations"), strict).alias("type_of_citation"))
+    found = _with_all_sections(spans_with_sections(B.template_spans(content), W.headings(content), strict))
+    rows = articles.select(*keep, F.explode(found).alias("c"))
+    return rows.select(*keep, "c.*", C.citation_type(F.col("c.citations"), strict).alias("type_of_citation"))
 
 
 def filter_known_types(df: DataFrame, column: str = "type_of_citation") -> DataFrame:
@@ -155,13 +222,21 @@ def normalize_citations(
     strict: bool = False,
     as_of_year: int = AS_OF_YEAR,
     as_of_date: str | None = None,
+    fields: list[str] | None = None,
 ) -> DataFrame:
-    """Add the 22 fields of the common schema to rows with a citation text.
+    """Add the 22 fields of the common schema, or those named in `fields`, to rows with a citation text.
+
+    Only the parameters, rules and remaps that the fields go back to (`_READS`) are planned.
 
     Text fields are never null. `Authors` is an array of people and `ID_list` a map from kind to value; see
     `legacy_text` for their text form. An input column that has the name of a field is kept as `page_<name>`. The
     class-specific rules run one after the other over plain columns, so the whole operator is one map-only stage.
     """
+    wanted = [n for n in FIELDS if fields is None or n in fields]
+    if fields is not None and len(wanted) != len(set(fields)):
+        raise ValueError(f"no such fields: {sorted(set(fields) - set(FIELDS))}")
+    working, raw = _needed(wanted)
+    place = {name: i for i, name in enumerate(raw)}
     # Input columns travel as one struct, so that none of them can meet a working column of the same name.
     p = parse_templates(
         df.select(F.struct(*df.columns).alias("_in"), F.col(citation).alias("_citation")),
@@ -171,9 +246,10 @@ def normalize_citations(
     )
     parsed = p.columns
     known = C.is_citation_template("template_name", lang, strict)
-    a = lambda field: F.get("_values", F.lit(_FIELD_NO[field]))
+    null = F.lit(None).cast("string")
+    a = lambda field: F.get("_values", F.lit(place[field])) if field in place else null
 
-    p = p.withColumn("given", C.set_params("params")).withColumn("_values", C.field_values("given", _FIELD_NO))
+    p = p.withColumn("given", C.set_params("params")).withColumn("_values", C.field_values("given", raw))
     p = p.withColumns(
         {
             "known": F.coalesce(known, F.lit(False)),
@@ -222,17 +298,18 @@ def normalize_citations(
             & F.col("contribution").isNotNull(),
         }
     )
-    p = _class_remaps(_encyclopedia_remap(p))
-    p = settle(p.drop("_values"), [c for c in p.columns if c not in parsed and c != "_values"])
-    p = p.withColumn("people", authors("given"))
-    p = p.withColumn(
-        "contributors",
-        F.when(F.col("with_contributors") & (F.size("people") > 0), people("given", "contributor")),
-    )
-
-    parsed = parse_date("date_text", as_of_year)
-    is_keyword = approx_or_no_date("date_text").isNotNull()
-    p = p.withColumn("date_parts", F.when(~is_keyword, parsed))
+    p = _class_remaps(_encyclopedia_remap(p), a)
+    made = ["known", *(["given"] if "Authors" in wanted else []), *working]
+    p = settle(p.select(*parsed, *made), made)
+    if "Authors" in wanted:
+        p = p.withColumn("people", authors("given"))
+        p = p.withColumn(
+            "contributors",
+            F.when(F.col("with_contributors") & (F.size("people") > 0), people("given", "contributor")),
+        )
+    if "Date" in wanted or "Chron" in wanted:
+        is_keyword = approx_or_no_date("date_text").isNotNull()
+        p = p.withColumn("date_parts", F.when(~is_keyword, parse_date("date_text", as_of_year)))
     embargo_open = F.lit(False)
     if as_of_date is not None:
         embargo_open = parse_date("embargo", as_of_year + 100)["start"] >= F.lit(as_of_date).cast("date")
@@ -274,6 +351,7 @@ def normalize_citations(
         ),
     }
     failed, known_ = F.col("parse_failed"), F.col("known")
+    names = [n for n in TEXT_FIELDS if n in wanted]
     chosen = F.when(F.size(F.coalesce("contributors", F.array())) > 0, F.col("contributors")).otherwise(F.col("people"))
     shown = F.transform(
         chosen,
@@ -286,30 +364,23 @@ def normalize_citations(
         F.create_map().cast("map<string,string>")
     )
     # All text fields pass through one expression instead of nineteen copies of it.
-    p = p.withColumns(
-        {
-            "texts": F.when(
-                known_,
-                F.transform(
-                    F.array(*[values[n] for n in TEXT_FIELDS]),
-                    lambda v: F.when(v.isNull(), F.lit("")).otherwise(W.strip_bound(v)),
-                ),
-            ).otherwise(F.array_repeat(F.lit(""), len(TEXT_FIELDS))),
-            "Authors": authors_out,
-            "ID_list": ids_out,
-        }
+    texts = F.transform(
+        F.array(*[values[n] for n in names]) if names else F.array().cast("array<string>"),
+        lambda v: F.when(v.isNull(), F.lit("")).otherwise(W.strip_bound(v)),
     )
-    p = settle(p, ["texts"])
-    out = {n: F.get("texts", F.lit(i)) for i, n in enumerate(TEXT_FIELDS)}
-    out["Title"] = F.when(failed, NOT_PARSABLE).otherwise(out["Title"])
-    out |= {"Authors": F.col("Authors"), "ID_list": F.col("ID_list")}
-    taken = {n.lower() for n in FIELDS}
+    out = {"texts": F.when(known_, texts).otherwise(F.array_repeat(F.lit(""), len(names)))}
+    out |= {n: v for n, v in (("Authors", authors_out), ("ID_list", ids_out)) if n in wanted}
+    p = settle(p.withColumns(out), ["texts"])
+    out = {n: F.get("texts", F.lit(i)) for i, n in enumerate(names)} | {n: F.col(n) for n in ("Authors", "ID_list")}
+    if "Title" in wanted:
+        out["Title"] = F.when(failed, NOT_PARSABLE).otherwise(out["Title"])
+    taken = {n.lower() for n in wanted}
     given = [
         F.col(f"_in.`{c}`").alias(f"page_{c}" if c.lower() in taken else c)
         for c in df.columns
         if c not in ("template_name", "cls", "parse_failed")
     ]
-    return p.select(*given, "template_name", "cls", "parse_failed", *[out[n].alias(n) for n in FIELDS])
+    return p.select(*given, "template_name", "cls", "parse_failed", *[out[n].alias(n) for n in wanted])
 
 
 def _when(cond: Column, **changes: Column):
@@ -346,11 +417,10 @@ def _encyclopedia_remap(p: DataFrame) -> DataFrame:
     )
 
 
-def _class_remaps(p: DataFrame) -> DataFrame:
+def _class_remaps(p: DataFrame, alias: Callable[[str], Column]) -> DataFrame:
     """Rules of single classes: mailing list, conference, map, episode, serial, arXiv."""
     null = F.lit(None).cast("string")
     cls = F.col("cls")
-    alias = lambda field: F.get("_values", F.lit(_FIELD_NO[field]))
 
     p = p.withColumn(
         "periodical",
@@ -450,7 +520,7 @@ def legacy_text(df: DataFrame) -> DataFrame:
 
 
 def minimal(df: DataFrame, citation: str = "citation") -> DataFrame:
-    """The seven columns that labelling reads; pruning drops the work for all other fields."""
+    """The seven columns that labelling reads. `normalize_citations(fields=MINIMAL_FIELDS)` plans no more than these."""
     return df.select(
         "type_of_citation", "page_title", "Title", "URL", "Authors", "ID_list", F.col(citation).alias("citations")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions import braces as B
-from refloom.functions.core import ColumnOrName, col, let, matches
+from refloom.functions.core import ColumnOrName, col, cut_runs, let, matches, substrings
 
 # Number of words before a citation, and single characters that stay tokens.
 NEIGHBORS = 40
@@ -29,20 +29,20 @@ def page_tokens(text: ColumnOrName) -> Column:
     c = col(text)
 
     def cut(spans: Column) -> Column:
-        def gap(i: Column) -> Column:
-            start = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
-            end = F.when(i == F.size(spans), F.length(c)).otherwise(F.get(spans, i)["start"])
-            return word_tokens(F.regexp_replace(F.substring(c, start + 1, end - start), _SKIPPED, " "))
-
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), F.size(spans)),
-                lambda i: F.when(
-                    i < F.size(spans), F.concat(gap(i), F.array(F.get(spans, i)["text"]))
-                ).otherwise(gap(i)),
-            )
+        between = F.transform(
+            F.sequence(F.lit(0), F.size(spans)),
+            lambda i: F.struct(
+                F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"]).alias("start"),
+                F.when(i == F.size(spans), F.length(c)).otherwise(F.get(spans, i)["start"]).alias("end"),
+            ),
         )
 
+        def tokens(gap: Column, i: Column) -> Column:
+            words = word_tokens(F.regexp_replace(gap, _SKIPPED, " "))
+            return F.when(i < F.size(spans), F.concat(words, F.array(F.get(spans, i)["text"]))).otherwise(words)
+
+        return F.flatten(F.transform(substrings(c, between), tokens))
+
     return let(B.outermost(B.template_spans(c)), cut)
 
 
@@ -90,29 +90,35 @@ def context_features(
     """One row per citation occurrence on a page: place of its first occurrence, page length in tokens and the up
     to `n` words before it.
 
-    Everything is read from the token array inside the row, so there is neither a window nor a shuffle, and a
-    long page costs its own length only. Only templates that are tokens, the outermost ones, have a place.
+    Everything is read from the token array inside the row, so there is neither a window nor a shuffle. Templates are
+    sorted by text once, which gives the first place of each, so a page costs n log n. Only templates that are tokens, the outermost ones, have a place.
     """
     keep = [c for c in pages.columns if c != content]
     stream = filter_tokens(clean_tokens(page_tokens(content)))
 
     def features(tokens: Column) -> Column:
-        found = F.filter(tokens, lambda t: t.startswith("{{"))
+        placed = F.transform(tokens, lambda t, i: F.struct(t.alias("citation"), i.alias("at")))
+        found = F.array_sort(F.filter(placed, lambda x: x["citation"].startswith("{{")))
 
-        def one(t: Column) -> Column:
+        def same(run: Column) -> Column:
+            # Occurrences of one text, the first in front.
+            first = F.get(run, F.lit(0))["at"]
             return let(
-                F.array_position(tokens, t).cast("int") - 1,
-                lambda at: F.struct(
-                    t.alias("citation"),
-                    at.alias("ref_index"),
+                F.struct(
+                    F.get(run, F.lit(0))["citation"].alias("citation"),
+                    first.alias("ref_index"),
                     F.size(tokens).alias("total_words"),
                     tag_tokens(
-                        F.slice(tokens, F.greatest(at - n, F.lit(0)) + 1, F.least(at, F.lit(n)))
+                        F.slice(tokens, F.greatest(first - n, F.lit(0)) + 1, F.least(first, F.lit(n)))
                     ).alias("neighbors"),
                 ),
+                lambda f: F.transform(run, lambda x: F.struct(x["at"].alias("at"), f.alias("f"))),
             )
 
-        return F.transform(found, one)
+        runs = cut_runs(found, lambda x, before: x["citation"] != before["citation"])
+        every = F.flatten(F.transform(runs, same))
+        # Back in the order of the page; places differ, so nothing behind them is compared.
+        return F.transform(F.array_sort(every, lambda x, y: x["at"] - y["at"]), lambda x: x["f"])
 
     return pages.select(*keep, F.explode(let(stream, features)).alias("citations_features"))
 

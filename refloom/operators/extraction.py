@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from refloom.functions import braces as B
 from refloom.functions import wikitext as W
 from refloom.functions.core import let, matches
-from refloom.operators.citations import section_in_force
+from refloom.operators.citations import spans_with_sections
 
 
 def _explode(df: DataFrame, content: str, items: Column) -> DataFrame:
@@ -177,17 +177,7 @@ def explode_params(templates: DataFrame, params: str = "params") -> DataFrame:
 
 def section_of(pages: DataFrame, content: str = "content", strict: bool = False) -> DataFrame:
     """Every template with the heading in force at its position."""
-    items = let(
-        F.struct(B.template_spans(content).alias("spans"), W.headings(content).alias("heads")),
-        lambda f: F.transform(
-            f["spans"],
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                s["text"].alias("text"),
-                section_in_force(f["heads"], s["start"], strict).alias("section"),
-            ),
-        ),
-    )
+    items = spans_with_sections(B.template_spans(content), W.headings(content), strict)
     return _explode(pages, content, items)
 
 

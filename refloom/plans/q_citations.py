@@ -55,8 +55,8 @@ def with_id_list(spark, sf):
     return settle(p.withColumn("ID_list", I.extract_ids("params")), ["ID_list"])
 
 
-def normalized_cites(spark, sf):
-    return O.normalize_citations(O.filter_known_types(cites(spark, sf)))
+def normalized_cites(spark, sf, fields=None):
+    return O.normalize_citations(O.filter_known_types(cites(spark, sf)), fields=fields)
 
 
 LABEL = """CASE WHEN isbn IS NOT NULL AND doi IS NOT NULL AND typ IN ('cite journal', 'cite conference') THEN 'journal'
@@ -286,14 +286,14 @@ _TITLE = "CASE WHEN title_style = 2 THEN plain_title || ' ' ELSE plain_title END
 @query(f"""SELECT page_id, encyclopedia AS "Title", {_TITLE} AS "Chapter", '' AS "Periodical"
            FROM {_P} p WHERE slot = 23""")
 def encyclopedia_remap(spark, sf):
-    n = normalized_cites(spark, sf).where(F.col("cls") == "encyclopaedia")
+    n = normalized_cites(spark, sf, ["Title", "Chapter", "Periodical"]).where(F.col("cls") == "encyclopaedia")
     return n.select("page_id", "Title", "Chapter", "Periodical")
 
 
 @query(f"""SELECT page_id, coalesce(book_title, {_TITLE}) AS "Title", CASE WHEN book_title IS NOT NULL THEN {_TITLE} ELSE '' END AS "Chapter"
            FROM {_P} p WHERE slot = 22""")
 def conference_remap(spark, sf):
-    n = normalized_cites(spark, sf).where(F.col("cls") == "conference")
+    n = normalized_cites(spark, sf, ["Title", "Chapter"]).where(F.col("cls") == "conference")
     return n.select("page_id", "Title", "Chapter")
 
 
@@ -302,7 +302,7 @@ _URL = "CASE WHEN slot = 31 OR slot = 26 THEN '' ELSE coalesce(url, CASE WHEN cl
 
 @query(f"""SELECT page_id, {_URL} AS "URL" FROM {_P} p WHERE known AND name <> 'Harvnb'""")
 def url_rule(spark, sf):
-    return normalized_cites(spark, sf).select("page_id", "URL")
+    return normalized_cites(spark, sf, ["URL"]).select("page_id", "URL")
 
 
 _M2, _D2 = "lpad(CAST(m AS VARCHAR), 2, '0')", "lpad(CAST(d AS VARCHAR), 2, '0')"
@@ -349,7 +349,7 @@ _N_SET = " + ".join(f"CASE WHEN \"{c}\" <> '' THEN 1 ELSE 0 END" for c in _SET)
 
 @query(f"SELECT page_id, CAST({_N_SET} AS BIGINT) AS n_set FROM ({_NORMAL}) n")
 def compact_fields(spark, sf):
-    n = O.compact_fields(normalized_cites(spark, sf), _SET)
+    n = O.compact_fields(normalized_cites(spark, sf, _SET), _SET)
     return n.select("page_id", F.size("fields").cast("bigint").alias("n_set"))
 
 

@@ -12,6 +12,7 @@ from refloom.operators import context as X
 from refloom.operators import features as M
 from refloom.operators import labels as L
 from refloom.operators import lookup as K
+from refloom.operators import matching as MT
 from refloom.operators import models as ML
 from refloom.plans import derived as D
 from refloom.plans.q_citations import _P, LABELLED, cites, normalized_cites, with_id_list
@@ -358,6 +359,33 @@ def first_candidate(spark, sf):
     return done.select("pk", F.when(F.col("best").isNotNull(), _ids_text("best.ids")).alias("ids"))
 
 
+# A record title per part, far from all others; the citation asks for it with up to two edits, or for one that has no record.
+_TITLES = "SELECT p_partkey AS pk, substr(p_name, 1, 20) || ' ' || md5(CAST(p_partkey AS VARCHAR)) AS t FROM part"
+
+
+@query(f"""SELECT pk, CASE WHEN pk % 6 <> 5 THEN t END AS match,
+             round(CASE pk % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 * (n - 1) / (2 * n - 1) WHEN 2 THEN 2.0 * n / (2 * n + 1)
+               WHEN 3 THEN 2.0 * (n - 1) / (2 * n) WHEN 4 THEN 2.0 * (n - 2) / (2 * n - 2) END, 6) AS ratio
+           FROM (SELECT *, length(t) AS n FROM ({_TITLES}) q) r""")
+def match_candidates(spark, sf):
+    """Titles with one or two characters missing, added or changed against all records."""
+    name = F.concat(F.substr("p_name", F.lit(1), F.lit(20)), F.lit(" "), F.md5(F.col("p_partkey").cast("string")))
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("pk"), name.alias("t"))
+    at = (F.length("t") - 30 + F.col("pk") % 20).cast("int")
+    head, rest = F.substr("t", F.lit(1), at - 1), F.substr("t", at + 1, F.length("t"))
+    kind = F.col("pk") % 6
+    asked = (
+        F.when(kind == 0, F.col("t"))
+        .when(kind == 1, F.concat(head, rest))
+        .when(kind == 2, F.concat(head, F.lit("é"), F.substr("t", at, F.length("t"))))
+        .when(kind == 3, F.concat(head, F.lit("é"), rest))
+        .when(kind == 4, F.concat(F.substr("t", F.lit(2), at - 2), rest))
+        .otherwise(F.reverse("t"))
+    )
+    found = MT.match_candidates(rows.select("pk", asked.alias("Title")), rows.where(kind != 5).select(F.col("t").alias("title")))
+    return found.select("pk", "match", F.round("ratio", 6).alias("ratio"))
+
+
 @query(f"""SELECT pk, CASE pk % 4 WHEN 2 THEN '{K.NO_RESULT}' END AS message,
              CASE pk % 4 WHEN 1 THEN '%%%%%%%%' WHEN 2 THEN NULL ELSE query_title END AS titles FROM {_REC} r""")
 def top_candidates(spark, sf):
@@ -411,7 +439,7 @@ _ACQUIRED = f"""(SELECT l.*, r.pk AS rk, CASE WHEN {_LIKELY} AND r.pk IS NOT NUL
 
 
 def disambiguated(spark, sf):
-    rows = L.label_book_journal(normalized_cites(spark, sf)).select(
+    rows = L.label_book_journal(normalized_cites(spark, sf, ["Title", "ID_list"])).select(
         "page_id", "type_of_citation", "Title", "actual_label"
     )
     rows = materialize(rows, "labelled")

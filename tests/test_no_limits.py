@@ -1,12 +1,15 @@
 """Cases that a limit on numbers, depth or length would lose."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from refloom.functions import urls as U
 from refloom.functions import wikitext as W
+from refloom.operators import citations as C
+from refloom.operators import context as X
 from refloom.operators import quality as Q
 from refloom.streaming import parts as ST
 from refloom.tables.params import FIELD_ALIASES, KNOWN_PARAMS
@@ -100,3 +103,34 @@ def test_edits_by_place(spark):
     pages = spark.createDataFrame([(page,), ("none",), ("",), (None,)], "content string")
     got = [r.content for r in R.rewrite_page_templates(pages, "Cite web", "date", "2").collect()]
     assert got == [f"a {new} <!-- {t} --> <nowiki>{t}</nowiki> {{{{x|{t}}}}} é {new}.", "none", "", None]
+
+
+def _page(n):
+    """n templates, each text twice, and a heading before every third."""
+    return "".join(
+        (f"== H{i} ==\n" if i % 3 == 0 else "") + f"Some words {{{{cite web|title=T{i % (n // 2)}}}}} more.\n" for i in range(n)
+    )
+
+
+def test_sections_and_places_on_a_long_page(spark):
+    n = 4000
+    df = spark.createDataFrame([(1, _page(n))], "page_id int, content string")
+    got = sorted(C.extract_citations(df).collect(), key=lambda r: r.pos)
+    assert [r.section for r in got] == [f"H{i - i % 3}" for i in range(n)]
+    half = n // 2
+    assert all(r.sections_all == [f"H{j - j % 3}" for j in (i % half, i % half + half)] for i, r in enumerate(got))
+    rows = [r.citations_features for r in X.context_features(df).collect()]
+    assert [r.citation for r in rows] == [r.citations for r in got]
+    assert [r.ref_index for r in rows] == [5 * (i % half) + 2 for i in range(n)]
+
+
+@pytest.mark.parametrize("work", [C.extract_citations, X.context_features], ids=["citations", "context"])
+def test_cost_of_a_page_is_not_quadratic(work, spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, _page(n))], "page_id int, content string")
+        start = time.perf_counter()
+        work(df).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(2000)
+    assert seconds(16_000) < 8 * seconds(4000)  # quadratic: 16 times

@@ -1,7 +1,10 @@
 import ast
 
+import pytest
+
 from refloom.operators import citations as O
 from refloom.operators import quality as Q
+from refloom.tables.params import FIELD_ALIASES
 
 
 SOURCE = ast.parse(open(__file__, encoding="utf-8").read())
@@ -76,6 +79,37 @@ def test_minimal_and_compact(spark):
     assert O.compact_fields(n).first().fields == {"Title": "x"}
 
 
+def test_every_field_alone_is_as_among_all(spark):
+    more = [
+        "{{cite conference|title=T|book-title=B|url=http://a.org|format=PDF}}", "{{cite map|map=M|map-url=http://m.org|title=A|url=http://a.org}}",
+        "{{cite episode|title=E|series=S|season=2|number=3|title-link=L|url=http://a.org}}", "{{cite episode|title=E|series=S|series-no=4|title-link=L}}",
+        "{{cite serial|title=T|episode=E|issue=4}}", "{{cite arxiv|title=T|arxiv=0706.0001|version=v2|doi=10.1/x|chapter=C|url=http://a.org|pages=3}}",
+        "{{cite arxiv|title=T|eprint=0706.0001|class=math|author=A|date=2001}}", "{{cite encyclopedia|title=T|encyclopedia=E|url=http://a.org|format=PDF}}",
+        "{{citation|title=T|encyclopedia=E|chapter=C|journal=J|script-title=ru:X}}", "{{cite book|contributor=A B|contribution=Foreword|title=T|last=C|first=D}}",
+        "{{cite journal|title=none|journal=J|pmc=12|volume=3|issue=4|date=May 2001|access-date=1 May 2002|at=p. 4}}",
+        "{{cite mailing list|title=T|mailing-list=L}}", "{{cite interview|title=T|others=O|type=TV|degree=PhD}}", "{{cite thesis|title=T|degree=PhD|place=P}}",
+        "no braces", "{{unknown|title=x}}",
+    ]
+    df = spark.createDataFrame([(t,) for t in [*_texts("normal"), *more]], "citation string")
+    whole = {r.citation: r for r in O.normalize_citations(df).collect()}
+    # One field of each kind of dependency; each list is a plan of its own.
+    for names in [["Chapter"], ["Title", "Volume"], ["URL"], ["Series", "Date"], ["Format", "Pages"], O.MINIMAL_FIELDS]:
+        rows = O.normalize_citations(df, fields=names).collect()
+        assert all(r[n] == whole[r.citation][n] for r in rows for n in names), names
+        assert [c for c in rows[0].asDict() if c in O.FIELDS] == [f for f in O.FIELDS if f in names]
+
+
+def test_fields_that_are_not_asked_are_not_planned(spark):
+    df = spark.createDataFrame([("{{cite web|title=x}}",)], "citation string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    whole, few = plan(O.normalize_citations(df)), plan(O.normalize_citations(df, fields=O.MINIMAL_FIELDS))
+    names = {f: "|".join(FIELD_ALIASES[f]) for f in ("Volume", "Edition", "Degree", "Title")}
+    assert all(text in whole for text in names.values())
+    assert [f for f, text in names.items() if text in few] == ["Title"]
+    with pytest.raises(ValueError):
+        O.normalize_citations(df, fields=["Nothing"])
+
+
 def errors(spark, text):
     if "errors" not in _DONE:
         df = spark.createDataFrame([(t,) for t in _texts("errors")], "citation string")
