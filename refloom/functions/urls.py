@@ -113,44 +113,55 @@ def default_format(fmt: ColumnOrName, url: ColumnOrName) -> Column:
     return F.when(is_set(col(fmt)), col(fmt)).when(is_pdf(url), "PDF")
 
 
-def top_domain(url: ColumnOrName, suffixes: list[str] | None = None) -> Column:
-    """Registered domain without its public suffix: `https://www.bbc.co.uk/news` gives `bbc`.
-
-    suffixes: the public suffixes of several labels, longest match first; other hosts end in a suffix of one label. Without
-    it, the known suffixes of two labels are used, and a usual second label under any two-letter country.
+def host_labels(url: ColumnOrName) -> Column:
+    """Labels of the host of an address, lower-cased: `https://www.bbc.co.uk/news` gives www, bbc, co, uk.
 
-    Social hosts and `user/` are cut off first, so the account name is read instead. Text without a usable host
-    gives an empty string.
+    Social hosts and `user/` are cut off first, so the account name is read instead. Text without a usable host gives
+    one empty label.
     """
     c = F.coalesce(col(url), F.lit(""))
     for part in DROPPED_PARTS:
         c = F.replace(c, F.lit(part), F.lit(""))
+    pattern = r"^(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//)?(?:[^/@\s?#]*@)?([^/:?#\s]*)"
+    return let(c, lambda t: F.split(F.regexp_replace(F.lower(F.regexp_extract(t, pattern, 1)), r"\.+$", ""), r"\.", -1))
+
+
+def ending(labels: Column, size: int) -> Column:
+    """The last `size` labels of a host as text, null for a host of fewer."""
+    return F.when(F.size(labels) >= size, F.array_join(F.slice(labels, -size, size), "."))
+
+
+def label_before(labels: Column, size: Column) -> Column:
+    """The label in front of a suffix of `size` labels; a numeric address whole, a host of one label itself."""
+    return (
+        F.when(matches(F.array_join(labels, "."), r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.array_join(labels, "."))
+        .when(F.size(labels) == 1, F.element_at(labels, 1))
+        .otherwise(F.coalesce(F.try_element_at(labels, -size - 1), F.lit("")))
+    )
+
+
+def top_domain(url: ColumnOrName, suffixes: list[str] | None = None) -> Column:
+    """Registered domain without its public suffix: `https://www.bbc.co.uk/news` gives `bbc`.
+
+    suffixes: the public suffixes of several labels, longest match first; other hosts end in a suffix of one label. Without
+    it, the known suffixes of two labels are used, and a usual second label under any two-letter country. A whole public
+    suffix list is a table: see `operators.labels.with_domain`.
+    """
 
-    def read(trimmed: Column) -> Column:
-        host = F.lower(F.regexp_extract(trimmed, r"^(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//)?(?:[^/@\s?#]*@)?([^/:?#\s]*)", 1))
-        labels = F.split(F.regexp_replace(host, r"\.+$", ""), r"\.", -1)
-
-        def pick(parts: Column) -> Column:
-            n = F.size(parts)
-            if suffixes is None:
-                second, last = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
-                usual = second.isin(*SECOND_LABELS) & matches(last, "^[a-z]{2}$") & (n > 2)
-                at = F.when(F.concat_ws(".", second, last).isin(*TWO_LABEL_SUFFIXES) | usual, -3).otherwise(-2)
-            else:
-                at = F.lit(-2)
-                for size in sorted({x.count(".") + 1 for x in suffixes} - {1}):
-                    end = F.array_join(F.slice(parts, -F.least(n, F.lit(size)), F.lit(size)), ".")
-                    listed = [x for x in suffixes if x.count(".") + 1 == size]
-                    at = F.when(end.isin(*listed), -size - 1).otherwise(at)
-            return (
-                F.when(matches(F.array_join(parts, "."), r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.array_join(parts, "."))
-                .when(n == 1, F.element_at(parts, 1))
-                .otherwise(F.coalesce(F.try_element_at(parts, at), F.lit("")))
-            )
-
-        return let(labels, pick)
-
-    return let(c, read)
+    def pick(parts: Column) -> Column:
+        n = F.size(parts)
+        if suffixes is None:
+            second, last = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
+            usual = second.isin(*SECOND_LABELS) & matches(last, "^[a-z]{2}$") & (n > 2)
+            size = F.when(F.concat_ws(".", second, last).isin(*TWO_LABEL_SUFFIXES) | usual, 2).otherwise(1)
+        else:
+            size = F.lit(1)
+            for k in sorted({x.count(".") + 1 for x in suffixes} - {1}):
+                listed = [x for x in suffixes if x.count(".") + 1 == k]
+                size = F.when(F.coalesce(ending(parts, k).isin(*listed), F.lit(False)), k).otherwise(size)
+        return let(size, lambda k: label_before(parts, k))
+
+    return let(host_labels(url), pick)
 
 
 def is_google_book(url: ColumnOrName) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.core import ColumnOrName, col, let
+from refloom.session import materialize
 
 # Parameters whose values give a label away, longest text a model reads, share for training.
 BIASED = ["doi", "isbn", "pmc", "pmid", "url", "news"]
@@ -106,15 +107,46 @@ def char_length_stats(df: DataFrame, text: str = "citations") -> DataFrame:
     return df.agg(F.max(n).alias("max_chars"), F.avg(n).alias("mean_chars"), F.median(n).alias("median_chars"))
 
 
-def stratified_split(df: DataFrame, key: ColumnOrName, share: float = TRAIN_SHARE) -> DataFrame:
+def stratified_split(df: DataFrame, key: ColumnOrName, share: float = TRAIN_SHARE, label: ColumnOrName | None = None) -> DataFrame:
     """Mark rows for training or test by a stable number from their key.
 
-    The number does not depend on the label, so every label is split in the same share without sorting or
-    moving any group of rows.
+    Without `label` the number alone decides, so every label is split in about the same share. With it, of the n rows of
+    each label exactly round(share * n) are marked for training, one at least, and one at least for test if there are two: those
+    with the smallest numbers. Nothing is sorted for that but one range of numbers per label: rows are counted per label and
+    range, which finds the range that holds the last training row; then per number within that range; then, if rows with
+    one key go on both sides, per part of the written table. A null label is a label of its own, and a null key a key.
     """
-    return df.withColumn(
-        "split", F.when(row_share(col(key)) < int(round(share * 1000)), "train").otherwise("test")
+    if label is None:
+        train = row_share(col(key)) < int(round(share * 1000))
+        return df.withColumn("split", F.when(train, "train").otherwise("test"))
+    number = F.conv(F.substring(F.md5(F.coalesce(col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = df.select(
+        F.struct(*df.columns).alias("_in"),
+        F.coalesce(F.concat(F.lit("="), col(label).cast("string")), F.lit("")).alias("_label"),
+        number.alias("_number"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    rows = materialize(rows, "split")
+    keys = rows.select("_label", "_number", "_row")
+    totals = keys.groupBy("_label").agg(F.count("*").alias("_n"))
+    wanted = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.round(F.col("_n") * share)))
+    cut = totals.select("_label", wanted.cast("long").alias("_left"))
+    # Each step narrows the place of the last training row and says how many rows of it are still to be taken.
+    steps = [("_range", F.shiftright("_number", 44)), ("_number", F.col("_number")), ("_part", F.shiftright("_row", 33)), ("_row", F.col("_row"))]
+    found: list[str] = []
+    for name, value in steps:
+        inside = keys.withColumns({"_range": F.shiftright("_number", 44), "_part": F.shiftright("_row", 33)})
+        inside = inside.join(cut, ["_label", *found]).groupBy("_label", *found, value.alias(f"{name}_at"), "_left").count()
+        upto = F.sum("count").over(Window.partitionBy("_label").orderBy(f"{name}_at"))
+        inside = inside.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("count") < F.col("_left")))
+        left = F.col("_left") - F.col("_upto") + F.col("count")
+        cut = inside.select("_label", *found, F.col(f"{name}_at").alias(name), left.alias("_left"))
+        cut = materialize(cut, "split-cut")
+        found.append(name)
+    last = cut.select("_label", F.col("_number").alias("_last"), F.col("_row").alias("_last_row"))
+    marked = rows.join(last, "_label")
+    train = (F.col("_number") < F.col("_last")) | ((F.col("_number") == F.col("_last")) & (F.col("_row") <= F.col("_last_row")))
+    return marked.select(*[F.col(f"_in.`{c}`") for c in df.columns], F.when(train, "train").otherwise("test").alias("split"))
 
 
 def sample_with_replacement(df: DataFrame, share: float, seed: int = 0) -> DataFrame:

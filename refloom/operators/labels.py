@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from refloom.functions.core import in_list, is_set, join_key, settle
 from refloom.functions.fields import legacy_id_pairs
-from refloom.functions.urls import is_google_book, top_domain
+from refloom.functions.urls import ending, host_labels, is_google_book, label_before, top_domain
+from refloom.session import materialize
 from refloom.tables.params import ID_KINDS
 
 KINDS = list(ID_KINDS)
@@ -89,12 +90,47 @@ def split_labelled(df: DataFrame, label: str = "actual_label", none: str = "othe
     return df.where(F.col(label) != none), df.where(F.col(label) == none)
 
 
-def with_domain(df: DataFrame, url: str = "URL") -> DataFrame:
-    return df.withColumn("tld", top_domain(url))
+def suffix_rules(suffixes: DataFrame) -> DataFrame:
+    """(rule, size, kind) of a public suffix list in the first column, as usually written: comments and blank lines go,
+    `*.x` is a wildcard, `!y.x` an exception from one; a rule of one label says nothing new."""
+    line = F.lower(F.regexp_extract(F.col(suffixes.columns[0]), r"^\s*(?!//)(\S+)", 1))
+    rules = suffixes.select(line.alias("rule")).where((F.col("rule") != "") & F.col("rule").contains(".")).distinct()
+    kind = F.when(F.col("rule").startswith("!"), "exception").when(F.col("rule").startswith("*."), "wildcard").otherwise("plain")
+    return rules.select("rule", F.size(F.split("rule", r"\.")).alias("size"), kind.alias("kind"))
 
 
-def label_news(df: DataFrame, domains: DataFrame, url: str = "URL") -> DataFrame:
-    """`other` citations whose domain is in the set become news.
+def with_domain(df: DataFrame, url: str = "URL", suffixes: DataFrame | None = None) -> DataFrame:
+    """Add `tld`, the registered name of the address.
+
+    suffixes: a public suffix list. Every ending that a rule of the list could have is looked up by an equality join, and the
+    longest rule found wins, an exception over all. There is one join per kind and number of labels that occur in the list
+    (some five); Spark broadcasts the list by its measured size or shuffles, and hosts too short for a rule are spread.
+    """
+    if suffixes is None:
+        return df.withColumn("tld", top_domain(url))
+    rules = materialize(suffix_rules(suffixes), "suffixes")
+    kinds = [(r.kind, r.size) for r in rules.groupBy("kind", "size").count().collect()]  # some five rows
+    out = settle(df.withColumn("_labels", host_labels(url)), ["_labels"])
+    found = []
+    for i, (kind, size) in enumerate(sorted(kinds)):
+        if kind == "wildcard":
+            asked = F.concat(F.lit("*."), ending(F.col("_labels"), size - 1))
+        else:
+            asked = F.concat(F.lit("!" if kind == "exception" else ""), ending(F.col("_labels"), size))
+        long = F.size("_labels") >= size
+        listed = rules.where((F.col("kind") == kind) & (F.col("size") == size)).select(
+            F.col("rule").alias("_asked"), F.lit(size - 1 if kind == "exception" else size).alias(f"_size{i}")
+        )
+        out = out.withColumn("_asked", join_key(long, asked, url, *_id_columns(df))).join(listed, "_asked", "left").drop("_asked")
+        found.append((kind, f"_size{i}"))
+    exceptions = [F.col(c) for k, c in found if k == "exception"]
+    others = [F.col(c) for k, c in found if k != "exception"]
+    size = F.coalesce(*exceptions, F.greatest(F.lit(1), F.lit(1), *others))
+    return out.withColumn("tld", label_before(F.col("_labels"), size)).drop("_labels", *[c for _, c in found])
+
+
+def label_news(df: DataFrame, domains: DataFrame, url: str = "URL", suffixes: DataFrame | None = None) -> DataFrame:
+    """`other` citations whose domain is in the set become news. `suffixes`: see `with_domain`.
 
     Only rows that can change carry the domain as join key. The few ten thousand names of the usual lists are
     broadcast by their measured size; a larger set is joined by shuffle, where the rows without a key are spread
@@ -102,7 +138,7 @@ def label_news(df: DataFrame, domains: DataFrame, url: str = "URL") -> DataFrame
     """
     names = domains.select(F.col(domains.columns[0]).alias("_domain")).distinct().withColumn("_news", F.lit(True))
     can_change = (F.col("actual_label") == "other") & (F.col("tld") != "")
-    staged = settle(with_domain(df, url), ["tld"])
+    staged = settle(with_domain(df, url, suffixes), ["tld"])
     labelled = staged.withColumn("_domain", join_key(can_change, F.col("tld"), url, *_id_columns(staged)))
     joined = labelled.join(names, "_domain", "left")
     return joined.withColumn(
@@ -115,10 +151,11 @@ def _id_columns(df: DataFrame) -> list[str]:
     return [c for c in ("page_id", "id", "citation", "citations") if c in df.columns]
 
 
-def build_domain_set(*sources: DataFrame) -> DataFrame:
-    """Distinct domain names of several lists with an address in their first column."""
-    parts = [s.select(top_domain(s.columns[0]).alias("domain")) for s in sources]
-    return reduce(DataFrame.unionByName, parts).where(F.col("domain") != "").distinct()
+def build_domain_set(*sources: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Distinct domain names of several lists with an address in their first column. `suffixes`: see `with_domain`."""
+    addresses = reduce(DataFrame.unionByName, [s.select(F.col(s.columns[0]).alias("address")) for s in sources])
+    names = with_domain(addresses, "address", suffixes).select(F.col("tld").alias("domain"))
+    return names.where(F.col("domain") != "").distinct()
 
 
 def label_counts(df: DataFrame, label: str = "actual_label") -> DataFrame:

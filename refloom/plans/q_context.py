@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions import citation as C
 from refloom.functions import similarity as S
+from refloom.functions.braces import repair_unbalanced
 from refloom.functions.urls import top_domain
 from refloom.operators import citations as O
 from refloom.operators import context as X
@@ -66,6 +67,48 @@ def label_news(spark, sf):
     return done.select("page_id", "tld", "actual_label")
 
 
+# A suffix list as it is published: rules of one to three labels, a wildcard with an exception, comments and blank lines.
+_SUFFIXES = ["// list", "", "com", "co.th", "com.my", "com.pk  // note", "x.gov.pk", "*.ck", "!open.ck", "org"]
+_HOSTS = ["www.{}.com", "{}.co.th", "www.{}.com.my", "news.{}.com.pk", "a.{}.x.gov.pk", "{}.any.ck", "{}.open.ck", "{}.org:80", "10.0.0.1"]
+_HOST_SQL = "CASE k % 9 " + " ".join(
+    f"WHEN {i} THEN 'https://{h.replace('{}', chr(39) + ' || name || ' + chr(39))}/x'" for i, h in enumerate(_HOSTS)
+) + " END"
+# `open.ck` is itself a registered name, not a suffix.
+_TLD_SQL = "CASE k % 9 WHEN 6 THEN 'open' WHEN 8 THEN '10.0.0.1' ELSE name END"
+_SITE_ROWS = """SELECT c_custkey AS k, 'site' || CAST(c_custkey % 50 AS VARCHAR) AS name,
+  CASE WHEN c_custkey % 7 = 0 THEN 'book' ELSE 'other' END AS label FROM customer"""
+_LISTED = "SELECT 'site' || CAST(n_nationkey AS VARCHAR) AS name, n_nationkey AS k FROM nation"
+
+
+def _hosts(rows):
+    address = F.lit(None).cast("string")
+    for i, h in enumerate(_HOSTS):
+        before, _, after = h.partition("{}")
+        full = F.concat(F.lit("https://" + before), F.col("name"), F.lit(after + "/x")) if after else F.lit(f"https://{h}/x")
+        address = F.when(F.col("k") % len(_HOSTS) == i, full).otherwise(address)
+    return rows.withColumn("URL", address)
+
+
+def suffix_list(spark):
+    return spark.createDataFrame([(x,) for x in _SUFFIXES], "line string")
+
+
+@query(f"""SELECT k AS page_id, {_TLD_SQL} AS tld,
+             CASE WHEN label = 'other' AND {_TLD_SQL} IN (SELECT {_TLD_SQL} FROM ({_LISTED}) l) THEN 'news' ELSE label END AS actual_label
+           FROM ({_SITE_ROWS}) r""")
+def label_news_by_suffix_table(spark, sf):
+    """Labels by domain where a public suffix list of several levels tells names from suffixes, in rows and domain set alike."""
+    nations = spark.read.parquet(f"{sf}/nation.parquet")
+    listed = _hosts(nations.select(F.concat(F.lit("site"), "n_nationkey").alias("name"), F.col("n_nationkey").alias("k")))
+    suffixes = suffix_list(spark)
+    domains = L.build_domain_set(listed.select("URL"), suffixes=suffixes)
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(
+        F.col("c_custkey").alias("page_id"), F.col("c_custkey").alias("k"), F.concat(F.lit("site"), (F.col("c_custkey") % 50).cast("string")).alias("name"),
+        F.when(F.col("c_custkey") % 7 == 0, "book").otherwise("other").alias("actual_label"),
+    )
+    return L.label_news(_hosts(rows), domains, suffixes=suffixes).select("page_id", "tld", "actual_label")
+
+
 @query(f"""SELECT tld AS domain, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (final = 'news') AS BIGINT) AS n_news
            FROM {_NEWS} n GROUP BY ROLLUP (tld)""")
 def news_share_by_domain(spark, sf):
@@ -584,6 +627,23 @@ def stratified_split(spark, sf):
     return rows.groupBy("label", "split").agg(F.count("*").alias("n"))
 
 
+_ORDER = "CAST('0x' || substr(md5(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
+@query(f"""SELECT k, label, CASE WHEN r <= greatest(1, least(n - 1, round(n * 0.9))) THEN 'train' ELSE 'test' END AS split
+           FROM (SELECT l_orderkey * 10 + l_linenumber AS k, lab AS label, row_number() OVER (PARTITION BY lab ORDER BY {_ORDER}) AS r,
+                   count(*) OVER (PARTITION BY lab) AS n
+                 FROM (SELECT *, CASE WHEN l_orderkey = 1 THEN 'rare' WHEN l_quantity < 3 THEN NULL ELSE l_returnflag || l_linestatus END AS lab
+                       FROM lineitem) a) b""")
+def stratified_split_per_label(spark, sf):
+    """Nine tenths of every label, exactly; a label of a few rows is on both sides."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
+        F.when(F.col("l_orderkey") == 1, "rare").when(F.col("l_quantity") >= 3, F.concat("l_returnflag", "l_linestatus")).alias("label"),
+    )
+    return M.stratified_split(rows, "k", label="label")
+
+
 @query("""SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM labels""")
 def accuracy(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("quality", "toxic")
@@ -711,3 +771,15 @@ def stream_dump_parts(spark, sf):
     run = ST.stream_dump_parts(spark, source, pages.schema, target, scratch_path(spark, "mark"))
     run.awaitTermination()
     return spark.read.parquet(target).groupBy("actual_label").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, final AS actual_label FROM {_NEWS} n")
+def stream_news_labels(spark, sf):
+    """Articles of one citation each as a stream of files, labelled to the end with a domain table that every batch reads."""
+    pages = D.citations(spark, sf).select("page_id", "page_title", repair_unbalanced("citation").alias("content"))
+    source, domains, target = scratch_path(spark, "pages"), scratch_path(spark, "domains"), scratch_path(spark, "labelled")
+    pages.write.parquet(source)
+    news_domains(spark, sf).write.parquet(domains)
+    run = ST.stream_dump_parts(spark, source, pages.schema, target, scratch_path(spark, "mark"), domains=domains)
+    run.awaitTermination()
+    return spark.read.parquet(target).select("page_id", "actual_label")

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from refloom.operators.citations import extract_citations, filter_known_types, normalize_citations
-from refloom.operators.labels import label_book_journal
+from refloom.operators.citations import MINIMAL_FIELDS, extract_citations, filter_known_types, normalize_citations
+from refloom.operators.labels import label_book_journal, label_news
 
 
-def label_part(articles: DataFrame) -> DataFrame:
-    """Stages from articles to labelled citations of one part."""
+def label_part(articles: DataFrame, domains: DataFrame | None = None, suffixes: DataFrame | None = None) -> DataFrame:
+    """Stages from articles to labelled citations of one part: book and journal by identifiers, then news by domain.
+
+    The fields are those that labelling and look-up read. Without a table of domains nothing becomes news.
+    """
     found = filter_known_types(extract_citations(articles))
-    return label_book_journal(normalize_citations(found, "citations"))
+    labelled = label_book_journal(normalize_citations(found, "citations", fields=MINIMAL_FIELDS))
+    return labelled if domains is None else label_news(labelled, domains, suffixes=suffixes)
 
 
 def stream_dump_parts(
@@ -24,19 +28,31 @@ def stream_dump_parts(
     schema,
     target: str,
     checkpoint: str,
-    transform: Callable[[DataFrame], DataFrame] = label_part,
+    transform: Callable[..., DataFrame] = label_part,
+    domains: str | None = None,
+    suffixes: str | None = None,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Work through all new article files of a folder, then stop; a restart goes on after the last finished batch.
 
-    Each batch has its own folder named by its number, so a batch that is run again replaces its first try.
+    Each batch has its own folder named by its number, so a batch that is run again replaces its first try. `domains` and
+    `suffixes` are Parquet tables that every batch reads anew and hands to `transform`: a stream-static join with what the
+    tables hold when the batch starts.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    stream = spark.readStream.schema(schema).parquet(source)
+        session = batch.sparkSession
+        tables = {
+            name: session.read.parquet(path) for name, path in (("domains", domains), ("suffixes", suffixes)) if path is not None
+        }
+        transform(batch, **tables).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
-        stream.writeStream.foreachBatch(write)
+        reader.parquet(source)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from refloom.operators import context as X
 from refloom.operators import features as M
 from refloom.operators import labels as L
+from refloom.streaming import parts as ST
 
 
 def test_rule_label(spark):
@@ -69,3 +70,48 @@ def test_sections_encoded(spark):
     assert rows == {1: (1, 0, 1), 2: (0, 1, 0)}
     top = X.top_sections(df.unionAll(df.where("id = 2")), k=2).collect()
     assert [(r.section_name, r["count"]) for r in top] == [("B", 2), ("A", 1)]
+
+
+def test_suffix_table(spark):
+    hosts = {
+        "https://a.bbc.co.uk/x": "bbc", "http://x.y.z.k12.ma.us": "z", "http://ma.us": "", "b.tokyo.jp": "tokyo", "c.kawa.jp": "", "d.c.kawa.jp": "d",
+        "city.kawa.jp": "city", "x.city.kawa.jp": "city", "plain.com": "plain", "localhost": "localhost", "": "", None: "", "1.2.3.4": "1.2.3.4",
+        "K12.MA.US": "", "q.K12.MA.US.": "q",
+    }
+    rules = ["// x", " co.uk ", "k12.ma.us", "ma.us", "*.kawa.jp", "!city.kawa.jp", "com", "", "us // note"]
+    suffixes = spark.createDataFrame([(r,) for r in rules], "s string")
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "page_id int, URL string")
+    got = {r.URL: r.tld for r in L.with_domain(df, suffixes=suffixes).collect()}
+    assert got == hosts
+    empty = L.with_domain(df, suffixes=suffixes.where("false")).where("URL = 'https://a.bbc.co.uk/x'").first()
+    assert empty.tld == "co"
+
+
+def test_exact_split_with_ties_and_rare_labels(spark):
+    rows = [("big", i) for i in range(997)] + [("rare", 1), ("rare", 2), ("one", 5), (None, None), (None, None)]
+    rows += [("same", 7)] * 501
+    df = spark.createDataFrame(rows, "lab string, k long").repartition(5)
+    got = M.stratified_split(df, "k", label="lab")
+    counts = {(r.lab, r.split): r["count"] for r in got.groupBy("lab", "split").count().collect()}
+    assert counts == {
+        ("big", "train"): 897, ("big", "test"): 100, ("rare", "train"): 1, ("rare", "test"): 1, ("one", "train"): 1,
+        (None, "train"): 1, (None, "test"): 1, ("same", "train"): 451, ("same", "test"): 50,
+    }
+    assert got.columns == ["lab", "k", "split"]
+    assert M.stratified_split(df.where("false"), "k", label="lab").count() == 0
+
+
+def test_stream_reads_the_domains_of_each_batch(spark, tmp_path):
+    pages, domains = str(tmp_path / "pages"), str(tmp_path / "domains")
+    frame = lambda i, host: spark.createDataFrame([(i, f"{{{{cite web|title=T|url=http://{host}.com}}}}")], "page_id int, content string")
+    run = lambda: ST.stream_dump_parts(
+        spark, pages, "page_id int, content string", str(tmp_path / "out"), str(tmp_path / "mark"), domains=domains
+    ).awaitTermination()
+    frame(1, "abc").write.parquet(pages)
+    spark.createDataFrame([("xyz",)], "domain string").write.parquet(domains)
+    run()
+    frame(2, "abc").write.mode("append").parquet(pages)
+    spark.createDataFrame([("abc",)], "domain string").write.mode("append").parquet(domains)
+    run()
+    got = {r.page_id: r.actual_label for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: "other", 2: "news"}
