@@ -6,8 +6,8 @@ convex problem; a distributed Newton iteration, kept inside a bracket, finds it
 on source and size alone, so the iteration runs over cells (source, size, number of documents), aggregated once from the
 documents, and its cost follows the number of different sizes. Rates become whole copies by systematic rounding along
 the sizes of a source, which misses the target by no more than about one long document; moves of single cells then close
-most of that gap. Which documents of a cell get the extra copy follows from a hash, found by counting hash ranges, so that a
-cell with a third of all rows is not sorted in one task. Reruns give the same copies.
+most of that gap. Which documents of a cell get the extra copy follows from a hash, found by counting hash ranges, and among equal
+rows from their place, so that a cell with a third of all rows is not sorted in one task. Reruns give the same copies.
 """
 
 from __future__ import annotations
@@ -170,10 +170,42 @@ def cell_copies(cells: DataFrame, solved: DataFrame) -> DataFrame:
     return out.drop("target")
 
 
+def _cut(rows: DataFrame, cuts: DataFrame, by: Column) -> DataFrame:
+    """Per cell the value of `by` that holds the `_left`-th row, `_at`, and how many rows with it are to be taken.
+
+    rows: (_skey, _n, ...), cuts: (_skey, _n, _left). Rows are counted per cell and value, which combines before the shuffle.
+    """
+    counts = rows.withColumn("_at", by).groupBy("_skey", "_n", "_at").agg(F.count("*").alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy("_skey", "_n").orderBy("_at"))
+    counts = counts.join(cuts, ["_skey", "_n"]).withColumn("_upto", upto)
+    left = F.col("_left") - F.col("_upto") + F.col("_in")
+    here = (left > 0) & (F.col("_upto") >= F.col("_left"))
+    return counts.where(here).select("_skey", "_n", "_at", left.alias("_left"))
+
+
+def last_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
+    """(_skey, _n, _last, _last_row): the `_left`-th row of each cell in the order of hash and row number.
+
+    rows: (_skey, _n, _h, _row); extra: (_skey, _n, _left). Found by counting ever smaller ranges: leading bits of the hash, more
+    bits, the hash itself, and for rows with equal hashes (equal in id and text) the written part and the row in it. After
+    the first step only the rows of the range that holds the place are kept, and no step sorts more than the rows or counts
+    of one range, however many rows are equal.
+    """
+    inside, cuts = rows, extra
+    for by in (F.shiftright("_h", 56), F.shiftright("_h", 40), F.col("_h"), F.shiftright("_row", 33)):
+        cuts = materialize(_cut(inside, cuts, by), "mix-cut")
+        inside = inside.join(cuts.select("_skey", "_n", "_at"), ["_skey", "_n"]).where(by == F.col("_at")).drop("_at")
+        inside = materialize(inside, "mix-inside")
+        cuts = cuts.select("_skey", "_n", "_left")
+    last = _cut(inside, cuts, F.col("_row")).select("_skey", "_n", F.col("_at").alias("_row"))
+    return inside.join(last, ["_skey", "_n", "_row"]).select("_skey", "_n", F.col("_h").alias("_last"), F.col("_row").alias("_last_row"))
+
+
 def decisions(rows: DataFrame, sources_to_targets=default_targets) -> DataFrame:
-    """(_skey, _n, source_size, target, _base, _last): a row of the cell has _base copies, and one more if _h <= _last.
+    """(_skey, _n, source_size, target, _base, _last, _last_row): a row of the cell has _base copies, and one more up to the
+    last one (see `last_extra`).
 
-    rows: (_skey, _n, _h). Documents without words have no cell; they take nothing.
+    rows: (_skey, _n, _h, _row), written. Documents without words have no cell; they take nothing.
     """
     cells = materialize(rows.groupBy("_skey", "_n").agg(F.count("*").alias("_k")), "mix-cells")
     sources = cells.groupBy("_skey").agg(F.sum(F.col("_n") * F.col("_k")).alias("source_size"))
@@ -183,26 +215,16 @@ def decisions(rows: DataFrame, sources_to_targets=default_targets) -> DataFrame:
     copies = copies.withColumn("_base", F.floor(F.col("_copies") / F.col("_k"))).withColumn(
         "_extra", F.col("_copies") - F.col("_base") * F.col("_k")
     )
-    # The hash of the _extra-th row of a cell: first the range of hashes that it lies in, then its place in the range.
-    part = F.shiftright("_h", 56)
-    ranges = rows.where("_n > 0").groupBy("_skey", "_n", part.alias("_part")).agg(F.count("*").alias("_in"))
-    ranges = ranges.join(copies.where("_extra > 0").select("_skey", "_n", "_extra"), ["_skey", "_n"])
-    upto = F.sum("_in").over(Window.partitionBy("_skey", "_n").orderBy("_part"))
-    ranges = ranges.withColumn("_upto", upto).withColumn("_rank", F.col("_extra") - F.col("_upto") + F.col("_in"))
-    ranges = ranges.where((F.col("_rank") > 0) & (F.col("_upto") >= F.col("_extra")))
-    inside = rows.withColumn("_part", part).join(ranges.select("_skey", "_n", "_part", "_rank"), ["_skey", "_n", "_part"])
-    place = F.row_number().over(Window.partitionBy("_skey", "_n", "_part").orderBy("_h"))
-    last = inside.withColumn("_place", place).where(F.col("_place") == F.col("_rank"))
-    last = last.select("_skey", "_n", F.col("_h").alias("_last"))
+    extra = copies.where("_extra > 0").select("_skey", "_n", F.col("_extra").alias("_left"))
+    last = last_extra(rows.where("_n > 0").select("_skey", "_n", "_h", "_row"), materialize(extra, "mix-extra"))
     out = cells.select("_skey", "_n").join(sources, "_skey").join(copies.select("_skey", "_n", "_base"), ["_skey", "_n"], "left")
     out = out.join(last, ["_skey", "_n"], "left")
     return materialize(out.withColumn("_base", F.coalesce("_base", F.lit(0))), "mix-decisions")
 
 
-
-
 def copies_of_row() -> Column:
-    return (F.col("_base") + F.when(F.col("_h") <= F.col("_last"), 1).otherwise(0)).cast("long")
+    more = (F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & (F.col("_row") <= F.col("_last_row")))
+    return (F.col("_base") + F.when(more, 1).otherwise(0)).cast("long")
 
 
 def mix(
@@ -211,11 +233,12 @@ def mix(
     """(id, size, source_size, target, copies, taken) per row of docs.
 
     size counts words (null and empty texts: 0, taken 0 times); the null source is a source of its own. Rows that agree in id
-    and text have the same number of copies. An empty table gives no rows; other columns are ignored.
+    and text differ by one copy at most and meet the target together; which of them has the extra copy follows from their place.
+    An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_id"), *[c.alias(k) for k, c in row_columns(docs, id_col, source_col, text_col).items()])
-    rows = materialize(rows, "mix-rows")
-    named = rows.join(decisions(rows.select("_skey", "_n", "_h"), sources_to_targets), ["_skey", "_n"])
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    named = rows.join(decisions(rows.select("_skey", "_n", "_h", "_row"), sources_to_targets), ["_skey", "_n"])
     copies = F.when(F.col("_n") > 0, copies_of_row()).otherwise(0).cast("long")
     return named.select(
         F.col("_id").alias(id_col),
@@ -228,10 +251,13 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with the columns of docs and nothing else."""
+    """The documents themselves, each as often as the mix takes it, with the columns of docs and nothing else.
+
+    They are written once with what the mix knows of them, so that a row has one number in the decision and in the result.
+    """
     keys = row_columns(docs, id_col, source_col, text_col)
-    rows = materialize(docs.select(*[c.alias(k) for k, c in keys.items()]), "mix-rows")
-    chosen = decisions(rows).select("_skey", "_n", "_base", "_last")
-    full = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in keys.items()])
+    full = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), *[c.alias(k) for k, c in keys.items()])
+    full = materialize(full.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    chosen = decisions(full.select("_skey", "_n", "_h", "_row")).select("_skey", "_n", "_base", "_last", "_last_row")
     full = full.join(chosen, ["_skey", "_n"]).where("_n > 0").withColumn("_copies", copies_of_row()).where("_copies > 0")
-    return full.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
+    return full.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")

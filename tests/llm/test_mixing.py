@@ -85,3 +85,17 @@ def test_copies_of_one_text_are_dealt_by_hash(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, source string")
     rows = mixing.mix(docs).collect()
     check([("s" if r.doc_id < 5000 else "t", r) for r in rows], near=0.001)
+
+
+def test_equal_rows_meet_the_target_together(spark):
+    data = [(1, "ten words " * 5, "s")] * 1000 + [(i, "w " * (1 + i % 9), "t") for i in range(500)] + [(None, None, "s")] * 3
+    data += [(7, "same text in null source", None)] * 301
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(7)
+    rows = mixing.mix(docs).collect()
+    source = lambda r: None if r.size == 5 and r.doc_id == 7 else "s" if r.size in (0, 10) and r.doc_id in (1, None) else "t"
+    check([(source(r), r) for r in rows], near=0.01)
+    copies = [r.copies for r in rows if source(r) == "s" and r.size]
+    assert len(copies) == 1000 and max(copies) - min(copies) == 1
+    kept = mixing.mixed(docs)
+    assert kept.columns == docs.columns
+    assert kept.where("source = 's'").count() == sum(copies)
