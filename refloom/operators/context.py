@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions import braces as B
-from refloom.functions.core import ColumnOrName, col, cut_runs, let, matches, substrings
+from refloom.functions.core import ColumnOrName, col, cut_runs, let, matches, settle, substrings
+from refloom.session import materialize
 
 # Number of words before a citation, and single characters that stay tokens.
 NEIGHBORS = 40
 KEPT_SIGNS = list(":?@-.!")
 RARE_LIMIT = 4
 UNKNOWN = "<UNK>"
+#: Bits of a table of word hashes.
+SLOTS = 1 << 20
 
 _TOKEN = r"[A-Za-zÀ-ɏͰ-ӿ0-9][\w'’À-ɏͰ-ӿ-]*|[^\s\w]"
 _SKIPPED = r"(?s)<!--.*?-->|</?[A-Za-z][^<>]*>|\[\[[^\[\]]*\]\]|\[[a-z]+:[^\s\[\]]*|={2,6}[^\n=]+={2,6}"
@@ -145,24 +149,52 @@ def word_counts(df: DataFrame, words: str) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _slot(word: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), word), F.lit(SLOTS)).cast("int")
+
+
+def _bitmap(words: DataFrame, salt: int) -> bytes:
+    """One bit per slot of a hash, set if one of the words of the column `word` falls there: SLOTS / 8 bytes at any size."""
+    slot = _slot(F.col("word"), salt)
+    bit = F.call_function("shiftleft", F.lit(1), slot.bitwiseAND(F.lit(7)))
+    rows = words.groupBy(F.shiftright(slot, 3).alias("byte")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(SLOTS // 8, np.uint8)
+    table[rows["byte"].to_numpy()] = rows["bits"].to_numpy()
+    return table.tobytes()
+
+
+def _in_bitmap(table: bytes, word: Column, salt: int) -> Column:
+    def test(slot: Column) -> Column:
+        byte = F.ascii(F.decode(F.substr(F.lit(table), F.shiftright(slot, 3) + 1, F.lit(1)), "ISO-8859-1"))
+        return F.getbit(byte, slot.bitwiseAND(F.lit(7))) == 1
+
+    return let(_slot(word, salt), test)
+
+
 def unk_rare_words(df: DataFrame, key: str, words: str = "neighboring_words", threshold: int = RARE_LIMIT):
     """Words seen at most `threshold` times become `<UNK>`; an empty list becomes [`<UNK>`].
 
-    Lists never leave their rows. Occurrences are counted in each task before anything is moved. The different words of a
-    row are held against the frequent words, which Spark sends to all tasks where that table is small and joins otherwise
-    with the commonest word as one row per document, which skew handling can split. Only rare words are gathered per key.
+    `df` is written once, so its lists are made once, and they stay in their rows. Occurrences are counted in each task before
+    anything is moved. A table of bits, of fixed size, holds the slots of the frequent words: a word that misses it
+    is rare, which most rare words show in their own row. The few rare words that share a slot with a frequent one are
+    doubtful; a second table of bits picks their occurrences, and only those meet the counts and are gathered per key.
     """
-    frequent = word_counts(df, words).where(F.col("n") > threshold).select("word")
-    own = df.select(key, F.explode(F.array_distinct(words)).alias("word")).join(frequent, "word", "left_anti")
-    lists = own.groupBy(key).agg(F.collect_set("word").alias("_rare"))
-    joined = df.join(lists, key, "left")
+    staged = materialize(df, "words")
+    counts = materialize(word_counts(staged, words), "word-counts")
+    frequent = _bitmap(counts.where(F.col("n") > threshold), 1)
+    doubtful = counts.where((F.col("n") <= threshold) & _in_bitmap(frequent, F.col("word"), 1)).select("word")
+    doubt = _bitmap(doubtful, 2)
+    unsure = F.filter(words, lambda w: _in_bitmap(doubt, w, 2) & _in_bitmap(frequent, w, 1))
+    own = staged.select(key, F.explode(F.array_distinct(unsure)).alias("word")).join(doubtful, "word")
+    lists = materialize(own.groupBy(key).agg(F.collect_set("word").alias("_rare")), "doubtful-words")
     none = F.array().cast("array<string>")
+    joined = staged.join(lists, key, "left").withColumn("_rare", F.coalesce("_rare", none))
     known = F.transform(
-        words, lambda w: F.when(F.array_contains(F.coalesce("_rare", none), w), UNKNOWN).otherwise(w)
+        words,
+        lambda w: F.when(~_in_bitmap(frequent, w, 1), UNKNOWN).when(F.array_contains("_rare", w), UNKNOWN).otherwise(w),
     )
-    return joined.withColumn(
-        words, F.when(F.coalesce(F.size(words), F.lit(0)) > 0, known).otherwise(F.array(F.lit(UNKNOWN)))
-    ).drop("_rare")
+    filled = F.when(F.coalesce(F.size(words), F.lit(0)) > 0, known).otherwise(F.array(F.lit(UNKNOWN)))
+    return settle(joined.withColumn(words, filled), [words]).select(*df.columns)
 
 
 def top_sections(df: DataFrame, sections: str = "sections", k: int = 150) -> DataFrame:

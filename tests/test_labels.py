@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from refloom.operators import context as X
@@ -45,6 +49,18 @@ def test_unknown_words(spark):
     assert got == {1: ["a", "<UNK>", "a"], 2: ["a", "a", "a"], 3: ["<UNK>"]}
 
 
+@pytest.mark.parametrize("slots", [16, 256, X.SLOTS])
+def test_unknown_words_with_crowded_slots(spark, slots, monkeypatch):
+    monkeypatch.setattr(X, "SLOTS", slots)
+    rnd = random.Random(7)
+    rows = [(i, [f"w{int(rnd.paretovariate(0.7)) % 900}" for _ in range(rnd.randrange(30))], "x") for i in range(200)]
+    rows += [(200, None, "x"), (201, ["é", "é"], "x")]
+    seen = Counter(w for _, ws, _ in rows for w in ws or [])
+    df = spark.createDataFrame(rows, "k int, neighboring_words array<string>, word string")
+    got = {r.k: r.neighboring_words for r in X.unk_rare_words(df, "k").collect()}
+    assert got == {k: [w if seen[w] > 4 else "<UNK>" for w in ws or []] or ["<UNK>"] for k, ws, _ in rows}
+
+
 def test_join_with_hot_text(spark):
     features = spark.range(1000).select(F.lit("{{hot}}").alias("retrieved_citation"), F.col("id").alias("page_id"))
     labelled = spark.createDataFrame([("{{hot}}", "book"), ("{{cold}}", "news")], "citations string, label string")
