@@ -380,7 +380,10 @@ def id_pivot(spark, sf):
     return L.id_columns(with_id_list(spark, sf)).select("page_id", *_IDS, "OCLC")
 
 
-@query()
+_ALL_KINDS = ", ".join(f'{_IDS[k]} AS "{k}"' if k in _IDS else f'CAST(NULL AS VARCHAR) AS "{k}"' for k in L.KINDS)
+
+
+@query(f"SELECT page_id, citation, {_ALL_KINDS} FROM {_P} p WHERE {_KNOWN}")
 def id_pivot_whole(spark, sf):
     """A column for each kind of identifier."""
     return L.id_columns(with_id_list(spark, sf)).select("page_id", "citation", *L.KINDS)

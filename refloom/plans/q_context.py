@@ -261,13 +261,18 @@ def section_dummies(spark, sf):
     return done.select("page_id", "citations", *[F.col(c).cast("bigint").alias(c) for c in ("History", "References", "others")])
 
 
-@query()
+_ALL_SECTIONS = ["History", "Initial Section", "References", "Early years"]
+_BY_SECTION = ", ".join(f"CAST(CASE WHEN list_contains(sections, '{x}') THEN 1 ELSE 0 END AS BIGINT) AS \"{x}\"" for x in _ALL_SECTIONS)
+
+
+@query(f"SELECT page_id, text AS citations, {_BY_SECTION}, CAST(0 AS BIGINT) AS others FROM ({_WITH_SECTIONS}) s")
 def section_dummies_whole(spark, sf):
     """A column for each of the most frequent sections, as many as the operator takes by default."""
     found = O.extract_citations(D.articles(spark, sf)).select("page_id", "citations", "section", "sections_all")
     top = [r.section_name for r in X.top_sections(found.select(F.array("section").alias("sections"))).collect()]
     rows = found.select("page_id", "citations", F.array_sort(F.array_distinct("sections_all")).alias("sections")).distinct()
-    return X.encode_sections(rows, top)
+    done = X.encode_sections(rows, top)
+    return done.select("page_id", "citations", *[F.col(c).cast("bigint").alias(c) for c in [*top, "others"]])
 
 
 _TAG_COLUMNS = ["WORD", "CAP", "NUM", "PUNCT", "WIKICODE"]
@@ -295,11 +300,15 @@ def type_dummies(spark, sf):
     return done.select("page_id", *[F.col(c).cast("bigint").alias(c) for c in _SOME_TYPES])
 
 
-@query()
+_BY_TYPE = ", ".join(f"CAST(CASE WHEN typ = '{t}' THEN 1 ELSE 0 END AS BIGINT) AS \"{t}\"" for t in CITATION_TYPES)
+
+
+@query(f"SELECT page_id, {_BY_TYPE} FROM {LABELLED} l")
 def type_dummies_whole(spark, sf):
     """A column for each known type."""
     rows = O.filter_known_types(cites(spark, sf)).select("page_id", F.col("type_of_citation").alias("citation_type"))
-    return X.encode_citation_type(rows, list(CITATION_TYPES))
+    done = X.encode_citation_type(rows, list(CITATION_TYPES))
+    return done.select("page_id", *[F.col(c).cast("bigint").alias(c) for c in CITATION_TYPES])
 
 
 @query(f"SELECT page_id, citation FROM (SELECT page_id, citation FROM ({_FEATURES}) f) g ORDER BY page_id, citation LIMIT 20")
@@ -377,7 +386,7 @@ _REC = f"({D.duck(D.RECORDS)})"
 _ISBN = "'isbn_13:978' || lpad(CAST(pk AS VARCHAR), 10, '0')"
 
 
-def _ids_text(column: str):
+def _ids_text(column):
     return F.array_join(F.transform(column, lambda i: F.concat(i["type"], F.lit(":"), i["value"])), ";")
 
 
@@ -438,11 +447,16 @@ def top_candidates(spark, sf):
     return done.select("pk", "message", titles.alias("titles"))
 
 
-@query()
+@query(f"""SELECT pk, CASE pk % 4 WHEN 2 THEN '{K.NO_RESULT}' END AS message,
+             CASE pk % 4 WHEN 0 THEN query_title WHEN 1 THEN '%%%%%%%%|' || query_title WHEN 3 THEN query_title || 'zz' END AS titles,
+             CASE pk % 4 WHEN 0 THEN 'DOI:10.5/' || n WHEN 1 THEN 'DOI:10.6/' || n || '|DOI:10.7/' || n
+               WHEN 3 THEN 'DOI:10.8/' || n || ';ISBN:1, 2;PMID:' || n END AS ids
+           FROM (SELECT *, CAST(pk AS VARCHAR) AS n FROM {_REC} r) q""")
 def top_candidates_whole(spark, sf):
     """As many candidates as the operator keeps by default, with titles and identifiers as they are."""
-    rows = D.records(spark, sf).withColumn("c", K.parse_works("works"))
-    return K.top_k_results(rows, "c").select("pk", "message", F.col("c").alias("candidates"))
+    rows = K.top_k_results(D.records(spark, sf).withColumn("c", K.parse_works("works")), "c")
+    titles = F.array_join(F.transform("c", lambda x: x["title"]), "|")
+    return rows.select("pk", "message", titles.alias("titles"), F.array_join(F.transform("c", lambda x: _ids_text(x["ids"])), "|").alias("ids"))
 
 
 @query(f"""SELECT pk, string_agg(kind || ':' || value, ';' ORDER BY item, i) AS ids FROM (
@@ -463,7 +477,9 @@ def crossref_ids(spark, sf):
     return some.select("pk", _ids_text(F.filter("ids", lambda i: i["type"] != "ISBN")).alias("ids"))
 
 
-@query()
+@query(f"""SELECT pk, CASE pk % 4 WHEN 0 THEN 'DOI:10.5/' || n WHEN 1 THEN 'DOI:10.6/' || n
+             WHEN 3 THEN 'DOI:10.8/' || n || ';ISBN:1, 2;PMID:' || n END AS ids
+           FROM (SELECT pk, CAST(pk AS VARCHAR) AS n FROM {_REC} r) q WHERE pk % 4 <> 2""")
 def crossref_ids_whole(spark, sf):
     """Identifiers of the first record, ISBNs too."""
     rows = D.records(spark, sf).select("pk", F.try_element_at(K.parse_works("works"), F.lit(1))["ids"].alias("ids"))
