@@ -12,7 +12,7 @@ import sys
 import time
 
 from refloom.plans import derived
-from refloom.plans import q_citations, q_context, q_wikitext  # noqa: F401  (registers the queries)
+from refloom.plans import q_citations, q_context, q_rules, q_wikitext  # noqa: F401  (registers the queries)
 from refloom.plans.registry import QUERIES
 from refloom.session import local_session
 
