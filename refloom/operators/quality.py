@@ -175,6 +175,21 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
     def other_date_bad(v: Column) -> Column:
         return let(v, lambda d: d.isNotNull() & ~F.coalesce(parse_date(d, as_of_year)["valid"], F.lit(False)))
 
+    def other_date_open(v: Column) -> Column:
+        """A date of any day, past or to come."""
+        return let(v, lambda d: d.isNotNull() & ~F.coalesce(parse_date(d, as_of_year + 100)["valid"], F.lit(False)))
+
+    def year_bad(v: Column) -> Column:
+        # Only a year may be a rough one.
+        return let(v, lambda d: d.isNotNull() & ~matches(d, r"^c\. [1-9]\d{2,3}[a-z]?$") & other_date_bad(d))
+
+    # The first of these is the date; the others are judged on their own where it is not they.
+    dated, yeared = F.coalesce(a("Date"), a("AirDate")), F.coalesce(a("Date"), a("AirDate"), a("Year"))
+
+    def shown_bad(v: Column) -> Column:
+        """How many names to show: neither a number nor some spelling of et al."""
+        return let(v, lambda x: x.isNotNull() & ~matches(x, r"^\d+$") & (F.regexp_replace(F.lower(x), r"[ '.]", "") != "etal"))
+
     lists = [F.col(f"_list_{kind}") for kind in NAME_LISTS]
 
     def any_list(test) -> Column:
@@ -197,6 +212,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
     names_source = author_source(m)
     any_author = (F.size("_list_author.lasts") > 0) | value("authors", "vauthors").isNotNull()
     vanc = F.try_element_at(m, F.lit("vauthors"))
+    n_authors = F.when(F.size("_list_author.lasts") > 0, F.size("_list_author.lasts")).otherwise(F.size(F.split(vanc, ",")))
     bad_vanc = F.exists(
         F.split(vanc, r"\s*,\s*"),
         lambda n: ~matches(n, r"^\(\(.+\)\)$") & matches(n, r"\s") & ~matches(n, r"\s[A-Z]{1,2}$"),
@@ -224,6 +240,10 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         "bad_date": date_bad(C.date_promotion(a("Date"), a("Year"), a("PublicationDate"), a("AirDate")))
         | other_date_bad(a("ArchiveDate"))
         | other_date_bad(a("LayDate"))
+        | other_date_bad(a("DoiBroken"))
+        | other_date_open(a("Embargo"))
+        | (dated.isNotNull() & year_bad(a("Year")))
+        | (yeared.isNotNull() & other_date_bad(a("PublicationDate")))
         | let(
             access_kept,
             lambda d: d.isNotNull()
@@ -266,7 +286,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         "format_missing_url": (a("Format").isNotNull() & url.isNull())
         | (a("ChapterFormat").isNotNull() & chapter_url.isNull()),
         "implict_etal_editor": in_list(F.lower(a("DisplayEditors")), ["etal", "et al", "et al."]),
-        "invalid_param_val": keyword_bad,
+        "invalid_param_val": keyword_bad | shown_bad(a("DisplayAuthors")) | shown_bad(a("DisplayEditors")),
         "invisible_char": F.size(F.flatten(F.transform(F.map_values(m), invisible_chars))) > 0,
         "missing_name": any_list(lambda x: x["hole"]),
         "param_has_ext_link": F.exists(
@@ -289,6 +309,15 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         "maint_asin_isbn": matches(id_value("ASIN"), r"^\d{9}[\dX]$") & I.valid_isbn(id_value("ASIN")),
         "maint_etal": any_list(lambda x: F.exists(x["names"], has_et_al)),
         "maint_extra_text": F.coalesce(extra_page_text(page_like), F.lit(False)),
+        "maint_disp_auth_ed": F.coalesce(a("DisplayAuthors").try_cast("int") >= n_authors, F.lit(False)),
+        "maint_embargo": let(
+            a("Embargo"),
+            lambda d: d.isNotNull() & (parse_date(d, as_of_year + 100)["start"] < F.lit(as_of_date).cast("date")),
+        ),
+        "maint_extra_text_edition": matches(a("Edition"), r"(?<![A-Za-z])(?:[Ee]d\.?|[Ee]dition)$"),
+        "maint_untitled": (a("Title") == "none")
+        & c.isin("journal", "citation")
+        & (C.alias_origin("_given", "Periodical") == "journal"),
         "maint_english": F.lower(a("Language")).isin("en", "english"),
     }
     return F.array_compact(

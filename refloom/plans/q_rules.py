@@ -167,6 +167,37 @@ def minimal_fields(spark, sf):
     return rows.select(F.col("page_title").alias("page_id"), "type_of_citation", "Title", "URL", "Authors")
 
 
+# Citations that show one rare kind each, with the kinds that they must have among _RARE.
+_RARE = ["maint_untitled", "maint_embargo", "maint_disp_auth_ed", "maint_extra_text_edition", "bad_date", "invalid_param_val", "bad_ismn",
+         "bad_message_id", "maint_asin_isbn", "contributor_ignored", "missing_name", "trans_missing_title", "arxiv_missing", "bad_lccn"]
+_SHOWN = [
+    ("journal|title=none|journal=J", "maint_untitled"), ("journal|title=none|magazine=J", ""), ("book|title=none", ""),
+    ("journal|title=T|pmc=12|embargo=2001-05-06", "maint_embargo"), ("journal|title=T|pmc=12|embargo=2040-05-06", ""),
+    ("journal|title=T|pmc=12|embargo=someday", "bad_date"), ("book|title=T|last1=A|last2=B|display-authors=2", "maint_disp_auth_ed"),
+    ("book|title=T|last1=A|last2=B|display-authors=1", ""), ("book|title=T|vauthors=A B, C D|display-authors=3", "maint_disp_auth_ed"),
+    ("book|title=T|last1=A|last2=B|display-authors=et al.", ""), ("book|title=T|last1=A|display-authors=few", "invalid_param_val"),
+    ("book|title=T|editor=E|display-editors=few", "invalid_param_val"), ("book|title=T|edition=2nd ed.", "maint_extra_text_edition"),
+    ("book|title=T|edition=Revised edition", "maint_extra_text_edition"), ("book|title=T|edition=2nd", ""), ("book|title=T|edition=Limited", ""),
+    ("book|title=T|doi-broken-date=2001-13-01", "bad_date"), ("book|title=T|date=5 May 2001|year=2001", ""),
+    ("book|title=T|date=5 May 2001|year=c. 2001", ""), ("book|title=T|date=5 May 2001|year=x2001", "bad_date"),
+    ("book|title=T|year=2001|publication-date=2001-99-01", "bad_date"), ("book|title=T|publication-date=May 2001", ""),
+    ("book|title=T|ismn=979-0-2306-7118-6", "bad_ismn"), ("newsgroup|title=T|message-id=abc", "bad_message_id"),
+    ("book|title=T|asin=0306406152", "maint_asin_isbn"), ("web|title=T|url=http://x.org|contributor=C", "contributor_ignored"),
+    ("book|title=T|last1=A|last3=C", "missing_name"), ("book|trans-title=T", "trans_missing_title"), ("arxiv|title=T", "arxiv_missing"),
+    ("book|title=T|lccn=x-1", "bad_lccn"),
+]
+_SHOWN_SQL = " ".join(f"WHEN {i} THEN '{kinds}'" for i, (_, kinds) in enumerate(_SHOWN))
+
+
+@query(f"SELECT k, CASE k % {len(_SHOWN)} {_SHOWN_SQL} END AS kinds FROM {_KEYS}")
+def rare_error_kinds(spark, sf):
+    """Kinds of the quality report that hardly a citation has: dates of all parameters, names to show, editions, untitled articles."""
+    text = F.concat(F.lit("{{cite "), _pick(_k(), *[t for t, _ in _SHOWN]), F.lit("|page="), _k().cast("string"), F.lit("}}"))
+    found = Q.with_errors(O.parse_templates(_orders(spark, sf).select("k", text.alias("citation")), "citation"))
+    rare = F.array_sort(F.array_intersect("errors", F.array(*[F.lit(x) for x in _RARE])))
+    return found.select("k", F.array_join(rare, ",").alias("kinds"))
+
+
 # --- sources -------------------------------------------------------------------------------------------------
 
 
