@@ -3,12 +3,16 @@
 A batch of texts is cut into units that no piece crosses. The symbols of all new units lie in one flat numpy array; a
 round looks up the rank of every adjacent pair, takes the least rank of each unit by a segmented minimum, and merges in
 all units at once the leftmost pairs of that rank. Merged symbols are compacted away and finished units leave, until no
-pair remains. Units repeat, so a worker remembers up to `REMEMBERED` of them.
+pair remains. Units repeat, so a worker remembers up to `REMEMBERED` of them. A unit of more than `LONG` symbols (text
+without blanks) has as many rounds as it has different ranks, so it is not looked through anew in each: its pairs lie in
+buckets by rank, a round takes the least bucket, and only the neighbours of what it merges are looked up again.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +27,8 @@ from pyspark.sql.functions import pandas_udf
 REMEMBERED = 300_000
 #: Symbols merged at a time.
 FLAT_SYMBOLS = 1 << 20
+#: Symbols above which a unit is merged by buckets.
+LONG = 512
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 
@@ -77,13 +83,78 @@ class PieceCodec:
         rank[at[hit]], made[at[hit]] = self.rank[place[hit]], self.made[place[hit]]
         return rank, made
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair and the piece it makes."""
+        key = np.where((left < self.n) & (right < self.n), left * self.n + right, -1)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[place] == key
+        return np.where(hit, self.rank[place], _NONE), np.where(hit, self.made[place], 0)
+
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols of one unit after all merges, in time n log n.
+
+        A round merges pairs of the least rank from the left, up to the first merge that brings forth a pair of that rank or
+        a better one: the next merge must then be looked for again. Neighbours are a linked list.
+        """
+        n = len(symbols)
+        sym = np.append(symbols, _NONE)  # a last symbol that pairs with nothing
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank, made = (np.append(x, [last]) for x, last in zip(self._pairs(sym[:-1], sym[1:]), (_NONE, 0), strict=True))
+        alive = np.ones(n + 1, bool)
+        buckets: dict[int, list[np.ndarray]] = defaultdict(list)
+        least: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] != _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            values, starts = np.unique(rank[at], return_index=True)
+            for r, part in zip(values.tolist(), np.split(at, starts[1:]) if len(at) else [], strict=True):
+                if r not in buckets:
+                    heapq.heappush(least, r)
+                buckets[r].append(part)
+
+        put(np.arange(n))
+        while least:
+            r = heapq.heappop(least)
+            at = np.unique(np.concatenate(buckets.pop(r)))
+            every = at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # Of pairs that overlap, every other one from the left.
+            first = np.append(True, at[1:] != after[at[:-1]])
+            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            right = after[at]
+            left, piece = before[at], made[at]
+            left_symbol = np.where(left >= 0, sym[left], _NONE)
+            beside = np.append(False, right[:-1] == left[1:])  # the pair before ends where this one begins
+            left_symbol[1:] = np.where(beside[1:], piece[:-1], left_symbol[1:])
+            new = np.minimum(self._pairs(left_symbol, piece)[0], self._pairs(piece, sym[after[right]])[0])
+            bad = np.flatnonzero(new <= r)
+            if len(bad):
+                at = at[: bad[0] + 1]
+                right, piece = right[: len(at)], piece[: len(at)]
+            sym[at] = piece
+            alive[right] = False
+            rank[right] = _NONE
+            beyond = after[right]
+            after[at] = beyond
+            before[beyond] = at
+            changed = np.unique(np.concatenate((at, before[at])))
+            changed = changed[changed >= 0]
+            rank[changed], made[changed] = self._pairs(sym[changed], sym[after[changed]])
+            # What the cut has left over is still of this rank.
+            put(np.union1d(changed, every[alive[every]]) if len(bad) else changed)
+        return sym[:n][alive[:n]]
+
     def merge(self, units: list[str]) -> list[np.ndarray]:
         """Ids of each unit (none of them empty)."""
-        text = "".join(units)
-        codes, inverse = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
-        # A character without a piece stands for itself above the ids and is written as its bytes in the end.
-        ids = np.array([self.ids.get(chr(c), self.n + c) for c in codes.tolist()], np.int64)
-        symbols = ids[inverse]
+        long = [i for i, u in enumerate(units) if len(u) > LONG]
+        if long:
+            short = self.merge([u for u in units if len(u) <= LONG]) if len(long) < len(units) else []
+            rest = iter(short)
+            return [self._ids(self._merge_long(self._symbols(u))) if len(u) > LONG else next(rest) for u in units]
+        symbols = self._symbols("".join(units))
         unit = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
         out_symbols, out_unit = [], []
         while len(symbols):
@@ -113,13 +184,21 @@ class PieceCodec:
         bounds = np.searchsorted(unit, np.arange(len(units) + 1))
         plain = symbols < self.n
         parts = symbols.astype(np.uint32)
-        made_ids = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if plain[a:b].all():
-                made_ids.append(parts[a:b])
-            else:
-                made_ids.append(np.concatenate([self._own(s) for s in symbols[a:b].tolist()]))
-        return made_ids
+        return [
+            parts[a:b] if plain[a:b].all() else self._ids(symbols[a:b])
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+        ]
+
+    def _symbols(self, text: str) -> np.ndarray:
+        """Ids of the characters. One without a piece stands for itself above the ids; in the end its bytes are written."""
+        codes, inverse = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
+        ids = np.array([self.ids.get(chr(c), self.n + c) for c in codes.tolist()], np.int64)
+        return ids[inverse]
+
+    def _ids(self, symbols: np.ndarray) -> np.ndarray:
+        if (symbols < self.n).all():
+            return symbols.astype(np.uint32)
+        return np.concatenate([self._own(s) for s in symbols.tolist()])
 
     def _own(self, symbol: int) -> np.ndarray:
         if symbol < self.n:

@@ -1,6 +1,7 @@
 """Token counts and piece ids against the libraries themselves."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +44,31 @@ def test_pieces_are_the_librarys():
         assert decoded == library.decode(ids) == own.decode(np.array(ids, np.uint32)), repr(text[:80])
 
 
+def long_texts(n):
+    rng = random.Random(8)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ab", "ABCdef0123456789+/", ["the", "hing", "in", "ere", "re", "ation", "tion", "é", "漢"]]
+    return ["".join(rng.choice(k) for _ in range(n)) for k in kinds] + ["a" * n]
+
+
+def test_texts_without_blanks(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for long in (2, piece_codec.LONG):
+        monkeypatch.setattr(piece_codec, "LONG", long)
+        own = piece_codec.PieceCodec(PIECES)
+        texts = ODD + random_texts(100) + [t for n in (3, 17, 511, 513, 2000) for t in long_texts(n)]
+        for text, (raw, _) in zip(texts, own.batch(texts), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_bos=True, add_eos=True), (long, text[:80])
+
+
+def test_a_million_letters_without_a_blank():
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceCodec(PIECES)
+    text = long_texts(1_000_000)[0]
+    start = time.perf_counter()
+    raw, _ = next(iter(own.batch([text])))
+    assert time.perf_counter() - start < 30
+    assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_bos=True, add_eos=True)
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     words, pieces = Tokenizer.from_file(WORDS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
