@@ -6,14 +6,14 @@ link. Shuffling each variant on its own would move some 30 kB per document, so t
 the variants: a fingerprint is sent once to every prefix that any of its variants has (1 + b + b(b-1)/2 rows for b
 leading bits), and the task that owns the prefix expands just the variants with this prefix. Each variant is expanded
 in exactly one place. b follows from the number of fingerprints, so a task's share stays the same at every size. Where
-many fingerprints crowd on a prefix, as those of a large group of near copies do, its variants are dealt to several
-tasks by a hash of the variant.
+many fingerprints crowd on a prefix, it is cut by the next bits of the variants, and again, until no task has too much.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +31,8 @@ BITS, SEED, SHINGLE = 64, 42, 4
 RADIUS = 2
 #: Variants that one task holds at a time, about 30 bytes each.
 TASK_VARIANTS = 2_000_000
+#: Bits by which a crowded prefix grows at a time.
+STEP_BITS = 6
 _AT_ONCE = 1 << 16
 
 
@@ -80,23 +82,14 @@ def _masks(bits: int, most: int) -> np.ndarray:
 
 
 def _meet(rows: pd.DataFrame, low_bits: int, radius: int) -> pd.DataFrame:
-    """Links among the fingerprints that share a variant with this prefix and slice, as stars of their components."""
+    """Links among the fingerprints that share a variant with this prefix, as stars of their components."""
     low = rows["fp"].to_numpy().view(np.uint64) & np.uint64((1 << low_bits) - 1)
     away = rows["away"].to_numpy()
-    slices, own = np.uint64(rows["slices"].iloc[0]), np.uint64(rows["slice"].iloc[0])
     variants, owners = [], []
     for k in range(radius + 1):
         masks, at = _masks(low_bits, radius - k), np.flatnonzero(away == k)
-        step = max(1, TASK_VARIANTS // len(masks))
-        for i in range(0, len(at), step):
-            some = at[i : i + step]
-            made = (low[some][:, None] ^ masks[None, :]).ravel()
-            who = np.repeat(some.astype(np.int32), len(masks))
-            if slices > 1:
-                kept = (made * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % slices == own
-                made, who = made[kept], who[kept]
-            variants.append(made)
-            owners.append(who)
+        variants.append((low[at][:, None] ^ masks[None, :]).ravel())
+        owners.append(np.repeat(at.astype(np.int32), len(masks)))
     values, who = np.concatenate(variants), np.concatenate(owners)
     order = np.argsort(values, kind="stable")
     values, who = values[order], who[order]
@@ -111,24 +104,59 @@ def _meet(rows: pd.DataFrame, low_bits: int, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": fp[linked], "b": fp[root[linked]]})
 
 
+def _meeting(low_bits: int, radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda rows: _meet(rows, low_bits, radius)
+
+
+def _sent(rows: DataFrame, known: int, bits: int, radius: int) -> DataFrame:
+    """(fp, prefix, away): rows to every prefix of `known + bits` bits that a variant with their present prefix can have.
+
+    rows: (fp, prefix, away), where prefix holds the first `known` bits of the variants and away counts where it differs from
+    the fingerprint. Only as many further bits may differ as the radius leaves.
+    """
+    low = BITS - known - bits
+    # One constant list of flips for each number of bits that may still differ.
+    allowed = [F.array(*[F.lit(int(m)).cast("long") for m in _masks(bits, radius - k)]) for k in range(radius + 1)]
+    flips = allowed[0]
+    if known:
+        for k in range(1, radius + 1):
+            flips = F.when(F.col("away") == k, allowed[k]).otherwise(flips)
+    own = F.shiftrightunsigned("fp", low) if low else F.col("fp")
+    part = own.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    sent = rows.select("fp", "prefix", "away", part.alias("part"), F.explode(flips).alias("flip"))
+    prefix = F.shiftleft("prefix", bits).bitwiseOR(F.col("part").bitwiseXOR(F.col("flip")))
+    return sent.select("fp", prefix.alias("prefix"), (F.col("away") + F.bit_count("flip")).cast("int").alias("away"))
+
+
 def links(fingerprints: DataFrame, radius: int = RADIUS, task_variants: int = TASK_VARIANTS) -> DataFrame:
     """Edges (a, b) that connect all values of the column `fp` which differ in at most 2 * radius bits.
 
-    Within a task the links found are reduced to stars of their components; nothing between different values is lost.
+    Within a task the links found are reduced to stars of their components; nothing between different values is lost. Prefixes under
+    which more than `task_variants` variants stand are cut by the next bits of the variants, and again, until none is
+    crowded: a row goes on to those longer prefixes only that a variant of it has, so rows are divided with the variants.
     """
     fps = materialize(fingerprints.select("fp").distinct(), "fingerprints")
     count, ball = fps.count(), sum(math.comb(BITS, k) for k in range(radius + 1))
-    top = min(24, max(0, math.ceil(math.log2(max(1, count * ball) / task_variants))))
-    low = BITS - top
-    cost = F.element_at(F.array(*[F.lit(len(_masks(low, radius - k))) for k in range(radius + 1)]), F.col("away") + 1)
-    flips = [int(m) for m in _masks(top, radius)] if top else [0]
-    home = F.shiftrightunsigned("fp", low) if top else F.lit(0).cast("long")
-    sent = fps.select("fp", home.alias("home"), F.explode(F.array(*[F.lit(m).cast("long") for m in flips])).alias("flip"))
-    prefix = F.col("home").bitwiseXOR(F.col("flip"))
-    sent = sent.select("fp", prefix.alias("prefix"), F.bit_count("flip").alias("away"))
-    shares = sent.groupBy("prefix").agg(F.ceil(F.sum(cost.cast("long")) / F.lit(task_variants)).cast("int").alias("slices"))
-    dealt = sent.join(shares, "prefix").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    return dealt.groupBy("prefix", "slice").applyInPandas(lambda rows: _meet(rows, low, radius), "a long, b long")
+    bits = max(0, math.ceil(math.log2(max(1, count * ball) / task_variants)))
+    rows = fps.select("fp", F.lit(0).cast("long").alias("prefix"), F.lit(0).alias("away"))
+    known, found = 0, []
+    while True:
+        if bits:
+            rows = _sent(rows, known, bits, radius)
+        known += bits
+        low = BITS - known
+        cost = F.element_at(F.array(*[F.lit(len(_masks(low, radius - k))) for k in range(radius + 1)]), F.col("away") + 1)
+        crowded = rows.groupBy("prefix").agg(F.sum(cost.cast("long")).alias("variants")).where(F.col("variants") > task_variants)
+        crowded = materialize(crowded.select("prefix"), "crowded")
+        # With all bits known a prefix is one variant, and no more fingerprints have it than it has variants itself.
+        last = low == 0 or crowded.isEmpty()
+        calm = rows if last else rows.join(crowded, "prefix", "left_anti")
+        meet = calm.groupBy("prefix").applyInPandas(_meeting(low, radius), "a long, b long")
+        found.append(meet if last and not found else materialize(meet, "links"))
+        if last:
+            return reduce(DataFrame.unionByName, found)
+        rows = materialize(rows.join(crowded, "prefix", "left_semi"), "crowd")
+        bits = min(STEP_BITS, BITS - known)
 
 
 def _roots(prints: DataFrame) -> DataFrame:

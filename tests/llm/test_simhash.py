@@ -49,7 +49,7 @@ def test_query(spark, sf):
 
 @pytest.mark.parametrize("task_variants", [2_000_000, 20_000])
 def test_links_lose_no_pair(spark, task_variants):
-    """Chains and crowds of fingerprints, with many prefixes and with crowded ones that are cut into slices."""
+    """Chains and crowds of fingerprints, with many prefixes and with crowded ones that are cut again."""
     rng = random.Random(8)
     values = [rng.getrandbits(64) for _ in range(60)]
     for _ in range(500):
@@ -68,6 +68,25 @@ def test_links_lose_no_pair(spark, task_variants):
             assert same == (root[i] == root[j])
 
 
+def test_a_crowd_under_one_prefix_is_divided(spark):
+    """Fingerprints with 20 leading bits in common: links as by all pairs, and rows that are divided with the prefixes."""
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 2**44, 3000, np.uint64) | np.uint64(0xABCDE << 44)
+    near = values[:500] ^ (np.uint64(1) << rng.integers(0, 44, 500).astype(np.uint64)) ^ np.uint64(5)
+    values = np.unique(np.concatenate((values, near)))
+    fps = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "fp long")
+    got = {r.node: r.root for r in components(simhash.links(fps, task_variants=100_000)).collect()}
+    a, b = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4, 1))
+    root = simhash.local_roots(len(values), a, b)
+    signed = values.view(np.int64).tolist()
+    assert {i for i in range(len(values)) if (root == root[i]).sum() > 1} == {i for i, v in enumerate(signed) if v in got}
+    assert len({got[signed[i]] for i in a}) == len(set(root[a]))
+    assert all(got[signed[i]] == got[signed[j]] for i, j in zip(a, b, strict=True))
+    start = fps.select("fp", F.shiftrightunsigned("fp", 44).alias("prefix"), F.lit(0).alias("away"))
+    sent = simhash._sent(start, 20, 6, 2).groupBy("prefix").count()
+    assert sent.agg(F.max("count")).first()[0] < 0.5 * len(values)
+
+
 def test_components_of_long_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + k) for k in range(1, 300)] + [(7, 7), (1000, 999)]
     df = spark.createDataFrame(edges * 2, "a long, b long")
