@@ -251,7 +251,8 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
 def join_features(citations: DataFrame, features: DataFrame, page: str = "id", text: str = "citations") -> DataFrame:
     """Citations with the context of the same text on the same page.
 
-    The long texts are compared, the shuffle key is their hash together with the page.
+    The long texts are compared, the shuffle key is their hash together with the page. See `join_features_bucketed` for stages that
+    are joined more than once.
     """
     left = citations.withColumn("_h", F.xxhash64(page, text))
     right = features.withColumn("_h", F.xxhash64("page_id", "retrieved_citation"))
@@ -264,6 +265,19 @@ def join_features(citations: DataFrame, features: DataFrame, page: str = "id", t
     ).drop("_h")
 
 
+def join_features_bucketed(citations: DataFrame, features: DataFrame, page: str = "id", text: str = "citations") -> DataFrame:
+    """The rows of `join_features`, from two stages that `bucketed_stage` has written by page and text: no shuffle.
+
+    All occurrences of a text on a page have the same context, so the context is one row with a count in the join, and a
+    text that stands k times there gives k rows of it; the k * k rows that pair them all are made after it.
+    """
+    rest = [c for c in features.columns if c not in ("page_id", "retrieved_citation")]
+    once = features.groupBy("page_id", "retrieved_citation").agg(*[F.first(c).alias(c) for c in rest], F.count("*").alias("_times"))
+    met = citations.join(once, (citations[page] == once["page_id"]) & (citations[text] == once["retrieved_citation"]))
+    pairs = met.select(*[met[c] for c in met.columns if c != "_times"], F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_"))
+    return pairs.drop("_")
+
+
 def join_selected(features: DataFrame, labelled: DataFrame, text: str = "citations") -> DataFrame:
     """Context of every labelled citation text, wherever it stands.
 

@@ -20,6 +20,7 @@ from refloom.plans.q_citations import _P, LABELLED, cites, normalized_cites, wit
 from refloom.plans.q_wikitext import TEMPLATES
 from refloom.plans.registry import query
 from refloom.session import materialize, scratch_path
+from refloom.sources.dump import bucketed_stage
 from refloom.sources.lists import bias_address, domains_text
 from refloom.streaming import parts as ST
 from refloom.tables.templates import CITATION_TYPES
@@ -321,8 +322,11 @@ def first_citations(spark, sf):
 _OUTER = f"SELECT page_id, text, section FROM ({TEMPLATES}) t WHERE depth = 1"
 
 
-@query(f"""SELECT f.page_id, o.section, f.ref_index, f.total_words FROM ({_OUTER}) o JOIN ({_FEATURES}) f
-           ON o.page_id = f.page_id AND o.text = f.citation""")
+_JOINED = f"""SELECT f.page_id, o.section, f.ref_index, f.total_words FROM ({_OUTER}) o JOIN ({_FEATURES}) f
+           ON o.page_id = f.page_id AND o.text = f.citation"""
+
+
+@query(_JOINED)
 def join_features(spark, sf):
     """Every occurrence of a text on a page meets every context of that text on the page."""
     pages = D.articles(spark, sf)
@@ -336,6 +340,21 @@ def join_features(spark, sf):
     )
 
 
+@query(_JOINED)
+def join_features_bucketed(spark, sf):
+    """The same from stage tables in buckets of page and text."""
+    pages = D.articles(spark, sf)
+    found = O.extract_citations(pages.select("page_id", "content")).select(F.col("page_id").alias("id"), "citations", "section")
+    left = bucketed_stage(found, scratch_path(spark, "citations"), ["id", "citations"])
+    near = features(spark, sf).select("page_id", "retrieved_citation", "ref_index", "total_words")
+    right = bucketed_stage(near, scratch_path(spark, "features"), ["page_id", "retrieved_citation"])
+    done = X.join_features_bucketed(left, right)
+    return done.select(
+        "page_id", "section", F.col("ref_index").cast("bigint").alias("ref_index"),
+        F.col("total_words").cast("bigint").alias("total_words"),
+    )
+
+
 @query(f"""SELECT f.page_id, l.text AS citations FROM ({_FEATURES}) f JOIN (SELECT DISTINCT text FROM ({_OUTER}) o
            WHERE text LIKE '{{{{cite journal%' OR text LIKE '{{{{lang%') l ON f.citation = l.text""")
 def join_selected(spark, sf):

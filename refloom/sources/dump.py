@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,22 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def bucketed_stage(df: DataFrame, path: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write a stage in buckets of `keys`, sorted within each, and read it as a table that knows its buckets.
+
+    Two stages with the same number of buckets (by default the session's shuffle partitions) over the keys of a join are joined
+    without a shuffle, and grouped by these keys without one, however often that is done. The table's name is its path's last part.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = re.sub(r"\W", "_", path.rstrip("/").rsplit("/", 1)[-1])
+    # Dealt like the buckets first, so that a bucket is one file and not one of every task.
+    dealt = df.repartition(count, *keys)
+    writer = dealt.write.mode("overwrite").option("compression", "snappy").option("path", path).format("parquet")
+    writer.bucketBy(count, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def write_partitioned_batches(df: DataFrame, path: str, key: str, batches: int = 32, jobs: int = 1) -> int:
     """Write in hash batches and note the finished ones in a small table beside the data; a later run skips these.
 

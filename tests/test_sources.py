@@ -2,6 +2,7 @@ import bz2
 
 from pyspark.sql import functions as F
 
+from refloom.operators import context as X
 from refloom.operators import labels as L
 from refloom.sources import dump, lists
 from refloom.streaming import parts
@@ -80,3 +81,21 @@ def test_stream_goes_on_after_restart(spark, tmp_path):
         parts.stream_dump_parts(spark, source, pages(i).schema, target, mark).awaitTermination()
         done = spark.read.parquet(target)
         assert done.count() == i and {r.actual_label for r in done.collect()} == {"journal"}
+
+
+def test_bucketed_stages_join_without_a_shuffle(spark, tmp_path):
+    cites = [(p, f"{{{{c|{p % 3}{i % 2}}}}}", f"S{i}") for p in range(40) for i in range(p % 5)]
+    near = [(p, t, p % 3, 9) for p, t, _ in cites]
+    left = spark.createDataFrame(cites, "id long, citations string, section string")
+    right = spark.createDataFrame(near, "page_id long, retrieved_citation string, ref_index long, total_words long")
+    want = sorted(map(tuple, X.join_features(left, right).collect()))
+    a = dump.bucketed_stage(left, str(tmp_path / "cites"), ["id", "citations"], 4)
+    b = dump.bucketed_stage(right, str(tmp_path / "near"), ["page_id", "retrieved_citation"], 4)
+    joined = X.join_features_bucketed(a, b)
+    assert sorted(map(tuple, joined.collect())) == want and joined.columns == X.join_features(left, right).columns
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = X.join_features_bucketed(a, b)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
