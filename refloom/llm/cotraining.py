@@ -1,7 +1,7 @@
 """Quality classifier by co-training two views of a document.
 
-The content view knows the words (length, stop words, repeats), the page view the page around them (lines, signs, source and
-language). Each view has a logistic regression. In every round each classifier labels the documents it is surest of, as
+The content view reads the text: shares of its words by buckets of a hash, and how long, common and repeated they are. The
+page view what stands about the words: source, language, size, lines and signs. Each view has a logistic regression. In every round each classifier labels the documents it is surest of, as
 many of either class as the labelled rows suggest, and the other classifier learns from them besides the true labels.
 At the end each view is calibrated on labelled rows kept from training, and their log odds are combined, less the prior
 that both contain.
@@ -14,39 +14,60 @@ models of the round before and are never stored. So the driver holds a few hundr
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, FloatType
 
 from refloom.llm import quality_rules
+from refloom.llm.common import text_of
 from refloom.llm.toxicity import held_out
 from refloom.session import materialize
 
 ROUNDS, STEPS = 3, 6
 #: Share of all documents that each round adds to what a view labels for the other.
 SHARE = 0.05
-RIDGE = 1.0
-SOURCES, LANGS, BINS = 16, 8, 1000
-CONTENT = ["log_words", "mean_word_length", "stop_word_ratio", "repeat_word_ratio", "ellipsis_line_ratio"]
-PAGE = ["log_lines", "log_line_length", "symbol_ratio", "dup_line_ratio", "bullet_line_ratio"]
+RIDGE = 2.0
+#: Buckets of sources, languages and words, whatever their number; bins of the histogram of probabilities.
+SOURCES, LANGS, WORDS, BINS = 32, 16, 64, 1000
+CONTENT = ["mean_word_length", "stop_word_ratio", "repeat_word_ratio", "ellipsis_line_ratio"]
+PAGE = ["log_words", "log_lines", "log_line_length", "symbol_ratio", "dup_line_ratio", "bullet_line_ratio"]
+COLUMNS = [*CONTENT, "words", *PAGE, "source_bucket", "lang_bucket"]
+
+
+@arrow_udf(ArrayType(FloatType()))
+def word_shares(texts: pa.Array) -> pa.Array:
+    """Square roots of the shares that the words of a text have in each of WORDS buckets; zeros without words."""
+    out = np.zeros((len(texts), WORDS), np.float32)
+    for i, text in enumerate(texts.cast(pa.binary())):
+        counts = Counter((text.as_py() or b"").lower().split())
+        if counts:
+            place = np.fromiter((crc32(w) % WORDS for w in counts), np.int64, len(counts))
+            share = np.bincount(place, np.fromiter(counts.values(), np.float64, len(counts)), WORDS)
+            out[i] = np.sqrt(share / share.sum())
+    offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * WORDS)
+    return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
-    """(id, one column per feature, source and language as buckets of a hash) per row of docs."""
+    """(id, one column per feature, words as an array, source and language as buckets of a hash) per row of docs."""
 
     def bucket(name: str, n: int) -> Column:
         return F.pmod(F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit(""))), F.lit(n)).cast("int")
 
-    m = quality_rules.measures(
-        docs, id_col, text_col, {"source_bucket": bucket(source_col, SOURCES), "lang_bucket": bucket(lang_col, LANGS)}
-    )
+    carry = {"source_bucket": bucket(source_col, SOURCES), "lang_bucket": bucket(lang_col, LANGS), "words": word_shares(text_of(text_col))}
+    m = quality_rules.measures(docs, id_col, text_col, carry)
     per_line = (F.col("word_chars") + F.col("n_words")) / F.greatest(F.col("n_lines"), F.lit(1))
     m = m.withColumn("log_words", F.log1p("n_words")).withColumn("log_lines", F.log1p("n_lines"))
     m = m.withColumn("log_line_length", F.log1p(per_line))
-    return m.select(F.col(id_col).alias("id"), *CONTENT, *PAGE, "source_bucket", "lang_bucket")
+    return m.select(F.col(id_col).alias("id"), *COLUMNS)
 
 
 def matrices(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +77,8 @@ def matrices(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     source = np.eye(SOURCES)[rows["source_bucket"].to_numpy(int)]
     lang = np.eye(LANGS)[rows["lang_bucket"].to_numpy(int)]
     # Differences from typical values matter on both sides, so squares go along.
-    return np.hstack([one, content, content**2]), np.hstack([one, page, page**2, source, lang])
+    words = np.stack(rows["words"].to_list()).astype(np.float64) if len(rows) else np.zeros((0, WORDS))
+    return np.hstack([one, content, content**2, words]), np.hstack([one, page, page**2, source, lang])
 
 
 def _summed(table: DataFrame, size: int, make: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
@@ -84,7 +106,7 @@ class CoTrainer:
 
     def __init__(self, table: DataFrame, prior: float):
         self.table, self.prior = table, prior
-        self.widths = [1 + 2 * len(CONTENT), 1 + 2 * len(PAGE) + SOURCES + LANGS]
+        self.widths = [1 + 2 * len(CONTENT) + WORDS, 1 + 2 * len(PAGE) + SOURCES + LANGS]
         sizes = self.widths
 
         def moments(f: pd.DataFrame) -> np.ndarray:
@@ -144,7 +166,7 @@ class CoTrainer:
                 labelled = labelled if pseudo else n
                 weight = min(1.0, labelled / n) if pseudo and n else 1.0
                 gradient, curve = gradient + weight * g, curve + weight * h
-            penalty = np.diag([1e-6] + [RIDGE] * (w - 1))
+            penalty = np.diag([1e-6] + [RIDGE * max(1, w // 32)] * (w - 1))
             made.append(beta + np.linalg.solve(curve + penalty, gradient - penalty @ beta))
         return made
 
@@ -227,7 +249,7 @@ def scored(
     role = F.when(F.col("label").isNotNull(), apart).when(held_out("id"), "held").otherwise("none")
     table = materialize(table.withColumn("role", role), "cotraining")
     counts = {r["label"]: r["count"] for r in table.where("role = 'train'").groupBy("label").count().collect()}
-    out = table.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), *CONTENT, *PAGE, "source_bucket", "lang_bucket")
+    out = table.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), *COLUMNS)
     if not counts.get(0) or not counts.get(1):
         half = F.lit(0.5)
         return out.select(
