@@ -29,8 +29,10 @@ from refloom.session import materialize
 
 BITS, SEED, SHINGLE = 64, 42, 4
 RADIUS = 2
-#: Variants that one task holds at a time, about 30 bytes each.
+#: Variants that a task holds on average at most, about 30 bytes each.
 TASK_VARIANTS = 2_000_000
+#: Times that many are a crowd, which is cut. Well above 1, as shares differ: else growing tables would cut half of all prefixes.
+CROWD = 4
 #: Bits by which a crowded prefix grows at a time.
 STEP_BITS = 6
 _AT_ONCE = 1 << 16
@@ -146,7 +148,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, task_variants: int = TA
         known += bits
         low = BITS - known
         cost = F.element_at(F.array(*[F.lit(len(_masks(low, radius - k))) for k in range(radius + 1)]), F.col("away") + 1)
-        crowded = rows.groupBy("prefix").agg(F.sum(cost.cast("long")).alias("variants")).where(F.col("variants") > task_variants)
+        crowded = rows.groupBy("prefix").agg(F.sum(cost.cast("long")).alias("variants")).where(F.col("variants") > CROWD * task_variants)
         crowded = materialize(crowded.select("prefix"), "crowded")
         # With all bits known a prefix is one variant, and no more fingerprints have it than it has variants itself.
         last = low == 0 or crowded.isEmpty()
@@ -170,7 +172,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id) per row: component_id is the smallest id reachable over fingerprints within 4 bits.
 
     A null or empty text has fingerprint 0 and is linked like any other. Rows that repeat keep a row each; a null id stays
-    null and counts for no component's smallest id. Other columns are ignored, whatever their names.
+    null and counts for no component's smallest id. Texts of any length are read whole, their hashes some at a time. An empty
+    table gives no rows. Other columns are ignored, whatever their names.
     """
     prints = materialize(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
     smallest = prints.groupBy("fp").agg(F.min("id").alias("least")).join(_roots(prints), "fp")
@@ -182,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs per component, the one with the smallest id (a null id last; of rows that repeat any one).
 
-    The rows are written once with a number each, and only numbers and fingerprints take part in the grouping.
+    An empty table gives no rows; null and empty texts are one component. The rows are written once with a number each, and only numbers and fingerprints take part in the grouping.
     """
     row = F.struct(*[F.col(c) for c in docs.columns])
     full = docs.select(row.alias("row"), F.monotonically_increasing_id().alias("place"), fingerprint(F.col(text_col)).alias("fp"))
