@@ -140,7 +140,8 @@ def token_counts(
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) per row: UTF-8 bytes, tokens, and whether these are more than `limit`.
 
-    Null and empty texts have 0 of both. Repeated rows and null ids keep their rows; other columns are ignored.
+    Null and empty texts have 0 of both. Repeated rows and null ids keep their rows; an empty table gives no rows. Texts of any
+    length are counted whole, in their row; of pairs of equal rank the leftmost is merged. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     counted = docs.select(

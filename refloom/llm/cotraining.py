@@ -1,8 +1,9 @@
 """Quality classifier by co-training two views of a document.
 
 The content view reads the text: shares of its words by buckets of a hash, and how long, common and repeated they are. The
-page view what stands about the words: source, language, size, lines and signs. Each view has a logistic regression. In every round each classifier labels the documents it is surest of, as
-many of either class as the labelled rows suggest, and the other classifier learns from them besides the true labels.
+page view knows what stands about the words: source, language, size, lines and signs. Each view has a logistic regression.
+In every round each classifier labels the documents it is surest of, as many of either class as the labelled rows suggest,
+and the other classifier learns from them besides the true labels.
 At the end each view is calibrated on labelled rows kept from training, and their log odds are combined, less the prior
 that both contain.
 
@@ -240,7 +241,8 @@ def scored(
 
     Labels of held-out rows are never read; of the others a quarter calibrates. Null and empty texts have all features 0.
     Repeated rows and null ids keep their rows; a null source or language is a value of its own. Without labels of both
-    classes every score is 0.5 and every row is kept. Other columns are ignored, whatever their names.
+    classes every score is 0.5 and every row is kept; a score equal to the threshold keeps; of several labels of an id the larger
+    counts. Texts of any length are read whole in their row; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     named = named.where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))

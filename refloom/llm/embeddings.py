@@ -112,7 +112,8 @@ def near_duplicates(
 
     Rows link if their labels are equal and not null, their vectors have the same length and a cosine of `threshold` or
     more. Vectors that are null, empty, all zero, or hold null, NaN or infinite components link with nothing and are kept.
-    Repeated rows link with each other as other rows do; null ids count for no component's smallest id. Other columns are
+    Repeated rows link with each other as other rows do; null ids count for no component's smallest id; a cosine equal to
+    the threshold links. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
     field = vectors.schema[vector_col].dataType

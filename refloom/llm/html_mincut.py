@@ -335,7 +335,7 @@ def extract(page: Column) -> Column:
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) per row: the main text of the whole page and its length in code points.
 
-    Null, empty and contentless pages have the empty text. Repeated rows, null ids and null addresses keep their rows; other
+    Null, empty and contentless pages have the empty text; an empty table gives no rows; pages of any length are read whole. Repeated rows, null ids and null addresses keep their rows; other
     columns are ignored, whatever their names.
     """
     out = pages.select(id_col, url_col, extract(F.col(html_col)).alias("text"))

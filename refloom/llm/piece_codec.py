@@ -266,7 +266,8 @@ def encode_decode(text: Column, path: str) -> Column:
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids, decoded) per row. Null and empty texts have the begin and end ids and decode to "".
 
-    Repeated rows and null ids keep their rows; other columns are ignored, whatever their names. The file at `path` must be
+    Repeated rows and null ids keep their rows; an empty table gives no rows; a text of any length is read whole, at n log n also
+    without blanks; of pairs of equal rank the leftmost is merged. Other columns are ignored, whatever their names. The file at `path` must be
     on every executor.
     """
     made = docs.select(F.col(id_col), encode_decode(F.coalesce(F.col(text_col), F.lit("")), path).alias("_made"))

@@ -292,7 +292,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **boun
     """(id, key, base, spans) per row; base and spans are sorted arrays of (start, kind, end), base a part of spans.
 
     Null and empty texts have no spans. Rows that repeat in id and text have equal spans; a null id keeps its row; columns
-    besides id and text are ignored, whatever their names.
+    besides id and text are ignored, whatever their names. Spans that start at one place are ordered by kind; of kinds that a pattern
+    could bring the one with more evidence is taken, the first as listed where equal. Texts of any length are read whole; an empty table
+    gives no rows.
     """
     rows = scanned(docs, id_col, text_col)
     places = rows.select("_key", F.inline("_places"))

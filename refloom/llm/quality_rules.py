@@ -151,7 +151,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """Measures with base_failed (too short, or mostly repeated windows) and kept (not base_failed and all rules hold).
 
     One row per row of docs, repeated rows and null ids included; null or empty texts have all measures 0, fail the base
-    and are not kept. Columns of docs besides id and text are ignored, whatever their names.
+    and are not kept. A measure that lies on a bound of its rule passes. Texts of any length are judged in their row; an empty table
+    gives no rows. Columns of docs besides id and text are ignored, whatever their names.
     """
     measured = measures(docs, id_col, text_col)
     # Through a generator, so that a filter on the result does not pull copies of the measures below the projections.

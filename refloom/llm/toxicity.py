@@ -251,8 +251,8 @@ def scored(
 ) -> DataFrame:
     """(id, held_out, score, predicted) per row of docs, learned from the labels of rows that are not held out.
 
-    Only the text is an input of a score. Repeated rows and null ids keep their rows; empty tables give no rows; other
-    columns are ignored, whatever their names.
+    Only the text is an input of a score. Repeated rows and null ids keep their rows; empty tables give no rows. Texts
+    of any length are matched whole. Of entries of equal weight at a word the one that ends first counts. Other columns are ignored.
     """
     known = docs.select(id_col, text_col).where(~held_out(id_col))
     lexicon = fit(known, labels.where(~held_out(id_col)), id_col, label_col, text_col)
