@@ -69,15 +69,29 @@ def redundant_params(df: DataFrame, params: str = "params") -> DataFrame:
     """One row per field that is set by more than one parameter: the one used and the others."""
     keep = [c for c in df.columns if c != params]
     fields = _aliases()
+    # A row sets few of the names: they are picked by one hash probe each, and only these are sought per field.
+    shared = sorted({n for names in fields.values() for n in names})
+    given = F.filter(
+        F.map_entries(F.col(params)), lambda e: is_set(e["value"]) & e["key"].isin(*shared)
+    )
+    table = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.array(*[F.lit(n) for n in names]).alias("names")) for f, names in fields.items()]
+    )
 
-    def check(field: str, names: list[str]) -> Column:
-        listed = F.filter(
-            F.array(*[F.lit(n) for n in names]), lambda n: is_set(F.try_element_at(F.col(params), n))
+    def check(names: Column) -> Column:
+        listed = F.transform(
+            table,
+            lambda t: F.struct(
+                t["field"].alias("field"), F.filter(t["names"], lambda n: F.array_contains(names, n)).alias("used")
+            ),
         )
-        return F.struct(F.lit(field).alias("field"), listed.alias("used"))
+        found = F.filter(listed, lambda e: F.size(e["used"]) > 1)
+        return F.when(F.size(names) > 1, found)
 
-    used = F.filter(F.array(*[check(f, n) for f, n in fields.items()]), lambda e: F.size(e["used"]) > 1)
-    return df.select(*keep, F.explode(used).alias("_f")).select(
+    # Through a generator, as an explode brings a filter along that would compute the fields a second time.
+    used = let(F.transform(given, lambda e: e["key"]), check)
+    df = settle(df.select(*keep, used.alias("_used")), ["_used"])
+    return df.select(*keep, F.explode("_used").alias("_f")).select(
         *keep,
         F.col("_f.field").alias("field"),
         F.element_at("_f.used", 1).alias("chosen"),

@@ -130,3 +130,34 @@ def test_error_kinds(spark):
     assert {"archive_missing_date", "archive_missing_url"} <= errors(spark, "{{cite book|title=T|archive-url=http://abc.org}}")
     assert {"bad_paramlink"} <= errors(spark, "{{cite book|title=T|title-link=[[x]]}}")
     assert {"trans_missing_title"} <= errors(spark, "{{cite book|trans-title=T}}")
+
+
+def test_redundant_params_are_sought_once_per_row(spark):
+    """Only set names count, in the order of the field's names; the explode brings no filter that computes them again."""
+    from refloom.operators import quality as Q
+
+    maps = [
+        (1, {"work": "b", "newspaper": "a", "title": "t", "url": ""}),
+        (2, {"work": "", "newspaper": "a"}),
+        (3, {"mailinglist": "m", "mailing-list": "n", "doi": "1", "DOI": "2"}),
+        (4, {}),
+        (5, None),
+    ]
+    found = Q.redundant_params(spark.createDataFrame(maps, "i int, params map<string,string>"))
+    rows = sorted((r.i, r.field, r.chosen, r.ignored) for r in found.collect())
+    assert rows == [
+        (1, "Periodical", "newspaper", ["work"]), (3, "DOI", "doi", ["DOI"]), (3, "MailingList", "mailinglist", ["mailing-list"]),
+    ]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_contains") == 1
+
+
+def test_parameters_beside_control_characters(spark):
+    """Marks that the parameter reader uses may stand in a text; the pattern is run once where they do not."""
+    from refloom.functions import wikitext as W
+
+    texts = [("{{cite web|title = a\x1eb|x\x1fy|url=[[p|q]]|=z}}",), ("{{cite web| title = a b |xy|url=[[p|q]]|n={{l|1}}|}}",), ("{{sfn}}",)]
+    df = spark.createDataFrame(texts, "t string").select(W.template_params("t").alias("p"))
+    got = [[(p.name, p.value, p.positional) for p in r.p] for r in df.collect()]
+    assert got[0][:3] == [("title", "a\x1eb", False), ("1", "x\x1fy", True), ("url", "[[p|q]]", False)]
+    assert got[1] == [("title", "a b", False), ("1", "xy", True), ("url", "[[p|q]]", False), ("n", "{{l|1}}", False), ("2", "", True)]
+    assert got[2] == []
