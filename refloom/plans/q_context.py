@@ -708,6 +708,7 @@ def merge_predictions(spark, sf):
              ON l.page_id = f.page_id AND l.citation = f.citation""")
 def join_by_key(spark, sf):
     rows = labelled_cites(spark, sf).select("page_id", "citation", F.col("actual_label").alias("label"))
+    rows = materialize(rows, "labelled")  # both sides read it
     lengths = rows.select("page_id", "citation", F.length("citation").cast("bigint").alias("n_chars")).distinct()
     return M.join_by_key(rows, lengths, ["page_id", "citation"]).select("page_id", "label", "n_chars")
 
