@@ -58,3 +58,14 @@ def test_sections(rows, spark, sf):
     found = O.extract_citations(D.articles(spark, sf)).select("page_id", "citations", "sections_all").collect()
     want = Counter(s for _, _, some in {(r.page_id, r.citations, tuple(sorted(set(r.sections_all)))) for r in found} for s in some)
     assert pairs == want and len(want) > 3
+
+
+def test_citations_are_parsed_once_for_both_sides(spark, sf):
+    """Queries that use labelled citations twice keep them as a stage: no plan of theirs holds the parse."""
+    from refloom.plans import q_context
+
+    for name in ("join_by_key", "labelled_dataset"):
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan
+    plan = q_context._training(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
