@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions import braces as B
 from refloom.functions import wikitext as W
+from refloom.functions.core import settle
 from refloom.operators import extraction as X
 from refloom.operators import rewriting as R
 from refloom.operators.citations import extract_citations
@@ -73,8 +74,7 @@ _POS = "CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) AS BIGINT)"
 def templates_per_page(spark, sf):
     spans = B.with_ancestors(B.template_spans("content"))
     return (
-        D.articles(spark, sf)
-        .select("page_id", spans.alias("s"))
+        settle(D.articles(spark, sf).select("page_id", spans.alias("s")), ["s"])
         .where(F.size("s") > 0)
         .select(
             "page_id",
