@@ -65,6 +65,17 @@ def _aliases() -> dict[str, list[str]]:
     return fields | {k: names for k, (names, _) in ID_KINDS.items() if len(names) > 1}
 
 
+def _one_field_twice(params: Column) -> Column:
+    """Some field is set by two parameters or more: each name leads to the numbers of its fields, one of which comes again."""
+    fields = list(_aliases().values())
+    shared = sorted({n for names in fields for n in names})
+    table = F.array(*[F.lit(n) for n in shared])
+    numbers = F.array(*[F.array(*[F.lit(i) for i, names in enumerate(fields) if n in names]) for n in shared])
+    given = F.filter(F.map_keys(params), lambda k: k.isin(*shared))
+    met = F.flatten(F.transform(given, lambda k: F.get(numbers, F.array_position(table, k).cast("int") - 1)))
+    return let(met, lambda ns: F.size(F.array_distinct(ns)) < F.size(ns))
+
+
 def redundant_params(df: DataFrame, params: str = "params") -> DataFrame:
     """One row per field that is set by more than one parameter: the one used and the others."""
     keep = [c for c in df.columns if c != params]
@@ -309,10 +320,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         ),
         "parameter_ignored": has_status("unknown"),
         "parameter_ignored_suggest": has_status("suggest"),
-        "redundant_parameters": F.exists(
-            F.array(*[F.array(*[F.lit(n) for n in names]) for names in _aliases().values()]),
-            lambda names: F.size(F.filter(names, lambda n: F.map_contains_key(m, n))) > 1,
-        ),
+        "redundant_parameters": _one_field_twice(m),
         "text_ignored": has_status("text"),
         "trans_missing_title": (a("TransTitle").isNotNull() & a("Title").isNull())
         | (a("TransChapter").isNotNull() & F.coalesce(a("Chapter"), a("Title")).isNull()),
