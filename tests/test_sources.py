@@ -99,3 +99,24 @@ def test_bucketed_stages_join_without_a_shuffle(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_rows_of_few_row_groups_are_spread(spark, tmp_path):
+    """One row group is read by one task, however many tasks the bytes of its file are cut into."""
+    path = str(tmp_path / "one")
+    wide = spark.range(0, 40_000, numPartitions=1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    wide.write.parquet(path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "100000")
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= 8
+        held = dump.spread(rows, 8).groupBy(F.spark_partition_id()).count().collect()
+        assert len(held) >= 8 and sum(r["count"] for r in held) == 40_000
+        assert max(r["count"] for r in held) < 10_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    even = spark.range(0, 800, numPartitions=8)
+    assert dump.spread(even, 8) is even
