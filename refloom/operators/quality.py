@@ -12,7 +12,8 @@ from refloom.functions import citation as C
 from refloom.functions import identifiers as I
 from refloom.functions.core import in_list, is_set, let, matches, settle
 from refloom.functions.dates import acceptable_date, parse_date, valid_access_date, year_date_mismatch
-from refloom.functions.fields import extra_page_text, invisible_chars, valid_keyword
+from refloom.functions.fields import any_invisible, extra_page_text, invisible_chars, valid_keyword
+from refloom.functions.given import given_parts
 from refloom.functions.names import author_source, has_et_al
 from refloom.functions.urls import has_external_link, link_param_ok, valid_url
 from refloom.tables.params import (
@@ -312,7 +313,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         | (a("ChapterFormat").isNotNull() & chapter_url.isNull()),
         "implict_etal_editor": in_list(F.lower(a("DisplayEditors")), ["etal", "et al", "et al."]),
         "invalid_param_val": keyword_bad | shown_bad(a("DisplayAuthors")) | shown_bad(a("DisplayEditors")),
-        "invisible_char": F.size(F.flatten(F.transform(F.map_values(m), invisible_chars))) > 0,
+        "invisible_char": any_invisible(F.array_join(F.map_values(m), "")),
         "missing_name": any_list(lambda x: x["hole"]),
         "param_has_ext_link": F.exists(
             F.array(a("Title"), a("Chapter"), a("Periodical"), a("PublisherName")),
@@ -342,20 +343,21 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         & (C.alias_origin("_given", "Periodical") == "journal"),
         "maint_english": F.lower(a("Language")).isin("en", "english"),
     }
-    return F.array_compact(
-        F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(kind)) for kind, cond in checks.items()])
+    # Leaves out the nulls; `array_compact` is a lambda, whose whole argument Spark interprets.
+    return F.array_except(
+        F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(kind)) for kind, cond in checks.items()]),
+        F.array(F.lit(None).cast("string")),
     )
 
 
 def with_errors(parsed: DataFrame, as_of_year: int = 2026, as_of_date: str = "2026-01-01") -> DataFrame:
     """Add `errors` to the output of `parse_templates`."""
-    staged = parsed.withColumn("_given", C.set_params("params")).withColumns(
-        {
-            "_status": F.transform(F.map_entries("_given"), lambda e: param_status(e["key"], e["value"])),
-            "_values": C.field_values("_given", _FIELD_NO),
-            "_ids": I.extract_ids("_given"),
-            **{f"_list_{kind}": name_list(F.col("_given"), kind) for kind in NAME_LISTS},
-        }
+    staged = (
+        parsed.withColumn("_given", C.set_params("params"))
+        .withColumn("_parts", given_parts("params", _FIELD_NO, checks=True))
+        .withColumns({"_status": F.col("_parts.status"), "_values": F.col("_parts.values"), "_ids": F.col("_parts.ids")})
+        .withColumns({f"_list_{kind}": F.col(f"_parts.list_{kind}") for kind in NAME_LISTS})
+        .drop("_parts")
     )
     found = staged.withColumn("errors", error_kinds(as_of_year=as_of_year, as_of_date=as_of_date))
     # Without this the filter that an explode brings along would copy the whole expression, field by field.
