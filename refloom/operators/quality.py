@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from refloom.functions import citation as C
 from refloom.functions import identifiers as I
 from refloom.functions.core import in_list, is_set, let, matches, settle
-from refloom.functions.dates import acceptable_date, parse_date, valid_access_date, year_date_mismatch
+from refloom.functions.dates import acceptable_date, is_date, parse_date, valid_access_date, year_date_mismatch
 from refloom.functions.fields import any_invisible, extra_page_text, invisible_chars, valid_keyword
-from refloom.functions.given import given_parts
+from refloom.functions.given import alias_groups, given_parts
 from refloom.functions.names import author_source, has_et_al
 from refloom.functions.urls import has_external_link, link_param_ok, valid_url
 from refloom.tables.params import (
@@ -60,27 +60,10 @@ def unknown_params(df: DataFrame, params: str = "params") -> DataFrame:
     )
 
 
-def _aliases() -> dict[str, list[str]]:
-    """Fields and identifier kinds that several parameters can fill, one of which is enough."""
-    fields = {f: names for f, names in FIELD_ALIASES.items() if len(names) > 1 and f not in ("Date", "Encyclopedia")}
-    return fields | {k: names for k, (names, _) in ID_KINDS.items() if len(names) > 1}
-
-
-def _one_field_twice(params: Column) -> Column:
-    """Some field is set by two parameters or more: each name leads to the numbers of its fields, one of which comes again."""
-    fields = list(_aliases().values())
-    shared = sorted({n for names in fields for n in names})
-    table = F.array(*[F.lit(n) for n in shared])
-    numbers = F.array(*[F.array(*[F.lit(i) for i, names in enumerate(fields) if n in names]) for n in shared])
-    given = F.filter(F.map_keys(params), lambda k: k.isin(*shared))
-    met = F.flatten(F.transform(given, lambda k: F.get(numbers, F.array_position(table, k).cast("int") - 1)))
-    return let(met, lambda ns: F.size(F.array_distinct(ns)) < F.size(ns))
-
-
 def redundant_params(df: DataFrame, params: str = "params") -> DataFrame:
     """One row per field that is set by more than one parameter: the one used and the others."""
     keep = [c for c in df.columns if c != params]
-    fields = _aliases()
+    fields = alias_groups()
     # A row sets few of the names: they are picked by one hash probe each, and only these are sought per field.
     shared = sorted({n for names in fields.values() for n in names})
     given = F.filter(
@@ -177,7 +160,7 @@ def name_list(params: Column, kind: str) -> Column:
 def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "2026-01-01") -> Column:
     """`array<string>` of the error and maintenance kinds of one citation.
 
-    Reads `_given` (set parameters), `_status` (kind of each), `_values` (fields) and `_ids`, which `with_errors` adds.
+    Reads `_given` (set parameters), `_status` (kind of each), `_values` (fields), `_twice` (a field is set twice), `_list_<kind>` and `_ids`, which `with_errors` adds.
     """
     m = F.col("_given")
     a = lambda f: F.get("_values", F.lit(_FIELD_NO[f]))
@@ -199,11 +182,11 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         return let(v, lambda d: d.isNotNull() & ~acceptable_date(d, as_of_year))
 
     def other_date_bad(v: Column) -> Column:
-        return let(v, lambda d: d.isNotNull() & ~F.coalesce(parse_date(d, as_of_year)["valid"], F.lit(False)))
+        return let(v, lambda d: d.isNotNull() & ~F.coalesce(is_date(d, as_of_year), F.lit(False)))
 
     def other_date_open(v: Column) -> Column:
         """A date of any day, past or to come."""
-        return let(v, lambda d: d.isNotNull() & ~F.coalesce(parse_date(d, as_of_year + 100)["valid"], F.lit(False)))
+        return let(v, lambda d: d.isNotNull() & ~F.coalesce(is_date(d, as_of_year + 100), F.lit(False)))
 
     def year_bad(v: Column) -> Column:
         # Only a year may be a rough one.
@@ -321,7 +304,7 @@ def error_kinds(cls: str = "cls", as_of_year: int = 2026, as_of_date: str = "202
         ),
         "parameter_ignored": has_status("unknown"),
         "parameter_ignored_suggest": has_status("suggest"),
-        "redundant_parameters": _one_field_twice(m),
+        "redundant_parameters": F.col("_twice"),
         "text_ignored": has_status("text"),
         "trans_missing_title": (a("TransTitle").isNotNull() & a("Title").isNull())
         | (a("TransChapter").isNotNull() & F.coalesce(a("Chapter"), a("Title")).isNull()),
@@ -355,13 +338,13 @@ def with_errors(parsed: DataFrame, as_of_year: int = 2026, as_of_date: str = "20
     staged = (
         parsed.withColumn("_given", C.set_params("params"))
         .withColumn("_parts", given_parts("params", _FIELD_NO, checks=True))
-        .withColumns({"_status": F.col("_parts.status"), "_values": F.col("_parts.values"), "_ids": F.col("_parts.ids")})
+        .withColumns({"_status": F.col("_parts.status"), "_values": F.col("_parts.values"), "_ids": F.col("_parts.ids"), "_twice": F.col("_parts.twice")})
         .withColumns({f"_list_{kind}": F.col(f"_parts.list_{kind}") for kind in NAME_LISTS})
         .drop("_parts")
     )
     found = staged.withColumn("errors", error_kinds(as_of_year=as_of_year, as_of_date=as_of_date))
     # Without this the filter that an explode brings along would copy the whole expression, field by field.
-    made = ["_given", "_status", "_values", "_ids", *[f"_list_{kind}" for kind in NAME_LISTS]]
+    made = ["_given", "_status", "_values", "_ids", "_twice", *[f"_list_{kind}" for kind in NAME_LISTS]]
     return settle(found.drop(*made), ["errors"])
 
 
