@@ -12,7 +12,7 @@ from refloom.functions import names as N
 from refloom.functions import wikitext as W
 from refloom.functions.core import matches
 from refloom.functions.fields import any_invisible, invisible_chars
-from refloom.functions.given import alias_groups, given_parts
+from refloom.functions.given import given_parts
 from refloom.functions.reader import read_template
 from refloom.operators import citations as O
 from refloom.operators import quality as Q
@@ -85,8 +85,6 @@ def test_given_parts_follow_the_expressions(spark):
     fields = list(FIELD_ALIASES)
     given = rows.withColumn("g", C.set_params("m"))
     parts = ["lasts", "names", "links", "first_alone", "hole"]
-    used = [F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(F.map_keys("g"), n)) for names in alias_groups().values()]
-    redundant = F.filter(F.array(*used), lambda names: F.size(names) > 1)
     was = given.select(
         "i",
         C.field_values("g", fields).alias("values"),
@@ -94,7 +92,7 @@ def test_given_parts_follow_the_expressions(spark):
         N.authors("g").alias("authors"),
         F.when(F.col("g").isNotNull(), N.people("g", "contributor")).alias("contributors"),
         F.transform(F.map_entries("g"), lambda e: Q.param_status(e["key"], e["value"])).alias("status"),
-        (F.size(redundant) > 0).alias("twice"),
+        Q._one_field_twice(F.col("g")).alias("twice"),
         *[F.struct(*[Q.name_list(F.col("g"), k)[p].alias(p) for p in parts]).alias(f"list_{k}") for k in NAME_LISTS],
     )
     now = rows.select("i", given_parts("m", fields, people=True, checks=True).alias("p")).select("i", "p.*")
